@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.llm import chat, line_dedup, mixing, sharding
+from cairnway.llm import chat, decontaminate, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
 from cairnway.llm.common import table
+from cairnway.llm.labelled import crc_mod
 
 SHARDS = 40
+#: Scores from here on count as label 1.
+THRESHOLD = 0.3
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +21,42 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_distance=3)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 4) == 2
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held_out)
+    return _verdicts(scored, held_out)
+
+
+def _verdicts(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "n_copies", "replica", "text")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 5) == 0
+    scored = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held_out)
+    return _verdicts(scored, held_out)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     digests = table(spark, sf_dir, "documents").select(
@@ -63,7 +97,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_simhash": op2_simhash,
+        "op3_toxicity": op3_toxicity,
         "op4_source_mixing": op4_source_mixing,
+        "op5_top_k": op5_top_k,
+        "op6_decontamination": op6_decontamination,
+        "op7_quality": op7_quality,
         "op8_sharding": op8_sharding,
         "op9_chat_format": op9_chat_format,
     }
