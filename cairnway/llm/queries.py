@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.llm import chat, decontaminate, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
+from cairnway.llm import chat, decontaminate, html_text, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
 from cairnway.llm.common import table
 from cairnway.llm.labelled import crc_mod
 
@@ -94,6 +94,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -105,4 +110,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_sharding": op8_sharding,
         "op9_chat_format": op9_chat_format,
+        "op10_html_text": op10_html_text,
     }
