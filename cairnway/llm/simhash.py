@@ -49,6 +49,12 @@ CHUNK = 2048
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
+#: Numbers of partitions to choose from.
+PARTITIONS = (3, 4, 6, 8)
+#: What comparing two fingerprints costs against dealing one out under a key, chunks included.
+PAIR_COST = 2e-3
+#: Distinct texts, and shingles, of a group that are compared together at most.
+TEXT_CHUNK, SHINGLE_CHUNK = 256, 1_000_000
 
 
 def shingles(text: bytes | None, words: int) -> list[bytes]:
@@ -140,34 +146,53 @@ def allocate(costs: list[list[float]], units: int) -> list[int]:
     return best[units][1]
 
 
-def plan_partitions(prints: DataFrame, max_distance: int, partitions: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition, from statistics of all fingerprints."""
+def plan_partitions(prints: DataFrame, max_distance: int, partitions: tuple[int, ...]) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition, from statistics of all fingerprints; the cheapest of the numbers of partitions offered."""
     moments, n = bit_moments(prints), prints.count()
-    groups = group_bits(moments, n, partitions)
-    masked = F.array(*[F.col("fp").bitwiseAND(F.lit(as_signed(mask_of(g)))) for g in groups])
-    values = prints.select(F.posexplode(masked).alias("part", "value")).groupBy("part", "value").agg(F.count("*").alias("n"))
+    offered = {m: group_bits(moments, n, m) for m in partitions}
+    masked = [F.col("fp").bitwiseAND(F.lit(as_signed(mask_of(g)))) for groups in offered.values() for g in groups]
+    values = prints.select(F.posexplode(F.array(*masked)).alias("part", "value")).groupBy("part", "value").agg(F.count("*").alias("n"))
     pairs = {r["part"]: float(r["pairs"]) for r in values.groupBy("part").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).collect()}
-    p = np.diag(moments) / max(n, 1)
-    costs = []
-    for i, group in enumerate(groups):
-        near = np.array([1.0])  # probabilities of 0, 1, ... differing bits, bits taken as independent
-        for b in group:
-            differ = 2 * p[b] * (1 - p[b])
-            near = np.convolve(near, [1 - differ, differ])
-        row = [0.0]
-        for t in range(min(max_distance, len(group)) + 1):
-            candidates = max(pairs.get(i, 0.0), n * n / 2 * near[0]) * near[: t + 1].sum() / max(near[0], 1e-12)
-            row.append(candidates + n * math.comb(len(group), t))
-        costs.append(row)
-    return list(zip(groups, allocate(costs, max_distance + 1), strict=True))
+    p, part, best = np.diag(moments) / max(n, 1), 0, (math.inf, [])
+    for groups in offered.values():
+        costs = []
+        for group in groups:
+            near = np.array([1.0])  # probabilities of 0, 1, ... differing bits, bits taken as independent
+            for b in group:
+                differ = 2 * p[b] * (1 - p[b])
+                near = np.convolve(near, [1 - differ, differ])
+            row = [0.0]
+            for t in range(min(max_distance, len(group) - 1) + 1):
+                # A pair meets under each mask that hides where it differs.
+                met = sum(near[d] * math.comb(len(group) - d, t - d) for d in range(t + 1)) / max(near[0], 1e-12)
+                row.append(max(pairs.get(part, 0.0), n * n / 2 * near[0]) * met * PAIR_COST + n * math.comb(len(group), t))
+            costs.append(row)
+            part += 1
+        thresholds = allocate(costs, max_distance + 1)
+        best = min(best, (sum(c[t + 1] for c, t in zip(costs, thresholds, strict=True)), list(zip(groups, thresholds, strict=True))), key=lambda x: x[0])
+    return best[1]
+
+
+def close_pairs(prints: np.ndarray, max_distance: int, most: float | None = None) -> list[tuple[int, int]] | None:
+    """All pairs within the distance, block by block; None once there are more than ``most`` (twice the fingerprints)."""
+    out, most = [], 2 * len(prints) if most is None else most
+    for at in range(0, len(prints), 128):
+        rows, cols = np.nonzero(np.bitwise_count(prints[at : at + 128, None] ^ prints[None, at:]) <= max_distance)
+        ahead = cols > rows
+        if len(out) + np.count_nonzero(ahead) > most:
+            return None
+        out += zip(prints[at + rows[ahead]].tolist(), prints[at + cols[ahead]].tolist(), strict=True)
+    return out
 
 
 def spanning_links(prints: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fingerprints (signed), by breadth-first search over exact distances."""
+    """Links that connect all fingerprints (signed) within the distance: all of them if few, else a spanning forest by breadth-first search."""
     if len(prints) == 2:
         a, b = prints.tolist()
         return [(a, b)] if ((a ^ b) & (1 << 64) - 1).bit_count() <= max_distance else []
     out, left = [], prints.view(np.uint64)  # bits of negative numbers are counted unsigned
+    if (found := close_pairs(left, max_distance, 2016 if len(prints) <= 64 else None)) is not None:
+        return [(as_signed(a), as_signed(b)) for a, b in found]
     while left.size > 1:
         queue, left = [left[0]], left[1:]
         while queue and left.size:
@@ -181,7 +206,7 @@ def spanning_links(prints: np.ndarray, max_distance: int) -> list[tuple[int, int
     return out
 
 
-def near_links(prints: DataFrame, max_distance: int = 3, partitions: int = 3, chunk: int = CHUNK) -> DataFrame:
+def near_links(prints: DataFrame, max_distance: int = 3, partitions: tuple[int, ...] = PARTITIONS, chunk: int = CHUNK) -> DataFrame:
     """``prints``: distinct fingerprints ``fp``.  Returns ``a, b``: links that connect all that are within ``max_distance``."""
     masks = []
     for bits, t in plan_partitions(prints, max_distance, partitions):
@@ -215,7 +240,7 @@ def near_links(prints: DataFrame, max_distance: int = 3, partitions: int = 3, ch
 
 
 def near_duplicates(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 3, max_distance: int = 3, partitions: int = 3, chunk: int = CHUNK
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 3, max_distance: int = 3, partitions: tuple[int, ...] = PARTITIONS, chunk: int = CHUNK
 ) -> DataFrame:
     """``doc, fingerprint`` (16 hex digits) and ``component_id``: the smallest id reachable over links."""
     small_batches(docs.sparkSession)
@@ -229,3 +254,96 @@ def near_duplicates(
     return prints.join(classes, "fp").select(
         F.col("_doc").alias(doc), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def similar_links(sets: list[np.ndarray], min_similarity: float) -> list[tuple[int, int]]:
+    """Positions of sets joined by a spanning forest of the links of Jaccard similarity ``min_similarity`` or more; sets are sorted arrays."""
+    sizes = np.array([len(s) for s in sets])
+    flat, ends = np.concatenate(sets) if sets else np.zeros(0, np.int64), np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    left, out = np.ones(len(sets), bool), []
+    for start in range(len(sets)):
+        queue = [start] if left[start] else []
+        left[start] = False
+        while queue:
+            at = queue.pop()
+            own = flat[ends[at] - sizes[at] : ends[at]]
+            shared = np.bincount(owner[np.isin(flat, own)], minlength=len(sets))
+            union = sizes[at] + sizes - shared
+            near = np.flatnonzero(left & (shared >= min_similarity * union))
+            left[near] = False
+            out += [(at, int(x)) for x in near]
+            queue += near.tolist()
+    return out
+
+
+def similar_groups(
+    docs: DataFrame,
+    doc: str = "doc_id",
+    text: str = "text",
+    words: int = 5,
+    min_similarity: float = 0.8,
+    print_words: int = 3,
+    max_distance: int = 10,
+    partitions: tuple[int, ...] = PARTITIONS,
+) -> DataFrame:
+    """``doc, _t1, _t2, component_id``: near-duplicates whose SimHash links are confirmed on whole texts.
+
+    Fingerprints within ``max_distance`` make coarse groups; inside them distinct texts are compared by the exact Jaccard
+    similarity of their ``words``-word shingles, and those at ``min_similarity`` or more are linked.  Equal texts are
+    compared once.  A coarse group of many texts is dealt out in chunks that meet in pairs, as buckets are.
+    ``_t1, _t2`` are two hashes of the row's text.
+    """
+    small_batches(docs.sparkSession)
+    body = F.coalesce(F.col(text), F.lit(""))
+    digest = [F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit(9), body).alias("_t2")]
+    prints = staged(docs.select(F.col(doc).alias("_doc"), *digest, fingerprint_column(F.col(text), print_words).alias("fp")), "simhash")
+    texts = staged(prints.groupBy("_t1", "_t2").agg(F.min("_doc").alias("first"), F.min("fp").alias("fp")), "simhash-texts")
+    roots = components(near_links(texts.select("fp").distinct(), max_distance, partitions))
+    grouped = texts.join(roots, texts["fp"] == roots["node"], "left").select("_t1", "_t2", F.coalesce("root", "fp").alias("root"))
+
+    @F.arrow_udf("array<long>")
+    def hashes(raw: pa.Array) -> pa.Array:
+        found = [np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in shingles(t, words)], np.uint64)).view(np.int64) for t in raw.to_pylist()]
+        return pa.array(found, pa.list_(pa.int64()))
+
+    many = staged(grouped.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-groups")
+    members = grouped.join(many.select("root"), "root", "left_semi")
+    # One row of each distinct text, as two hashes and its shingles.
+    raw = docs.select(*digest, body.cast("binary").alias("_b")).join(members, ["_t1", "_t2"])
+    seen = raw.select("root", "_t1", "_t2", hashes(F.col("_b")).alias("set")).groupBy("root", "_t1", "_t2").agg(F.any_value("set").alias("set"))
+    seen = staged(seen, "simhash-shingles")
+    chunks = F.ceil(F.greatest(F.count("*") / TEXT_CHUNK, F.sum(F.size("set")) / SHINGLE_CHUNK)).cast("int")
+    sized = seen.groupBy("root").agg(chunks.alias("chunks"))
+    dealt = seen.join(sized, "root").withColumn("c", F.pmod("_t1", F.greatest("chunks", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.greatest("chunks", F.lit(1)) - 1)))
+    pairs = dealt.groupBy("root", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
+    lists = pairs.agg(F.collect_list(F.struct("_t1", "set")).alias("all")).filter(F.size("all") > 1)
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.column(0):
+                names = [x["_t1"].as_py() for x in row.values]
+                sets = [x["set"].values.to_numpy() for x in row.values]
+                found += [(names[a], names[b]) for a, b in similar_links(sets, min_similarity)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    classes = components(lists.select("all").mapInArrow(confirm, "a long, b long"))
+    named = texts.join(classes, texts["_t1"] == classes["node"], "left").select("_t1", "_t2", "first", F.coalesce("root", "_t1").alias("class"))
+    least = named.groupBy("class").agg(F.min("first").alias("component_id"))
+    final = named.join(least, "class").select("_t1", "_t2", "component_id")
+    return prints.join(final, ["_t1", "_t2"]).select(F.col("_doc").alias(doc), "_t1", "_t2", "component_id")
+
+
+def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without near-duplicates: of each group the row with the smallest id stays.
+
+    Rows that share that id and text stay together once; a row with a null id stays only if its group has no other id.
+    """
+    groups = similar_groups(docs, doc, text, **options)
+    losers = groups.filter(~F.col(doc).eqNullSafe(F.col("component_id"))).select(F.col(doc).alias("_id"), "_t1", "_t2").distinct()
+    body = F.coalesce(F.col(text), F.lit(""))
+    match = F.col(doc).eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_t1")) & (F.xxhash64(F.lit(9), body) == F.col("_t2"))
+    return docs.join(losers, match, "left_anti")
