@@ -18,6 +18,7 @@ from cairnway.plans.staging import staged
 def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
     """``path, depth``: the longest way to a file without imports; ``edges`` hold no cycle (see ``acyclic``)."""
     frontier, levels, n = files.select("path"), [], 0
+    edges = staged(edges.select("src", "dst"), "edges")  # read by every round
     while True:
         levels.append(frontier.select("path", F.lit(n).alias("depth")))
         above = frontier.select(F.col("path").alias("dst"))
@@ -43,6 +44,7 @@ def reach(seeds: DataFrame, edges: DataFrame, excluded: DataFrame | None = None)
     first level that reaches it, and there the smallest seed.  Seeds are not reported, unless a cycle leads back (level > 0).
     """
     frontier = staged(seeds.select("path", F.col("path").alias("seed")), "reach")
+    edges = staged(edges.select("src", "dst"), "edges")  # read by every round
     found: DataFrame | None = None
     level = 0
     while True:
