@@ -25,6 +25,8 @@ from cairnway.llm.common import SPACE, lower_ascii, with_renamed_clashes
 from cairnway.plans.staging import staged
 
 ADDED = ["n_lines", "n_dropped"]
+#: Parts into which the lines of one hash are dealt where they meet its first occurrence.
+SALTS = 8
 
 
 def _lines(text: str) -> Column:
@@ -61,9 +63,11 @@ def keep_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_c
         .groupBy("_h1", "_h2")
         .agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), F.count_if(F.col("_doc").isNull()).alias("_nulls"))
         .filter((F.col("_first") != F.col("_last")) | (F.col("_first").isNotNull() & (F.col("_nulls") > 0)))
-        .select("_h1", "_h2", "_first")
+        .select("_h1", "_h2", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
-    dropped = lines.join(firsts, ["_h1", "_h2"]).filter(F.col("_doc").isNull() | (F.col("_doc") > F.col("_first")))
+    # A hot line's rows are spread over salts; only lines shared by documents are repeated for them.
+    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("_r1", "_pos"), F.lit(SALTS)).cast("int"))
+    dropped = salted.join(firsts, ["_h1", "_h2", "_salt"]).filter(F.col("_doc").isNull() | (F.col("_doc") > F.col("_first")))
     bit = F.expr("shiftleft(1L, _pos % 64)")
     words = dropped.groupBy("_r1", "_r2", F.expr("_pos div 64").cast("int").alias("word")).agg(F.bit_or(bit).alias("_bits"))
     return words.groupBy("_r1", "_r2").agg(
