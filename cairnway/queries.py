@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnway.functions import paths as P
-from cairnway.operators import graph, order, progress
+from cairnway.operators import graph, order, progress, reports
 from cairnway.plans import fixpoint, views
 from cairnway.plans.views import table
 
@@ -383,3 +383,20 @@ hit AS (SELECT path AS node, path AS seed, 0 AS level FROM modi UNION SELECT d.d
 stale AS (SELECT node, min(seed) AS seed FROM (SELECT *, min(level) OVER (PARTITION BY node) AS f FROM hit WHERE level > 0) WHERE level = f GROUP BY node)
 SELECT c.path, CASE WHEN m.path IS NOT NULL THEN 'unread' WHEN s.node IS NOT NULL THEN 'flagged' ELSE c.status END AS status,
 CASE WHEN m.path IS NULL AND s.node IS NOT NULL THEN 'stale: depends on ' || s.seed END AS note FROM cur c LEFT JOIN modi m USING (path) LEFT JOIN stale s ON s.node = c.path"""
+
+
+@query(f"""SELECT c.*, round_even(100.0 * (confirmed + flagged + skimmed) / total, 0)::BIGINT AS percent, (SELECT path FROM ord JOIN st USING (path) WHERE status = 'unread' ORDER BY idx LIMIT 1) AS next_path
+FROM (SELECT count(*) AS total, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'flagged') AS flagged, count(*) FILTER (status = 'skimmed') AS skimmed, count(*) FILTER (NOT {READ_SQL}) AS unread FROM st) c""")
+def status_report(spark, d):
+    return reports.status_report(views.order(spark, d), state(spark, d))
+
+
+@query("""SELECT n.path, n.idx AS "index", n.layer, coalesce((SELECT string_agg(t, ', ' ORDER BY t) FROM (SELECT e.dst || '=' || coalesce(s.status, 'unread') AS t FROM dag e LEFT JOIN st s ON s.path = e.dst WHERE e.src = n.path)), '') AS imports
+FROM (SELECT o.* FROM ord o LEFT JOIN st s USING (path) WHERE coalesce(s.status, 'unread') = 'unread' ORDER BY o.idx LIMIT 1) n""")
+def next_briefing(spark, d):
+    return reports.next_briefing(views.order(spark, d), state(spark, d), views.edges_dag(spark, d))
+
+
+@query("SELECT layer, layer || ': ' || count(*) || ' files, from ' || min(file) AS line FROM lay GROUP BY layer")
+def index_summary(spark, d):
+    return reports.index_summary(layered(spark, d).select(F.col("file").alias("path"), "layer"))
