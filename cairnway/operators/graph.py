@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnway.plans.fixpoint import reach
+from cairnway.plans.staging import staged
+
 
 def build_edges(imports: DataFrame, resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct edges whose target is a known file."""
@@ -75,3 +78,50 @@ def feature_areas(files: DataFrame, depth: int = 1) -> DataFrame:
 def backbone(files: DataFrame, k: int = 8) -> DataFrame:
     """The ``k`` most imported files (a report of fixed length)."""
     return files.orderBy(F.desc("fan_in"), "path").limit(k).select("path", "fan_in")
+
+
+def find_symbol(order: DataFrame) -> DataFrame:
+    """``symbol, path``: for each exported name the first file of the order that exports it; ``order(index, path, exports)``."""
+    named = order.select("index", "path", F.explode("exports").alias("symbol"))
+    return named.groupBy("symbol").agg(F.min_by("path", F.struct("index", "path")).alias("path"))
+
+
+def blast_result(symbol: str, order: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row ``symbol, source_file, affected_count``: how many files depend on the symbol's file; no row if nothing exports it."""
+    home = find_symbol(order.select("index", "path", F.filter("exports", lambda x: x == symbol).alias("exports")))
+    home = staged(home, "symbol")  # a row at most
+    affected = reach(home.select("path"), edges).agg(F.count("*").alias("affected_count"))
+    return home.join(F.broadcast(affected), F.lit(True)).select("symbol", F.col("path").alias("source_file"), "affected_count")
+
+
+def dir_tree(files: DataFrame, group: str = "layer") -> DataFrame:
+    """Directories of ``files(path, <group>)`` with chains of lone directories drawn together.
+
+    ``<group>, dir, label, n_files, n_below``: a directory whose only content is one directory is merged into it, and
+    ``label`` holds the merged names.  ``n_files``: files in the directory itself; ``n_below``: in it and below.
+    """
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.struct(F.array_join(F.slice("parts", F.lit(1), k), "/").alias("dir"), (k == F.size("parts") - 1).alias("own")))
+    above = files.select(group, parts.alias("parts")).filter(F.size("parts") > 1).select(group, F.explode(ups).alias("u")).select(group, "u.*")
+    dirs = above.groupBy(group, "dir").agg(F.count_if("own").alias("n_files"), F.count("*").alias("n_below"))
+    parent = F.when(F.contains("dir", F.lit("/")), F.regexp_replace("dir", "/[^/]*$", ""))
+    dirs = dirs.withColumn("parent", parent)
+    children = dirs.filter("parent is not null").groupBy(group, F.col("parent").alias("dir")).agg(F.count("*").alias("n_dirs"))
+    dirs = dirs.join(children, [group, "dir"], "left").withColumn("chained", (F.col("n_files") == 0) & (F.coalesce("n_dirs", F.lit(0)) == 1))
+    # A kept directory's label begins below its nearest kept ancestor: the deepest of its prefixes that is kept.
+    kept = staged(dirs.filter("not chained").select(group, "dir", "n_files", "n_below"), "dirs")
+    depth = F.size(F.split("dir", "/"))
+    prefixes = kept.select(group, "dir", F.explode(F.when(depth > 1, F.transform(F.sequence(F.lit(1), depth - 1), lambda k: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), k), "/")))).alias("up"))
+    nearest = prefixes.join(kept.select(group, F.col("dir").alias("up")), [group, "up"], "left_semi").groupBy(group, "dir").agg(F.max(F.length("up")).alias("_cut"))
+    label = F.when(F.col("_cut").isNull(), F.col("dir")).otherwise(F.substr("dir", F.col("_cut") + 2))
+    return kept.join(nearest, [group, "dir"], "left").select(group, "dir", label.alias("label"), "n_files", "n_below")
+
+
+def by_locale(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows in the order of a reader's alphabet instead of code points."""
+    return rows.orderBy(*[F.collate(c, "UNICODE") for c in columns], *columns)
+
+
+def contract_ratio(exports: DataFrame) -> DataFrame:
+    """``path, type_share``: the share of a file's ``exports(path, name, kind)`` that are types or classes."""
+    return exports.groupBy("path").agg(F.avg(F.col("kind").isin("type", "class").cast("double")).alias("type_share"))

@@ -66,9 +66,34 @@ def reading_pass(path: Column, type_share: Column, fan_in: Column, fan_out: Colu
     return F.coalesce(given, natural)
 
 
-def reason(pass_: Column, fan_in: Column, fan_out: Column) -> Column:
-    said = F.when(pass_ == "contracts", "Contract surface").when(pass_ == "utility", "Utility").otherwise("Data flow")
-    return F.concat(said, F.format_string(": imported by %d, imports %d", fan_in, fan_out))
+def reason(pass_: Column, layer_: Column, fan_in: Column, fan_out: Column, paired_with: Column | None = None) -> Column:
+    """Why a file stands where it does, in words."""
+    where = F.concat(F.lit(" ("), layer_, F.lit(" layer)."))
+    contract = F.concat(F.lit("Contract surface"), where, F.when(fan_in > 0, F.format_string(" Imported by %d file(s).", fan_in)).otherwise(""))
+    flow = F.concat(F.lit("Data flow path"), where, F.when(fan_out > 0, F.format_string(" Depends on %d file(s).", fan_out)).otherwise(""))
+    said = F.when(pass_ == "contracts", contract).when(pass_ == "data_flow", flow).otherwise(F.concat(F.lit("Utility code"), where))
+    if paired_with is None:
+        return said
+    return F.when(paired_with.isNotNull(), F.concat(F.lit("Test file for "), paired_with, F.lit("."))).otherwise(said)
+
+
+def is_trivial_init(path: Column, n_imports: Column, n_exports: Column, n_functions: Column) -> Column:
+    """A package file without functions that does not pass on what it imports."""
+    return (basename(path) == "__init__.py") & (n_functions == 0) & ~((n_imports > 0) & (n_exports > 0))
+
+
+def is_reexport(path: Column, n_imports: Column, n_exports: Column) -> Column:
+    return (basename(path) == "__init__.py") & (n_imports > 0) & (n_exports > 0)
+
+
+def in_scripts(path: Column, scripts: dict[str, str]) -> Column:
+    """Whether a declared script (``module.leaf:function``) names the file's stem as its leaf."""
+    return stem(path).isin(*sorted({spec.split(":")[0].rsplit(".", 1)[-1] for spec in scripts.values()})) if scripts else F.lit(False)
+
+
+def is_entry(path: Column, fan_in: Column, has_guard: Column, has_side_effects: Column, scripts: dict[str, str] | None = None) -> Column:
+    """A program guard, a telling name, a declared script, or a module that acts when loaded and that nothing imports."""
+    return has_guard | basename(path).isin(*ENTRY_FILES) | in_scripts(path, scripts or {}) | ((fan_in == 0) & has_side_effects)
 
 
 def pair_tests(files: DataFrame) -> DataFrame:
@@ -113,22 +138,31 @@ def topological(files: DataFrame, edges: DataFrame) -> DataFrame:
     return grouped.applyInPandas(_greedy, "repo_id string, pass string, path string, pos long")
 
 
-def reading_order(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """``repo_id, index, path, pass``: passes one after the other, paired tests right behind what they test, other tests last.
+def reading_order(files: DataFrame, edges: DataFrame, tests: str = "utility") -> DataFrame:
+    """``repo_id, index, path, pass, paired_with``: passes one after the other, paired tests right behind what they test, other tests last.
 
-    ``files`` as for ``topological``.
+    ``files`` as for ``topological``.  ``tests``: the pass that tests without a pair are counted to, ``separate``
+    (all tests come last, in greedy order) or ``skip`` (none come).
     """
-    plain = files.filter(~is_test(F.col("path")))
+    is_a_test = is_test(F.col("path"))
+    plain = files.filter(~is_a_test)
     placed = topological(plain, edges)
-    tests = files.filter(is_test(F.col("path"))).select("repo_id", "path")
-    stems = plain.groupBy("repo_id", stem(F.col("path")).alias("_s")).agg(F.min("path").alias("impl"))
-    paired = tests.withColumn("_s", F.when(basename(F.col("path")) != "conftest.py", tested_stem(F.col("path")))).join(stems, ["repo_id", "_s"], "left")
-    home = placed.select("repo_id", F.col("path").alias("impl"), "pass", "pos")
-    behind = paired.join(home, ["repo_id", "impl"], "left").select("repo_id", "path", F.coalesce("pass", F.lit("utility")).alias("pass"), "pos", F.lit(1).alias("_t"), F.col("pos").isNull().alias("_last"))
-    rows = placed.select("repo_id", "path", "pass", "pos", F.lit(0).alias("_t"), F.lit(False).alias("_last")).union(behind)
+    rows = placed.select("repo_id", "path", "pass", "pos", F.lit(0).alias("_t"), F.lit(False).alias("_last"), F.lit(None).cast("string").alias("paired_with"))
+    if tests != "skip":
+        own = files.filter(is_a_test)
+        stems = plain.groupBy("repo_id", stem(F.col("path")).alias("_s")).agg(F.min("path").alias("impl"))
+        paired = own.select("repo_id", "path").withColumn("_s", F.when(basename(F.col("path")) != "conftest.py", tested_stem(F.col("path")))).join(stems, ["repo_id", "_s"], "left")
+        home = placed.select("repo_id", F.col("path").alias("impl"), "pass", "pos")
+        default = tests if tests in PASSES else "utility"
+        behind = paired.join(home, ["repo_id", "impl"], "left").select("repo_id", "path", F.coalesce("pass", F.lit(default)).alias("pass"), "pos", F.col("impl").alias("paired_with"))
+        last = F.col("pos").isNull()
+        if tests == "separate":
+            sorted_ = topological(own.withColumn("pass", F.lit("tests")), edges).select("repo_id", "path", "pos")
+            behind, last = behind.drop("pos").join(sorted_, ["repo_id", "path"]), F.lit(True)
+        rows = rows.union(behind.select("repo_id", "path", "pass", "pos", F.lit(1).alias("_t"), last.alias("_last"), "paired_with"))
     rank = F.when(F.col("_last"), 3).when(F.col("pass") == "contracts", 0).when(F.col("pass") == "data_flow", 1).otherwise(2)
     order = Window.partitionBy("repo_id").orderBy(rank, F.coalesce("pos", F.lit(0)), "_t", "path")
-    return rows.select("repo_id", (F.row_number().over(order) - 1).alias("index"), "path", "pass")
+    return rows.select("repo_id", (F.row_number().over(order) - 1).alias("index"), "path", "pass", "paired_with")
 
 
 def complexity(lines: Column, functions: Column, nesting: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnway.functions.paths import half_even_percent, half_up_percent
+from cairnway.functions.paths import declared_name, half_even_percent, half_up_percent
 from cairnway.plans.fixpoint import reach
+from cairnway.plans.staging import staged
 
 STATUSES = ("confirmed", "flagged", "skimmed", "unread")
 READ = ("confirmed", "flagged", "skimmed")
@@ -121,12 +122,152 @@ def export_cascade(exports: DataFrame, read: DataFrame, confirmed: DataFrame) ->
     return rows.select("path", "name", F.coalesce("_own", "_file").alias("read_at")).filter(F.col("read_at").isNotNull())
 
 
+def first_names(paths: Column, most: int = 5) -> Column:
+    """The first file names of a list of paths, then how many more."""
+    shown = F.array_join(F.slice(F.transform(paths, lambda p: F.substring_index(p, "/", -1)), 1, most), ", ")
+    return F.concat(shown, F.when(F.size(paths) > most, F.format_string(" ... +%d more", F.size(paths) - most)).otherwise(""))
+
+
 def truncated_callers(usage: DataFrame, most: int = 5) -> DataFrame:
     """``path, title``: the first callers by name, then how many more."""
-    names = F.transform("used_by", lambda p: F.substring_index(p, "/", -1))
-    shown = F.array_join(F.slice(names, 1, most), ", ")
-    more = F.when(F.size("used_by") > most, F.format_string(" +%d more", F.size("used_by") - most)).otherwise("")
-    return usage.select("path", F.when(F.size("used_by") == 0, "No callers").otherwise(F.concat(F.lit("Called by: "), shown, more)).alias("title"))
+    none = F.lit("Called by: none (potential dead code)")
+    return usage.select("path", F.when(F.size("used_by") == 0, none).otherwise(F.concat(F.lit("Called by: "), first_names(F.col("used_by"), most))).alias("title"))
+
+
+def lens_titles(neighbours: DataFrame, most: int = 5) -> DataFrame:
+    """``path, title``: callers, and what a file calls if it calls anything; ``neighbours(path, imports, imported_by)``."""
+    callers = truncated_callers(neighbours.withColumnRenamed("imported_by", "used_by").select("path", "used_by"), most).withColumnRenamed("title", "_c")
+    calls = neighbours.select("path", F.when(F.size("imports") > 0, F.concat(F.lit("Calls: "), first_names(F.col("imports"), most))).alias("_d"))
+    return callers.join(calls, "path").select("path", F.concat_ws(" | ", "_c", "_d").alias("title"))
+
+
+def lens_with_overrides(automatic: DataFrame, given: DataFrame) -> DataFrame:
+    """``path, line, title``: lines given for a file stand in for all automatic ones of that file."""
+    return automatic.join(given.select("path").distinct(), "path", "left_anti").select("path", "line", "title").union(given.select("path", "line", "title"))
+
+
+def new_state(order: DataFrame, at: str | None = None) -> DataFrame:
+    """Every ordered file unread, as a state table; ``at`` is kept as ``started_at`` (now, if not given)."""
+    started = F.lit(at) if at else utc_now()
+    none = F.lit(None).cast("string")
+    return order.select("path", F.lit("unread").alias("status"), none.alias("read_at"), none.alias("note"), none.alias("summary"), started.alias("started_at"))
+
+
+def utc_now() -> Column:
+    """The present time in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def checked_updates(updates: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Updates with ``error``: an unknown status, or (given a state) a file that it does not track."""
+    status = F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), F.concat(F.lit("unknown status: "), F.coalesce("status", F.lit("none"))))
+    if state is None:
+        return updates.withColumn("error", status)
+    known = state.select("path", F.lit(True).alias("_known"))
+    found = updates.join(known, "path", "left")
+    return found.withColumn("error", F.coalesce(status, F.when(F.col("_known").isNull(), F.concat(F.lit("untracked: "), F.col("path").cast("string"))))).drop("_known")
+
+
+def apply_updates(state: DataFrame, updates: DataFrame, policy: str = "library") -> DataFrame:
+    """``path, status, note, summary`` after ``updates(path, seq, status, note, summary)``, in order of ``seq``.
+
+    ``library``: a note is always replaced, a null summary keeps the one before, untracked files are left out.
+    ``tool``: the last update's note and summary hold, null or not; untracked files are added.
+    ``editor``: only the status changes; untracked files are added.
+    """
+    if policy == "library":
+        last = latest_status(updates)
+    else:
+        best = updates.groupBy("path").agg(F.max_by(F.struct("status", "note", "summary"), "seq").alias("s"))
+        last = best.select("path", "s.status", "s.note", "s.summary")
+    new = last.select("path", F.col("status").alias("_s"), F.col("note").alias("_n"), F.col("summary").alias("_m"), F.lit(True).alias("_hit"))
+    both = state.select("path", "status", "note", "summary").join(new, "path", "left" if policy == "library" else "full")
+    hit = F.coalesce("_hit", F.lit(False))
+    note = F.col("note") if policy == "editor" else F.when(hit, F.col("_n")).otherwise(F.col("note"))
+    summary = {"library": F.coalesce("_m", "summary"), "tool": F.when(hit, F.col("_m")).otherwise(F.col("summary")), "editor": F.col("summary")}[policy]
+    return both.select("path", F.when(hit, F.col("_s")).otherwise(F.col("status")).alias("status"), note.alias("note"), summary.alias("summary"))
+
+
+def carried_counts(state: DataFrame, total: int | Column) -> DataFrame:
+    """Counts by status under a total that is carried along: what is not read is the rest, never less than 0."""
+    counts = status_counts(state)
+    total = F.lit(total) if isinstance(total, int) else total
+    rest = F.greatest(F.lit(0), total - F.col("confirmed") - F.col("flagged") - F.col("skimmed"))
+    return counts.withColumns({"total": total.cast("long"), "unread": rest.cast("long")})
+
+
+def prune(state: DataFrame, order: DataFrame) -> DataFrame:
+    """The state without files that are not in the order."""
+    return state.join(order.select("path"), "path", "left_semi")
+
+
+def refresh(state: DataFrame, changes: DataFrame, edges: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """``path, status, note`` after a change set; with an ``order``, files outside it are dropped."""
+    after = apply_changes(state, changes, edges)
+    return after if order is None else prune(after, order)
+
+
+def refresh_summary(state: DataFrame, changes: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:
+    """One row: files new, modified, removed, unchanged, stale (newly flagged for what they depend on) and pruned."""
+    after = staged(apply_changes(state, changes, edges), "refreshed")
+    stale = after.join(state.select("path", F.col("status").alias("_was"), F.col("note").alias("_note")), "path")
+    stale = stale.filter((F.col("status") == "flagged") & ~F.col("note").eqNullSafe(F.col("_note"))).agg(F.count("*").alias("stale"))
+    pruned = after.join(order.select("path"), "path", "left_anti").agg(F.count("*").alias("pruned"))
+    return change_summary(changes).join(F.broadcast(stale), F.lit(True)).join(F.broadcast(pruned), F.lit(True))  # single rows
+
+
+def outside_dir(changes: DataFrame, folder: str) -> DataFrame:
+    """Changes but for the folder itself and what lies below it."""
+    return changes.filter((F.col("path") != folder) & ~F.startswith("path", F.lit(folder + "/")))
+
+
+def with_unchanged(changes: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Changes plus tracked files that are not among them, as unchanged."""
+    rest = tracked.select("path").join(changes.select("path"), "path", "left_anti")
+    return changes.select("path", "change").union(rest.select("path", F.lit("unchanged").alias("change")))
+
+
+def export_progress(exports: DataFrame, read: DataFrame, state: DataFrame) -> DataFrame:
+    """``path, n_read, n_exports, partial``: ``partial`` if some but not all exports are read and the file has no mark of its own."""
+    seen = exports.select("path", "name").distinct().join(read.select("path", "name", F.lit(True).alias("_r")).distinct(), ["path", "name"], "left")
+    per = seen.groupBy("path").agg(F.count("_r").alias("n_read"), F.count("*").alias("n_exports"))
+    marked = state.filter(F.col("status").isin(*READ)).select("path", F.lit(True).alias("_m"))
+    part = (F.col("n_read") > 0) & (F.col("n_read") < F.col("n_exports")) & F.col("_m").isNull()
+    return per.join(marked, "path", "left").select("path", "n_read", "n_exports", part.alias("partial"))
+
+
+def summaries_split(order: DataFrame, state: DataFrame, edges: DataFrame, current: DataFrame) -> DataFrame:
+    """``path, bucket, status, summary``: read files other than the ``current(path)`` one, as its dependencies or general reading."""
+    deps = edges.join(current.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst").alias("path")).distinct().withColumn("_d", F.lit(True))
+    read = state.filter(F.col("status") != "unread").join(current.select("path"), "path", "left_anti").join(order.select("path"), "path", "left_semi")
+    return read.join(deps, "path", "left").select("path", F.when(F.col("_d"), "dependency").otherwise("general").alias("bucket"), "status", "summary")
+
+
+def declared_exports(lines: DataFrame, exports: DataFrame) -> DataFrame:
+    """``path, line, name``: lines ``(path, line, body)`` that declare a name which the file exports."""
+    named = lines.select("path", "line", declared_name(F.col("body")).alias("name")).filter("name is not null")
+    return named.join(exports.select("path", "name"), ["path", "name"], "left_semi").select("path", "line", "name")
+
+
+#: Marks by status, and the mark of the file being read (fixed values).
+BADGES = {"confirmed": "\u2713", "flagged": "!", "skimmed": "~"}
+CURRENT_BADGE = "\u25b8"
+
+
+def decorated(state: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """``path, badge``: a mark for each read file (none for others) and for the ``current(path)`` one."""
+    badge = F.lit(None).cast("string")
+    for status, mark in BADGES.items():
+        badge = F.when(F.col("status") == status, mark).otherwise(badge)
+    if current is None:
+        return state.select("path", badge.alias("badge"))
+    now = current.select("path", F.lit(CURRENT_BADGE).alias("_now"))
+    return state.join(now, "path", "left").select("path", F.coalesce("_now", badge).alias("badge"))
+
+
+def remaining(flagged_: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Flagged files that are not resolved yet."""
+    return flagged_.join(resolved.select("path"), "path", "left_anti")
 
 
 def session_pace(sessions: DataFrame) -> DataFrame:

@@ -2,27 +2,36 @@
 
 Python files go through the standard parser, one small helper a file in Arrow batches; scripts and Go are
 read by regular expressions inside Spark (so text inside strings or comments can look like a
-declaration, and members of classes are not told apart).
+declaration, and members of script classes are not told apart).  ``LANGUAGES`` says which table functions read a language;
+``register`` adds another.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SHAPE = (
     "imports array<struct<source:string,specifiers:array<string>,is_relative:boolean>>, exports array<struct<name:string,kind:string,line:int>>, "
-    "functions array<struct<name:string,line:int,end_line:int>>, nesting int, has_guard boolean"
+    "functions array<struct<name:string,line:int,end_line:int,calls:array<string>>>, nesting int, has_guard boolean, has_side_effects boolean"
 )
-BLOCKS = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.AsyncFor, ast.AsyncWith, ast.match_case)
+#: Syntax nodes that add a level of nesting, and statements that do nothing when a module is loaded (fixed values).
+BLOCKS = (
+    ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.For, ast.AsyncFor, ast.While, ast.If, ast.With, ast.AsyncWith,
+    ast.Try, ast.TryStar, ast.ExceptHandler, ast.Match, ast.match_case,
+)
+PASSIVE = (ast.Import, ast.ImportFrom, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Assign, ast.AnnAssign, ast.TypeAlias)
+DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def _nesting(node: ast.AST, depth: int = 0) -> int:
-    deepest, stack = depth, [(node, depth)]
+def _nesting(tree: ast.AST) -> int:
+    deepest, stack = 0, [(tree, 0)]
     while stack:
         at, d = stack.pop()
         for child in ast.iter_child_nodes(at):
@@ -32,11 +41,51 @@ def _nesting(node: ast.AST, depth: int = 0) -> int:
     return deepest
 
 
+def _called(node: ast.expr) -> str | None:
+    """The dotted name of what is called; a receiver without a name is left out."""
+    tail = []
+    while isinstance(node, ast.Attribute):
+        tail.append(node.attr)
+        node = node.value
+    if isinstance(node, ast.Name):
+        tail.append(node.id)
+    return ".".join(reversed(tail)) or None
+
+
+def _functions(tree: ast.Module) -> list[tuple[str, int, int, list[str]]]:
+    """Functions under their qualified names, with sorted calls; those below other statements are not looked for."""
+    out, stack = [], [(tree, "")]
+    while stack:
+        at, prefix = stack.pop()
+        for child in ast.iter_child_nodes(at):
+            if isinstance(child, (*DEFS, ast.ClassDef)):
+                name = f"{prefix}{child.name}"
+                stack.append((child, name + "."))
+                if isinstance(child, DEFS):
+                    calls = {_called(n.func) for n in ast.walk(child) if isinstance(n, ast.Call)} - {None}
+                    out.append((name, child.lineno, child.end_lineno, sorted(calls)))
+    return sorted(out, key=lambda f: (f[1], f[0]))
+
+
+def _is_guard(node: ast.stmt) -> bool:
+    """``if __name__ == "__main__"``, either way round."""
+    test = node.test if isinstance(node, ast.If) else None
+    if not isinstance(test, ast.Compare) or len(test.ops) != 1 or not isinstance(test.ops[0], ast.Eq):
+        return False
+    sides = [test.left, *test.comparators]
+    return any(isinstance(x, ast.Name) and x.id == "__name__" for x in sides) and any(isinstance(x, ast.Constant) and x.value == "__main__" for x in sides)
+
+
+def _acts(node: ast.stmt) -> bool:
+    literal = isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant)
+    return not literal and not isinstance(node, PASSIVE)
+
+
 def parse_python(content: bytes) -> dict | None:
     """The rows of one file; None if it does not parse."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     imports, exports, listed = [], [], None
     for node in ast.walk(tree):
@@ -45,7 +94,7 @@ def parse_python(content: bytes) -> dict | None:
         elif isinstance(node, ast.ImportFrom):
             imports.append(("." * node.level + (node.module or ""), sorted(a.name for a in node.names), node.level > 0))
     for node in tree.body:
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+        if isinstance(node, DEFS):
             exports.append((node.name, "function", node.lineno))
         elif isinstance(node, ast.ClassDef):
             exports.append((node.name, "class", node.lineno))
@@ -56,16 +105,17 @@ def parse_python(content: bytes) -> dict | None:
                     if target.id == "__all__" and isinstance(node.value, ast.List | ast.Tuple):
                         listed = {e.value for e in node.value.elts if isinstance(e, ast.Constant)}
     exports = [e for e in exports if (e[0] in listed if listed is not None else not e[0].startswith("_"))]
-    functions = [(n.name, n.lineno, n.end_lineno) for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
-    guard = any(isinstance(n, ast.If) and "__main__" in ast.unparse(n.test) for n in tree.body)
-    return {"imports": sorted(imports), "exports": sorted(exports, key=lambda e: (e[2], e[0])), "functions": sorted(functions, key=lambda f: (f[1], f[0])), "nesting": _nesting(tree), "has_guard": guard}
+    return {
+        "imports": sorted(imports), "exports": sorted(exports, key=lambda e: (e[2], e[0])), "functions": _functions(tree), "nesting": _nesting(tree),
+        "has_guard": any(map(_is_guard, tree.body)), "has_side_effects": any(map(_acts, tree.body)),
+    }
 
 
 def extract_python(files: DataFrame) -> DataFrame:
     """``files(path, content)`` with imports, exports, functions, nesting and the program guard; broken files get empty lists."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = {"imports": [], "exports": [], "functions": [], "nesting": 0, "has_guard": False}
+        none = {"imports": [], "exports": [], "functions": [], "nesting": 0, "has_guard": False, "has_side_effects": False}
         for frame in frames:
             rows = [{"path": p, **(parse_python(bytes(c)) or none)} for p, c in zip(frame["path"], frame["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", *none])
@@ -73,39 +123,115 @@ def extract_python(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, f"path string, {SHAPE}")
 
 
-#: Patterns over a whole file, multi-line (fixed values): the group is the imported source or the exported name.
-SCRIPT_IMPORT = r"(?m)(?:^\s*(?:import|export)\s[^;'\"]*?from\s*|^\s*import\s*|\brequire\(\s*|\bimport\(\s*)['\"]([^'\"]+)['\"]"
+#: Patterns over a whole file, multi-line (fixed values).  Imports: the clause, then the source.  Exports: the name.
+SCRIPT_IMPORTS = [
+    r"(?m)^\s*(?:import|export)\s+(?:type\s+)?([^;'\"]*?)\s*from\s*['\"]([^'\"]+)['\"]",
+    r"(?m)^\s*import()\s*['\"]([^'\"]+)['\"]",
+    r"(?:\b(?:const|let|var)\s+([^=;]+?)\s*=\s*)?\brequire\(\s*['\"]([^'\"]+)['\"]",
+    r"\bimport()\(\s*['\"]([^'\"]+)['\"]",
+]
 SCRIPT_EXPORTS = {
     "function": r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)",
     "class": r"(?m)^\s*export\s+(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)",
     "type": r"(?m)^\s*export\s+(?:declare\s+)?(?:interface|type|enum)\s+([A-Za-z_$][\w$]*)",
     "variable": r"(?m)^\s*export\s+(?:const|let|var)\s+([A-Za-z_$][\w$]*)",
 }
-GO_IMPORT = r"(?m)^(?:import\s+(?:[\w.]+\s+)?|\s+(?:[\w.]+\s+)?)\"([^\"\s]+)\"\s*$"
+#: Names in an export clause are variables.
+SCRIPT_CLAUSE = r"(?m)^\s*export\s*\{([^}]*)\}\s*(?:;|$)"
+SCRIPT_FUNCTIONS = [
+    r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)",
+    r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)[^=]*=>|[A-Za-z_$][\w$]*\s*=>)",
+]
+GO_IMPORT = r"(?m)^(?:import\s+([\w.]+\s+)?|\s+([\w.]+\s+)?)\"([^\"\s]+)\"\s*$"
 GO_EXPORTS = {
     "function": r"(?m)^func\s+(?:\([^)]*\)\s*)?(\p{Lu}\w*)",
     "class": r"(?m)^type\s+(\p{Lu}\w*)\s+struct\b",
     "type": r"(?m)^type\s+(\p{Lu}\w*)\s+(?!struct\b)",
     "variable": r"(?m)^(?:var|const)\s+(\p{Lu}\w*)",
 }
+GO_FUNCTION = r"^func\s+(?:\(\s*(?:\w+\s+)?\*?(\w+)[^)]*\)\s*)?(\w+)\s*[(\[]"
+CALL = r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
+#: Words before a bracket that call nothing (fixed values).
+NOT_CALLS = {"script": "if for while switch catch return function import typeof await new async".split(), "go": "if for switch return func go defer select range".split()}
+
+
+def _text(files: DataFrame, name: str = "path") -> DataFrame:
+    return files.select(F.col("path").alias(name), F.col("content").cast("string").alias("text"))
+
+
+def _all(pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(group))
 
 
-def _found(pattern: str):
-    return F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(1))
+def _listed(clause: Column) -> Column:
+    """The names of ``a, b as c, d: e``: each one's original."""
+    return F.filter(F.transform(F.split(clause, ","), lambda x: F.regexp_replace(F.trim(F.translate(x, "\n\t", "  ")), r"^type\s+|\s+as\s.*$|\s*:.*$", "")), lambda x: x != "")
+
+
+def _specifiers(clause: Column) -> Column:
+    """Sorted names of an import clause: the default, ``*`` for a namespace, those in braces."""
+    braces = F.regexp_extract(clause, r"(?s)\{([^}]*)\}", 1)
+    default = F.regexp_extract(clause, r"^([A-Za-z_$][\w$]*)", 1)
+    star = F.when(F.contains(clause, F.lit("*")), "*").otherwise("")
+    return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(default, star), _listed(braces)), lambda x: x != "")))
 
 
 def imports_by_pattern(files: DataFrame, go: bool = False) -> DataFrame:
-    """``src, source, is_relative`` of script or Go files ``(path, content)``."""
-    text = files.select(F.col("path").alias("src"), F.col("content").cast("string").alias("text"))
-    rows = text.select("src", F.explode(F.array_distinct(_found(GO_IMPORT if go else SCRIPT_IMPORT))).alias("source"))
+    """``src, source, specifiers, is_relative`` of script or Go files ``(path, content)``; a Go alias is its only specifier."""
+
+    def read(pattern: str) -> Column:
+        specs = (lambda m: F.filter(F.array(F.trim(F.concat(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)))), lambda x: x != "")) if go else (lambda m: _specifiers(F.regexp_extract(m, pattern, 1)))
+        return F.transform(_all(pattern, 0), lambda m: F.struct(F.regexp_extract(m, pattern, 3 if go else 2).alias("source"), specs(m).alias("specifiers")))
+
+    found = F.concat(*[read(p) for p in ([GO_IMPORT] if go else SCRIPT_IMPORTS)])
+    rows = _text(files, "src").select("src", F.explode(F.array_distinct(found)).alias("i")).select("src", "i.*")
     return rows.withColumn("is_relative", F.lit(False) if go else F.col("source").rlike("^[./]"))
 
 
 def exports_by_pattern(files: DataFrame, go: bool = False) -> DataFrame:
     """``path, name, kind`` of script or Go files ``(path, content)``."""
+    named = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
+    parts = [named(_all(p), k) for k, p in (GO_EXPORTS if go else SCRIPT_EXPORTS).items()]
+    if not go:
+        parts.append(named(F.flatten(F.transform(_all(SCRIPT_CLAUSE), _listed)), "variable"))
+    return _text(files).select("path", F.explode(F.concat(*parts)).alias("e")).select("path", "e.*").distinct()
+
+
+def functions_by_pattern(files: DataFrame, go: bool = False) -> DataFrame:
+    """``path, name, line, end_line, calls`` of script or Go files ``(path, content)``.
+
+    A function reaches to the line before the next one, or to the last line; methods of Go are named ``Receiver.Method``.
+    """
+    lines = _text(files).select("path", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    if go:
+        name = F.nullif(F.concat_ws(".", F.nullif(F.regexp_extract("text", GO_FUNCTION, 1), F.lit("")), F.nullif(F.regexp_extract("text", GO_FUNCTION, 2), F.lit(""))), F.lit(""))
+    else:
+        name = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in SCRIPT_FUNCTIONS])
+    in_file = Window.partitionBy("path").orderBy("at")  # the lines of one file
+    begun = F.last(F.when(F.col("name").isNotNull(), F.struct(F.col("at").alias("line"), "name")), ignorenulls=True).over(in_file)
+    body = F.when(F.col("name").isNull(), F.col("text")).otherwise(F.regexp_replace("text", r"^[^{=]*", ""))
+    calls = F.filter(F.regexp_extract_all(body, F.lit(CALL), F.lit(1)), lambda c: ~c.isin(*NOT_CALLS["go" if go else "script"]))
+    rows = lines.withColumn("name", name).select("path", "at", begun.alias("f"), calls.alias("c")).filter("f is not null")
+    per = rows.groupBy("path", "f").agg(F.max("at").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("calls"))
+    return per.select("path", F.col("f.name").alias("name"), (F.col("f.line") + 1).alias("line"), (F.col("end") + 1).alias("end_line"), "calls")
+
+
+class Reader(NamedTuple):
+    """Table functions over ``files(path, content)``."""
+
+    imports: Callable[[DataFrame], DataFrame]
+    exports: Callable[[DataFrame], DataFrame]
+    functions: Callable[[DataFrame], DataFrame]
+
+
+LANGUAGES: dict[str, Reader] = {
+    "script": Reader(imports_by_pattern, exports_by_pattern, functions_by_pattern),
+    "go": Reader(lambda f: imports_by_pattern(f, True), lambda f: exports_by_pattern(f, True), lambda f: functions_by_pattern(f, True)),
+}
 
-    def named(kind: str, pattern: str):
-        return F.transform(_found(pattern), lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
 
-    found = F.flatten(F.array(*[named(k, p) for k, p in (GO_EXPORTS if go else SCRIPT_EXPORTS).items()]))
-    return files.select("path", F.col("content").cast("string").alias("text")).select("path", F.explode(found).alias("e")).select("path", "e.*").distinct()
+def register(language: str, reader: Reader) -> None:
+    """Add a language (its suffixes are added to ``tree.LANGUAGES``); a name can be taken once."""
+    if language in LANGUAGES or language == "python":
+        raise ValueError(f"{language} is read already")
+    LANGUAGES[language] = reader

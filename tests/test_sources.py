@@ -30,7 +30,7 @@ def test_a_python_tree_becomes_a_graph(spark, tmp_path):
     assert {r.path for r in files.filter("is_test").collect()} == {"tests/test_run.py"}
     parsed = extract.extract_python(files).cache()
     run = parsed.filter("path = 'app/run.py'").first()
-    assert [i.source for i in run.imports] == [".", ".models", "app.models", "os"] and run.nesting == 2 and run.has_guard
+    assert [i.source for i in run.imports] == [".", ".models", "app.models", "os"] and run.nesting == 3 and run.has_guard
     assert [e.name for e in parsed.filter("path = 'app/models.py'").first().exports] == ["User", "LIMIT"]
     assert [e.name for e in parsed.filter("path = 'app/tools.py'").first().exports] == ["a"]
     imports = parsed.select(F.col("path").alias("src"), F.explode("imports").alias("i")).select("src", "i.source", "i.specifiers")
