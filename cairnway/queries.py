@@ -112,7 +112,7 @@ def caller_tiers(spark, d):
     return metrics(spark, d).select("path", "fan_in", graph.caller_tier().alias("tier"))
 
 
-@query("""SELECT path, CASE WHEN callers = 0 THEN 'No callers' ELSE 'Called by: ' || array_to_string(list_transform(names[1:5], lambda x: x::VARCHAR), ', ') || CASE WHEN callers > 5 THEN ' +' || (callers - 5) || ' more' ELSE '' END END AS title
+@query("""SELECT path, CASE WHEN callers = 0 THEN 'Called by: none (potential dead code)' ELSE 'Called by: ' || array_to_string(list_transform(names[1:5], lambda x: x::VARCHAR), ', ') || CASE WHEN callers > 5 THEN ' ... +' || (callers - 5) || ' more' ELSE '' END END AS title
 FROM (SELECT p.p_partkey AS path, count(u.src) AS callers, coalesce(list(u.src ORDER BY u.src) FILTER (u.src IS NOT NULL), []) AS names FROM part p LEFT JOIN uses u ON u.dst = p.p_partkey AND u.name = 'R' GROUP BY ALL)""")
 def truncated_callers(spark, d):
     rows = usage(spark, d).filter("name = 'R'")
@@ -226,7 +226,7 @@ def test_pairing(spark, d):
 @query()
 def reading_order(spark, d):
     """The greedy order has no SQL form; tests hold it against brute force."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in order.LAYERS]), "layer")
+    rank = F.array_position(F.array(*[F.lit(x) for x in order.LAYERS]), F.col("layer"))
     rows = layered(spark, d).withColumn("pass", order.reading_pass(F.col("file"), F.lit(0.0), F.col("fan_in"), F.col("fan_out"), {}))
     files = rows.select("repo_id", "pass", F.concat_ws("#", "file", "path").alias("named"), "path", rank.alias("layer_rank"), "fan_in")
     home = views.nodes(spark, d).select("path", "repo_id", F.concat_ws("#", "file", "path").alias("named"))
@@ -400,3 +400,172 @@ def next_briefing(spark, d):
 @query("SELECT layer, layer || ': ' || count(*) || ' files, from ' || min(file) AS line FROM lay GROUP BY layer")
 def index_summary(spark, d):
     return reports.index_summary(layered(spark, d).select(F.col("file").alias("path"), "layer"))
+
+
+SHORT_SQL = "array_to_string(list_transform({names}[1:5], lambda x: x::VARCHAR), ', ') || CASE WHEN len({names}) > 5 THEN ' ... +' || (len({names}) - 5) || ' more' ELSE '' END"
+
+
+@query(f"""SELECT n.path, CASE WHEN i.names IS NULL THEN 'Called by: none (potential dead code)' ELSE 'Called by: ' || {SHORT_SQL.format(names='i.names')} END || coalesce(' | Calls: ' || {SHORT_SQL.format(names='o.names')}, '') AS title
+FROM nodes n LEFT JOIN (SELECT dst AS path, list(src ORDER BY src) AS names FROM dag GROUP BY dst) i USING (path) LEFT JOIN (SELECT src AS path, list(dst ORDER BY dst) AS names FROM dag GROUP BY src) o USING (path)""")
+def lens_titles(spark, d):
+    texts = lambda c: F.coalesce(F.transform(c, lambda x: x.cast("string")), F.array().cast("array<string>")).alias(c)
+    found = views.nodes(spark, d).select("path").join(graph.adjacency(views.edges_dag(spark, d)), "path", "left")
+    return progress.lens_titles(found.select("path", texts("imports"), texts("imported_by")))
+
+
+def shipped(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files that export the names of their suppliers, in an order of their own."""
+    named = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.collect_set(F.concat(F.lit("s"), "l_suppkey")).alias("exports"))
+    return named.withColumn("index", F.col("path") % 97)
+
+
+@query("SELECT 's' || l_suppkey AS symbol, arg_min(l_partkey, (l_partkey % 97, l_partkey)) AS path FROM lineitem GROUP BY 1")
+def symbol_home(spark, d):
+    return graph.find_symbol(shipped(spark, d))
+
+
+@query()
+def blast_result(spark, d):
+    return graph.blast_result("s3", shipped(spark, d), views.edges_cyc(spark, d))
+
+
+ORACLES["blast_result"] = f"""WITH RECURSIVE {VIEWS}, home AS (SELECT l_partkey AS path FROM lineitem WHERE l_suppkey = 3 ORDER BY l_partkey % 97, l_partkey LIMIT 1),
+hit AS (SELECT src AS path FROM cyc WHERE dst IN (SELECT path FROM home) UNION SELECT e.src FROM hit h JOIN cyc e ON e.dst = h.path)
+SELECT 's3' AS symbol, (SELECT path FROM home) AS source_file, (SELECT count(*) FROM hit) AS affected_count"""
+
+
+@query()
+def dir_tree(spark, d):
+    return graph.dir_tree(views.nodes(spark, d).select(F.col("file").alias("path"), (F.col("p_size") % 25).alias("layer")))
+
+
+ORACLES["dir_tree"] = f"""WITH RECURSIVE {VIEWS}, f AS (SELECT p_size % 25 AS layer, string_split(file, '/') AS parts FROM nodes),
+up AS (SELECT layer, array_to_string(parts[1:k], '/') AS dir, k = len(parts) - 1 AS own FROM (SELECT layer, parts, unnest(range(1, len(parts))) AS k FROM f)),
+d AS (SELECT layer, dir, count(*) FILTER (own) AS n_files, count(*) AS n_below FROM up GROUP BY ALL),
+kid AS (SELECT layer, regexp_replace(dir, '/[^/]*$', '') AS dir, count(*) AS n FROM d WHERE contains(dir, '/') GROUP BY ALL),
+keep AS (SELECT d.* FROM d LEFT JOIN kid USING (layer, dir) WHERE NOT (n_files = 0 AND coalesce(n, 0) = 1))
+SELECT k.layer, k.dir, CASE WHEN max(length(u.dir)) IS NULL THEN k.dir ELSE substr(k.dir, max(length(u.dir)) + 2) END AS label, k.n_files, k.n_below
+FROM keep k LEFT JOIN keep u ON u.layer = k.layer AND starts_with(k.dir, u.dir || '/') GROUP BY k.layer, k.dir, k.n_files, k.n_below"""
+
+
+def tracked(spark: SparkSession, d: str) -> DataFrame:
+    """Three in four users as tracked files with a note and a summary."""
+    users = views.order(spark, d).filter("path % 4 <> 0")
+    return users.select("path", F.lit("unread").alias("status"), F.lit("old").alias("note"), F.col("path").cast("string").alias("summary"))
+
+
+@query("""SELECT policy, coalesce(s.path, u.path) AS path, coalesce(u.status, 'unread') AS status, CASE WHEN u.path IS NULL OR policy = 'editor' THEN s.note ELSE u.note END AS note,
+CASE WHEN u.path IS NULL OR policy = 'editor' THEN s.summary WHEN policy = 'tool' THEN u.last ELSE coalesce(u.summary, s.summary) END AS summary
+FROM (SELECT path, 'old' AS note, path::VARCHAR AS summary FROM ord WHERE path % 4 <> 0) s
+FULL JOIN (SELECT st.*, t.summary AS last FROM st JOIN (SELECT path, summary, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS r FROM upd) t ON t.path = st.path AND t.r = 1) u ON u.path = s.path
+CROSS JOIN (SELECT unnest(['library', 'tool', 'editor']) AS policy) p WHERE policy <> 'library' OR s.path IS NOT NULL""")
+def update_policies(spark, d):
+    after = [progress.apply_updates(tracked(spark, d), views.updates(spark, d), p).withColumn("policy", F.lit(p)) for p in ("library", "tool", "editor")]
+    return after[0].union(after[1]).union(after[2])
+
+
+@query("""SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click') THEN 'unknown status: ' || event_type WHEN user_id % 4 = 0 THEN 'untracked: ' || user_id END AS error FROM events""")
+def update_errors(spark, d):
+    """Event types as statuses: two of them stand for known ones."""
+    status = F.when(F.col("event_type") == "view", "skimmed").when(F.col("event_type") == "click", "confirmed").otherwise(F.col("event_type"))
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").alias("path"), status.alias("status"))
+    return progress.checked_updates(rows, tracked(spark, d)).select("event_id", "error")
+
+
+@query(f"SELECT 5000::BIGINT AS total, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'flagged') AS flagged, count(*) FILTER (status = 'skimmed') AS skimmed, greatest(0, 5000 - count(*) FILTER ({READ_SQL}))::BIGINT AS unread FROM st")
+def carried_counts(spark, d):
+    return progress.carried_counts(state(spark, d), 5000)
+
+
+@query("SELECT path, 'unread' AS status, '2026-01-01T00:00:00Z' AS started_at FROM ord")
+def progress_create(spark, d):
+    return progress.new_state(views.order(spark, d), "2026-01-01T00:00:00Z").select("path", "status", "started_at")
+
+
+@query()
+def refresh_summary(spark, d):
+    was = views.old_hashes(spark, d).select("path", F.when(F.col("path") % 4 == 0, "unread").otherwise("confirmed").alias("status"), F.lit(None).cast("string").alias("note"))
+    edges = table(spark, d, "documents").select(F.col("doc_id").alias("src"), F.expr("doc_id div 2").alias("dst")).filter("dst > 0")
+    return progress.refresh_summary(was, changes(spark, d), edges, views.new_hashes(spark, d).filter("path % 6 <> 0"))
+
+
+ORACLES["refresh_summary"] = f"""WITH RECURSIVE {VIEWS}, modi AS (SELECT path FROM chg WHERE change = 'modified'),
+blk AS (SELECT path FROM oldh WHERE path % 4 = 0 UNION SELECT path FROM chg WHERE change IN ('new', 'modified')),
+hit AS (SELECT path AS node, 0 AS level FROM modi UNION SELECT d.doc_id, h.level + 1 FROM hit h JOIN documents d ON d.doc_id // 2 = h.node AND d.doc_id // 2 > 0 WHERE d.doc_id NOT IN (SELECT path FROM blk))
+SELECT count(*) FILTER (change = 'new') AS "new", count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'unchanged') AS unchanged,
+count(*) FILTER (change = 'unchanged' AND path IN (SELECT node FROM hit WHERE level > 0)) AS stale, count(*) FILTER (change <> 'removed' AND path % 6 = 0) AS pruned FROM chg"""
+
+
+@query("""SELECT l_orderkey AS path, count(DISTINCT l_linenumber) FILTER (l_returnflag = 'R') AS n_read, count(DISTINCT l_linenumber) AS n_exports,
+count(DISTINCT l_linenumber) FILTER (l_returnflag = 'R') > 0 AND count(DISTINCT l_linenumber) FILTER (l_returnflag = 'R') < count(DISTINCT l_linenumber) AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS partial FROM lineitem GROUP BY l_orderkey""")
+def export_progress(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("name"), "l_returnflag")
+    marks = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("unread").alias("status"))
+    return progress.export_progress(lines, lines.filter("l_returnflag = 'R'"), marks)
+
+
+@query(f"SELECT list_position(['foundation', 'core', 'features', 'integration', 'entry'], layer) - 1 AS rank, layer || ' (' || count(*) FILTER ({READ_SQL}) || '/' || count(*) || ' read)' AS line FROM ord LEFT JOIN st USING (path) GROUP BY layer")
+def layer_lines(spark, d):
+    return reports.layer_lines(progress.layer_progress(views.order(spark, d), state(spark, d)))
+
+
+@query("SELECT st.path, CASE WHEN st.path IN (SELECT dst FROM dag WHERE src = 10) THEN 'dependency' ELSE 'general' END AS bucket, status, summary FROM st JOIN ord USING (path) WHERE status <> 'unread' AND st.path <> 10")
+def summaries_split(spark, d):
+    current = views.nodes(spark, d).filter("path = 10").select("path")
+    return progress.summaries_split(views.order(spark, d), state(spark, d), views.edges_dag(spark, d), current)
+
+
+@query(f"SELECT path, CASE WHEN path = 10 THEN '{progress.CURRENT_BADGE}' WHEN status = 'confirmed' THEN '{progress.BADGES['confirmed']}' WHEN status = 'flagged' THEN '!' WHEN status = 'skimmed' THEN '~' END AS badge FROM st")
+def status_badges(spark, d):
+    return progress.decorated(state(spark, d), views.order(spark, d).filter("path = 10"))
+
+
+@query("SELECT path FROM st WHERE status = 'flagged' AND path NOT IN (SELECT path FROM ord WHERE layer = 'core')")
+def flagged_remaining(spark, d):
+    return progress.remaining(state(spark, d).filter("status = 'flagged'"), views.order(spark, d).filter("layer = 'core'")).select("path")
+
+
+GIT_PATH = "concat('d', doc_id % 3, '/', doc_id)"
+
+
+@query(f"""SELECT path, change FROM (SELECT {GIT_PATH} AS path, CASE doc_id % 7 WHEN 0 THEN 'new' WHEN 1 THEN 'modified' WHEN 2 THEN 'removed' WHEN 3 THEN 'removed' END AS change FROM documents
+UNION ALL SELECT concat('moved/', doc_id), 'new' FROM documents WHERE doc_id % 7 = 3) WHERE change IS NOT NULL AND NOT starts_with(path, 'd0/')
+UNION ALL SELECT {GIT_PATH}, 'unchanged' FROM documents WHERE doc_id % 7 > 3 OR doc_id % 3 = 0""")
+def git_changes(spark, d):
+    docs = table(spark, d, "documents").select(F.expr(GIT_PATH).alias("path"), "doc_id")
+    lines = docs.select(F.get(F.split(F.lit("A,M,D,R100,C75,T,U"), ","), (F.col("doc_id") % 7).cast("int")).alias("status"), "path", F.concat(F.lit("moved/"), "doc_id").alias("new_path"))
+    return progress.with_unchanged(progress.outside_dir(progress.git_changes(lines), "d0"), docs)
+
+
+@query("""SELECT count(*) AS n_files, sum(n)::BIGINT AS n_lines, ceil(count(*) / 35)::BIGINT AS sessions
+FROM (SELECT len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#'))) AS n FROM documents)""")
+def size_estimate(spark, d):
+    return reports.size_estimate(table(spark, d, "documents").select(P.code_lines(F.col("text")).alias("line_count")))
+
+
+@query("SELECT l_partkey AS path, avg((l_returnflag IN ('A', 'R'))::INT::DOUBLE) AS type_share FROM lineitem GROUP BY 1")
+def contract_ratio(spark, d):
+    kind = F.when(F.col("l_returnflag") == "A", "type").when(F.col("l_returnflag") == "R", "class").otherwise("variable")
+    return graph.contract_ratio(table(spark, d, "lineitem").select(F.col("l_partkey").alias("path"), kind.alias("kind")))
+
+
+@query("SELECT path FROM deg WHERE p_size = 1 OR split_part(file, '/', 3) IN ('main.py', '__main__.py', 'app.py', 'server.py', 'cli.py', 'm5.py') OR (fan_in = 0 AND p_size % 2 = 0)")
+def entry_files(spark, d):
+    hit = order.is_entry(F.col("file"), F.col("fan_in"), F.col("p_size") == 1, F.col("p_size") % 2 == 0, {"tool": "pkg.m5:main"})
+    return metrics(spark, d).filter(hit).select("path")
+
+
+@query("""SELECT path, CASE WHEN fan_in >= 3 THEN 'Contract surface (core layer).' || CASE WHEN fan_in > 0 THEN ' Imported by ' || fan_in || ' file(s).' ELSE '' END
+WHEN fan_out > 1 THEN 'Data flow path (core layer).' || ' Depends on ' || fan_out || ' file(s).' ELSE 'Utility code (core layer).' END AS reason FROM deg""")
+def reasons(spark, d):
+    kind = F.when(F.col("fan_in") >= 3, "contracts").when(F.col("fan_out") > 1, "data_flow").otherwise("utility")
+    return metrics(spark, d).select("path", order.reason(kind, F.lit("core"), F.col("fan_in"), F.col("fan_out")).alias("reason"))
+
+
+@query(f"""SELECT concat_ws(chr(10), 'Progress: ' || r || '/' || n || ' files (' || round_even(100.0 * r / n, 0)::BIGINT || '%)', '  confirmed: ' || c, '  flagged: ' || f, '  skimmed: ' || s, '  unread: ' || (n - r), '',
+coalesce('Current layer: ' || (SELECT layer || ' (' || percent || '% complete)' FROM ({CURRENT_SQL.format(round=f"round_even(100.0 * count(*) FILTER ({READ_SQL}) / count(*), 0)", by="layer")})), 'All layers complete'),
+'Next file: ' || coalesce((SELECT path::VARCHAR FROM ord JOIN st USING (path) WHERE status = 'unread' ORDER BY idx LIMIT 1), '(none -- all files read)'), 'Flagged files awaiting second pass: ' || f, '',
+'Sessions: 3 | Avg pace: ~' || round_even(r / 3, 0)::BIGINT || ' files/session') AS text
+FROM (SELECT count(*) AS n, count(*) FILTER ({READ_SQL}) AS r, count(*) FILTER (status = 'confirmed') AS c, count(*) FILTER (status = 'flagged') AS f, count(*) FILTER (status = 'skimmed') AS s FROM st)""")
+def status_text(spark, d):
+    return reports.status_text(views.order(spark, d), state(spark, d), 3)
