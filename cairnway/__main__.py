@@ -11,8 +11,11 @@ from pyspark.sql import SparkSession
 
 from cairnway.config import read_options
 from cairnway.operators import order, reports
+from cairnway.operators.progress import utc_now
 from cairnway.plans.index import entries, index
-from cairnway.sources.documents import write_table
+from cairnway.plans.staging import staged
+from cairnway.sources.documents import map_document, write_json, write_table
+from cairnway.sources.tree import ignore_lines
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -27,11 +30,13 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     out = Path(args.out) if args.out else root / ".cairnway"
     spark = SparkSession.builder.appName("cairnway").getOrCreate()
-    ignore = {"" if f.parent == root else str(f.parent.relative_to(root)): f.read_text().splitlines() for f in [root / ".gitignore"] if f.is_file()}
+    ignore = ignore_lines(str(root))
     found = index(spark, str(root), read_options(out), ignore)
     for field in fields(found):
         write_table(getattr(found, field.name), str(out / field.name))
-    write_table(entries(found), str(out / "entries"))
+    listed = staged(entries(found), "entries")
+    write_table(listed, str(out / "entries"))
+    write_json(map_document(listed, found.files, str(root), utc_now()).coalesce(1), str(out / "map"))
     placed = found.order.select("path", "layer")
     for row in sorted(reports.index_summary(placed).collect(), key=lambda r: order.LAYERS.index(r.layer)):  # five rows at most
         print(row.line)

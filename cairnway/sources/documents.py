@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnway.operators.order import LAYERS
+
 ENTRY = (
     "struct<index:int,path:string,layer:string,reason:string,complexity:string,line_count:int,imports:array<string>,imported_by:array<string>,"
     "exports:array<string>,symbol_usage:map<string,struct<callers:int,used_by:array<string>>>>"
@@ -48,6 +51,40 @@ def state_of(progress: DataFrame) -> DataFrame:
     return progress.select(F.explode("files").alias("path", "f")).select("path", "f.*")
 
 
+def hashes_or_none(spark: SparkSession, path: str) -> DataFrame:
+    """The hashes of an earlier index; an empty table if there is no readable one."""
+    try:
+        return hashes_of(read_map(spark, path))
+    except AnalysisException:  # no such path
+        return spark.createDataFrame([], "path string, hash string")
+
+
+def map_document(entries: DataFrame, hashes: DataFrame, repo_root: str, generated_at: Column, version: str = "1.0.0") -> DataFrame:
+    """One row in the shape of ``MAP``.
+
+    A map document is a single JSON value by its format, so it holds one repository; larger sets stay tables.
+    """
+    entry = F.struct("index", "path", "layer", "reason", "complexity", "line_count", "imports", "imported_by", "exports", "symbol_usage")
+    links = F.struct("path", F.struct("imports", "imported_by"))
+    ordered = F.array_sort(F.collect_list(entry), lambda a, b: a["index"] - b["index"])
+    body = entries.agg(F.count("*").cast("int").alias("total_files"), ordered.alias("reading_order"), F.map_from_entries(F.array_sort(F.collect_list(links))).alias("dependency_graph"))
+    grouped = entries.groupBy("layer").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    names = grouped.sparkSession.createDataFrame([(x,) for x in LAYERS], "layer string").join(grouped, "layer", "left")
+    none = F.array().cast("array<string>")
+    layers = names.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("layer", F.struct(F.concat("layer", F.lit(" layer")).alias("description"), F.coalesce("files", none).alias("files")))))).alias("layers"))
+    known = hashes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "hash")))).alias("content_hashes"))
+    one = body.join(layers, F.lit(True)).join(known, F.lit(True))  # single rows
+    return one.select(
+        F.lit(version).alias("version"), F.lit(repo_root).alias("repo_root"), generated_at.alias("generated_at"), "total_files", "content_hashes", "layers", "reading_order", "dependency_graph"
+    )
+
+
+def map_hash(maps: DataFrame) -> DataFrame:
+    """``hash``: the SHA-256 of a map document without its time."""
+    kept = F.to_json(F.struct(*[c for c in maps.columns if c != "generated_at"]))
+    return maps.select(F.sha2(kept, 256).alias("hash"))
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Parquet, replacing what is there; the committer renames finished files, so readers see whole tables."""
     df.write.mode("overwrite").parquet(path)

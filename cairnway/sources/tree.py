@@ -57,6 +57,18 @@ def ignored(path: Column, specs: dict[str, list[str]]) -> Column:
     return out
 
 
+def ignore_lines(root: str, name: str = ".gitignore") -> dict[str, list[str]]:
+    """The lines of all ignore files below ``root`` by directory, for ``ignored``; skipped directories are not entered."""
+    out = {}
+    for folder, below, names in os.walk(root):
+        below[:] = sorted(d for d in below if d not in SKIPPED and not os.path.islink(os.path.join(folder, d)))
+        if name in names:
+            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as file:
+                at = os.path.relpath(folder, root)
+                out["" if at == "." else at] = file.read().splitlines()
+    return out
+
+
 def list_dirs(frames: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
     """What the named directories hold, links left out; a directory that cannot be read holds nothing."""
     for frame in frames:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "id long, tool string, params string"
@@ -48,3 +49,34 @@ def running_status(updates: DataFrame) -> DataFrame:
 
     shape = "seq long, status string, note string, summary string"
     return updates.groupBy("path").applyInPandasWithState(step, f"path string, {shape}", shape, "update", GroupStateTimeout.NoTimeout)
+
+
+RANGES = "file string, start int, end int"
+
+
+def highlights(events: DataFrame) -> DataFrame:
+    """``path, ranges`` after a batch of events ``(id, tool, params)``: ranges are appended, clearing one file or all drops what came before.
+
+    Files without ranges are left out.  A stream keeps its events as a table and calls this in ``foreachBatch``.
+    """
+    p = F.from_json("params", RANGES)
+    rows = events.select("id", "tool", p["file"].alias("path"), p["start"].alias("start"), p["end"].alias("end"))
+    all_ = rows.filter("tool = 'clear_all' or (tool = 'clear_highlights' and path is null)").agg(F.max("id").alias("_all"))  # one row
+    own = rows.filter("tool = 'clear_highlights' and path is not null").groupBy("path").agg(F.max("id").alias("_own"))
+    kept = rows.filter("tool = 'highlight_range' and path is not null").join(own, "path", "left").join(F.broadcast(all_), F.lit(True))
+    kept = kept.filter(F.col("id") > F.greatest(F.coalesce("_own", F.lit(-1)), F.coalesce("_all", F.lit(-1))))
+    ordered = F.array_sort(F.collect_list(F.struct("id", "start", "end")))
+    return kept.groupBy("path").agg(F.transform(ordered, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("ranges"))
+
+
+def export_marks(events: DataFrame) -> DataFrame:
+    """``path, name, seq``: exports marked as read, with the first event that did so."""
+    p = F.from_json("params", PARAMS)
+    rows = events.filter("tool = 'mark_export_read'").select(p["file"].alias("path"), p["export"].alias("name"), "id")
+    return rows.filter("path is not null and name is not null").groupBy("path", "name").agg(F.min("id").alias("seq"))
+
+
+def on_change(spark: SparkSession, folder: str, schema: str, react: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Calls ``react(rows, batch)`` for the documents that were added to ``folder`` since the last call (JSON, a document a file)."""
+    changed = spark.readStream.schema(schema).option("multiLine", "true").json(folder)
+    return changed.writeStream.foreachBatch(react).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,12 +1,16 @@
 """A small tree from files to its reading order, the options, and the state operators around it."""
 
+import json
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
 from cairnway.config import Options, parse_options, read_options
 from cairnway.operators import graph, order, progress, reports
 from cairnway.plans.index import entries, index, ordered
-from cairnway.sources import extract
+from cairnway.sources import documents, extract, git, tree
+from cairnway.streaming import events
 
 TREE = {
     "app/__init__.py": "", "app/models.py": "class User:\n    pass\n_hidden = 1\nLIMIT = 3\n",
@@ -161,3 +165,57 @@ def test_the_command_line_writes_tables(spark, root, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "entry: 1 files, from app/run.py" in said and "contracts: 3" in said
     assert spark.read.parquet(str(tmp_path / "out" / "entries")).count() == 10
+    maps = documents.read_map(spark, str(tmp_path / "out" / "map"))
+    assert [r["index"] for r in documents.order_of(maps).collect()] == list(range(10)) and ("app/run.py", "app/more.py") in rows(documents.edges_of(maps), "src", "dst")
+    one = maps.first()
+    assert one.total_files == 10 and set(one.layers) == set(order.LAYERS) and one.layers["entry"].files == ["app/run.py"] and len(one.content_hashes) == 11
+    later = maps.withColumn("generated_at", F.lit("later"))
+    assert documents.map_hash(maps).collect() == documents.map_hash(later).collect()
+    assert rows(documents.hashes_or_none(spark, str(tmp_path / "out" / "map")), "path") == {(p,) for p in one.content_hashes}
+    assert documents.hashes_or_none(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_git_answers(spark, tmp_path):
+    run = lambda *words: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *words], check=True, capture_output=True)
+    assert not git.is_repository(str(tmp_path / "absent")) and git.head(str(tmp_path)) is None
+    run("init", "-q", "-b", "trunk")
+    (tmp_path / "a.py").write_text("1")
+    (tmp_path / "é b.py").write_text("1")
+    run("add", "."), run("commit", "-qm", "one")
+    first = git.head(str(tmp_path))
+    (tmp_path / "a.py").rename(tmp_path / "c.py")
+    (tmp_path / "é b.py").write_text("2")
+    run("add", "."), run("commit", "-qm", "two")
+    assert git.is_repository(str(tmp_path)) and git.branch(str(tmp_path)) == "trunk" and git.has_commit(str(tmp_path), first)
+    assert not git.has_commit(str(tmp_path), "-h") and git.diff(spark, str(tmp_path), "nothing") is None
+    assert rows(progress.git_changes(git.diff(spark, str(tmp_path), first)), "path", "change") == {("a.py", "removed"), ("c.py", "new"), ("é b.py", "modified")}
+    run("checkout", "-q", first)
+    assert git.branch(str(tmp_path)) is None
+
+
+def test_ignore_files_are_found_by_directory(tmp_path):
+    for name in (".gitignore", "a/.gitignore", "node_modules/.gitignore"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x\n!y\n")
+    assert tree.ignore_lines(str(tmp_path)) == {"": ["x", "!y"], "a": ["x", "!y"]}
+
+
+def test_highlights_and_export_marks(spark):
+    say = lambda i, tool, **p: (i, tool, json.dumps(p))
+    log = [
+        say(1, "highlight_range", file="a", start=1, end=2), say(2, "clear_all"), say(3, "highlight_range", file="a", start=5, end=6), say(4, "highlight_range", file="b", start=1, end=1),
+        say(5, "clear_highlights", file="b"), say(6, "highlight_range", file="a", start=3, end=3), say(7, "mark_export_read", file="a", export="f"), say(8, "mark_export_read", file="a", export="f"), say(9, "mark_export_read", file="a"),
+    ]
+    table = spark.createDataFrame(log, events.EVENT)
+    assert [(r.path, [tuple(x) for x in r.ranges]) for r in events.highlights(table).collect()] == [("a", [(5, 6), (3, 3)])]
+    assert rows(events.export_marks(table), "path", "name", "seq") == {("a", "f", 7)}
+    assert events.highlights(table.limit(0)).count() == 0
+
+
+def test_changed_documents_are_passed_on(spark, tmp_path):
+    source, seen = tmp_path / "in", []
+    source.mkdir()
+    for i in range(2):
+        (source / f"{i}.json").write_text(json.dumps({"n": i}, indent=1))
+        events.on_change(spark, str(source), "n int", lambda df, _: seen.append([r.n for r in df.collect()]), str(tmp_path / "cp")).awaitTermination()
+    assert seen == [[0], [1]]
