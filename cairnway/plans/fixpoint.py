@@ -7,13 +7,20 @@ finds a side small), writes it to the shared folder and asks only whether anythi
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cairnway.plans.staging import staged
 
+#: Edges on cycles, after trimming and counting, that one task takes on; more are coloured in rounds.
+ONE_TASK_EDGES = 200_000
+
 
 def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
     """``path, depth``: the longest way to a file without imports; ``edges`` hold no cycle (see ``acyclic``)."""
@@ -73,15 +80,57 @@ def cores(edges: DataFrame) -> DataFrame:
     return now
 
 
-def components(edges: DataFrame) -> DataFrame:
+def strong_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``path, scc`` of the components of two or more among ``(src, dst)`` rows: two depth-first walks, without recursion."""
+    ahead, behind = defaultdict(list), defaultdict(list)
+    for frame in frames:
+        for a, b in zip(frame["src"], frame["dst"], strict=True):
+            ahead[a].append(b)
+            behind[b].append(a)
+    left_last, seen = [], set()
+    for start in list(ahead):
+        if start in seen:
+            continue
+        seen.add(start)
+        walk = [(start, iter(ahead[start]))]
+        while walk:
+            at, rest = walk[-1]
+            step = next((x for x in rest if x not in seen), None)
+            if step is None:
+                left_last.append(at)
+                walk.pop()
+            else:
+                seen.add(step)
+                walk.append((step, iter(ahead.get(step, ()))))
+    waiting, rows = set(left_last), []
+    for start in reversed(left_last):
+        if start in waiting:
+            waiting.discard(start)
+            group = [start]
+            for at in group:  # grows while it is walked
+                new = [x for x in dict.fromkeys(behind.get(at, ())) if x in waiting]
+                waiting.difference_update(new)
+                group += new
+            if len(group) > 1:
+                name = max(group)
+                rows += [(x, name) for x in group]
+    yield pd.DataFrame(rows, columns=["path", "scc"])
+
+
+def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """``path, scc``: members of strongly connected components of two or more, or with a self-loop; ``scc`` is the largest member.
 
     Trim, colour forwards by the largest node that reaches each, then walk back from each colour's
-    root inside its colour: what both reach is a component.  Repeat on what is left.
+    root inside its colour: what both reach is a component.  Repeat on what is left; once that has no more
+    than ``one_task_edges`` edges, one task finishes it.
     """
     loops = edges.filter("src = dst").select(F.col("src").alias("path"), F.col("src").alias("scc")).distinct()
     left, out = cores(edges.filter("src <> dst")), []
-    while not left.isEmpty():
+    while (n := left.count()) > 0:
+        if n <= one_task_edges:
+            kind = edges.schema["src"].dataType
+            out.append(staged(left.coalesce(1).mapInPandas(strong_groups, StructType([StructField("path", kind), StructField("scc", kind)])), "scc"))
+            break
         nodes = left.select(F.col("src").alias("path")).union(left.select("dst")).distinct()
         colour = staged(nodes.select("path", F.col("path").alias("colour")), "colour")
         while True:

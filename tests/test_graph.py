@@ -27,14 +27,14 @@ def closure(n, edges):
     return reach
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_match_mutual_reachability(spark, seed):
+@pytest.mark.parametrize(("seed", "one_task"), [(1, 0), (2, 0), (1, 100), (2, 100), (5, 6)])
+def test_components_match_mutual_reachability(spark, seed, one_task):
     rng = random.Random(seed)
     n = 16
     edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(22)})
     reach = closure(n, edges)
     want = {(a, max([a, *(b for b in reach[a] if a in reach[b])])) for a in range(n) if a in reach[a]}
-    assert {tuple(r) for r in fixpoint.components(frames(spark, n, edges)[1]).collect()} == want
+    assert {tuple(r) for r in fixpoint.components(frames(spark, n, edges)[1], one_task).collect()} == want
 
 
 def test_depth_is_the_longest_path_and_ignores_cycle_edges(spark):
