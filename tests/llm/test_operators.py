@@ -128,6 +128,57 @@ def test_keep_one_drops_confirmed_copies_only(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()) == [5, 8, 9, 10]
 
 
+def test_keep_one_finds_similar_texts_whose_fingerprints_are_far_apart(spark):
+    rng = random.Random(11)
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    similarity = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    apart = lambda a, b: (simhash.fingerprint(a.encode(), 3) ^ simhash.fingerprint(b.encode(), 3)).bit_count()
+    pairs, below = [], []
+    while len(pairs) < 12 or len(below) < 12:
+        n = rng.choice([30, 60, 100, 300])
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        near = list(base)
+        for i in rng.sample(range(n), max(1, n * 2 // 100)):
+            near[i] = "changed"
+        a, b = " ".join(base), " ".join(near)
+        if similarity(a, b) >= 0.8 and apart(a, b) > 10:
+            pairs.append((a, b))
+        elif 0.6 < similarity(a, b) < 0.8:
+            below.append((a, b))
+    # Texts that differ only in how often a passage is repeated hold nearly the same shingles.
+    passage, rest = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(40))
+    repeated = (f"{passage} {rest}", f"{' '.join([passage] * 9)} {rest}")
+    assert similarity(*repeated) >= 0.8 and apart(*repeated) > 10
+    pairs = [*pairs[:12], repeated]
+    texts = [t for pair in [*pairs, *below[:12]] for t in pair]
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, enumerate(texts))).collect()}
+    assert kept == set(range(len(texts))) - set(range(1, 2 * len(pairs), 2))
+
+
+def test_prefixes_of_similar_sets_share_what_is_asked_for():
+    rng = np.random.default_rng(3)
+    for n in [1, 2, 4, 5, 6, 15, 40, 300]:
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.92], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 10))).astype(np.uint64))))
+            common = np.sort(rng.choice(a, len(a) // 2, replace=False))
+            counts = rng.integers(3, 9, len(common))
+            if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                shared = np.intersect1d(simhash.prefix(a, common, counts, 0.8), simhash.prefix(b, common, counts, 0.8))
+                assert len(shared) >= simhash.needed(min(len(a), len(b)), 0.8)[1]
+
+
+def test_prefix_pairs_meet_across_chunks(spark):
+    hot = [(f"{i} shared words that every text of the table holds here", i) for i in range(40)]
+    texts = [(i, t) for t, i in hot]
+    before, simhash.CHUNK = simhash.CHUNK, 6
+    try:
+        groups = simhash.similar_groups(documents(spark, texts), words=5, min_similarity=0.7, max_distance=0).collect()
+    finally:
+        simhash.CHUNK = before
+    assert {r.component_id for r in groups} == {0}
+
+
 def test_simhash_on_awkward_rows(awkward):
     got = simhash.near_duplicates(awkward)
     assert got.count() == 8 and {r.component_id for r in got.filter("doc_id in (2, 3, 5)").collect()} == {2}

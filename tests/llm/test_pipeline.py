@@ -88,6 +88,24 @@ def test_dedup_keeps_the_smallest_of_each_group(stages):
     assert len(missed) <= 0.01 * len(before) and set(groups(similar).values()) <= kept
 
 
+def test_dedup_leaves_no_two_similar_texts(stages):
+    before, after, _ = stages["dedup"]
+    words = {r.doc_id: re.findall("[^\x20\x09-\x0d]+", (r.text or "").translate(FOLD)) for r in before}
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for d, w in words.items()}
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    kept = sorted(ids(after))
+    assert not [(a, b) for i, a in enumerate(kept) for b in kept[i + 1 :] if similar(a, b)]
+    # What went is joined to a smaller id by similar texts.
+    for gone in set(sets) - set(kept):
+        group, queue = {gone}, [gone]
+        while queue and min(group) not in kept:
+            found = {d for d in sets if d not in group and similar(queue[-1], d)}
+            queue.pop()
+            group |= found
+            queue += found
+        assert min(group) < gone
+
+
 def test_decontamination_drops_what_holds_a_window(spark, stages):
     before, after, _ = stages["decontamination"]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
