@@ -1,7 +1,8 @@
 """Leaf blocks of a page, and generated training pages with known labels.
 
 A block is the text between two block-level boundaries, with the path of open
-elements above it.  Scripts, styles, comments and the like never become text.
+elements above it.  Scripts, styles, comments and the like never become text; elements
+are known by their whole names, and one that is closed at once hides nothing.
 """
 
 from __future__ import annotations
@@ -12,15 +13,21 @@ from html import unescape
 from typing import NamedTuple
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|textarea|select|title|head|iframe|object|canvas|math|audio|video)\b.*?(?:</\1\s*>|\Z)"
-    r"|<!.*?(?:>|\Z)|<\?.*?(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<!.*?(?:>|\Z)|<\?.*?(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    re.S,
 )
+#: Elements whose content is not markup: without an end tag they reach to the end of the page (fixed values).
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements whose content is no text of the page, up to their end tag if there is one (fixed values).
+HIDDEN = RAW | frozenset("template noscript svg select object canvas audio video annotation annotation-xml".split())
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in HIDDEN}
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PART = re.compile(r"[a-z]+")
 #: Elements that do not end a block (fixed values).
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mglyph mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+    "mtable mtd mtext mtr munder munderover none semantics".split()
 )
 #: Elements without content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,37 +70,48 @@ def blocks_of(html: str) -> list[Block]:
             if stack[i][0] in stop:
                 return
 
-    for m in TOKEN.finditer(html):
+    endless: set[str] = set()  # hidden elements that no end tag follows any more
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             piece = html[at : m.start()]
             text.append(piece)
             if in_link:
                 linked += len(piece)
         at = m.end()
-        if m[3] is None:  # a comment, a script and the like
-            if m[1]:
-                text.append(" ")
+        if m[2] is None:  # a comment and the like
+            continue
+        name = m[2].lower()
+        if name in HIDDEN and not m[1]:
+            text.append(" ")
+            if not m[3].endswith("/"):
+                end = None if name in endless else ENDS[name].search(html, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(name)
+                    at = len(html) if name in RAW else at
             continue
-        name = m[3].lower()
         if name in INLINE:
             if name == "a":
-                in_link = not m[2]
+                in_link = not m[1]
                 links += in_link
             elif name == "br":
                 text.append(" ")
             continue
         flush()
         in_link = False
-        if m[2]:
+        if m[1]:
             close({name})
             continue
+        if name == "head":  # what a head holds is void or hidden; text after an open head belongs to the page
+            continue
         if name in ENDS_P:
             close({"p"}, SCOPES)
         if name in CLOSES:
             close(set(CLOSES[name].split()), SCOPES - {"div"})
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or m[3].endswith("/"):
             continue
-        named = " ".join(x for g in NAMES.findall(m[4]) for x in g if x) if m[4] else ""
+        named = " ".join(x for g in NAMES.findall(m[3]) for x in g if x) if m[3] else ""
         stack.append((name, f"{name} {named.lower()}" if named else name))
     if at < len(html):
         text.append(html[at:])

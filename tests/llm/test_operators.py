@@ -354,6 +354,24 @@ def test_blocks_tolerate_broken_markup():
     assert [b.path[-1] for b in blocks_of(page)] == ["li", "li", "p", "p", "td", "td"]
 
 
+def test_hidden_elements_hide_no_more_than_they_hold():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts("<html><head><title>no</title><meta charset=a><body><p>One</p></html>") == ["One"]
+    assert texts("<head><script>'<div>'</script><title>no</title><div>One</div>") == ["One"]
+    assert [b.path for b in blocks_of("<html><head><title>no</title><p>One")] == [("html", "p")]
+    for name in ("svg-icon", "video-player", "title-bar", "select-box", "head-line", "header"):
+        assert " ".join(texts(f"<article><p>One <{name}></{name}> two</p><p>Three</p></article>")) == "One two Three"
+    for name in ("svg", "iframe", "object", "script", "canvas"):
+        assert texts(f"<p>One <{name} a='>' b=c /> two</p><p>Three</p>") == ["One two", "Three"]
+        assert texts(f"<p>One <{name} a='>'>no</{name.upper()} > two</p>") == ["One two"]
+    for name in ("svg", "select", "object", "canvas", "noscript", "template", "audio", "video"):
+        assert texts(f"<p>One <{name}> two</p><p>Three</p>") == ["One two", "Three"]
+    for name in ("script", "style", "textarea", "title", "iframe"):
+        assert texts(f"<p>One <{name}> no</p><p>no</p>") == ["One"]
+    assert texts("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> then</p>") == ["If x=2 then"]
+
+
+
 def test_main_text_leaves_the_rest_out(spark, labeller):
     body = "<h1>Tïtle &lt;1&gt;</h1><p>First  paragraph\n of the story, with some words.</p><p>Second one <a href=#>here</a> now.</p>"
     page = (
