@@ -370,7 +370,7 @@ def page_links(spark, d):
 @query()
 def refreshed_state(spark, d):
     """The state after a change set; tests hold it against brute force."""
-    diff = changes(spark, d).filter("path < 1000000000")
+    diff = changes(spark, d)
     current = views.new_hashes(spark, d).select("path", F.when(F.col("path") % 4 == 0, "unread").otherwise("confirmed").alias("status"), F.lit(None).cast("string").alias("note"))
     edges = table(spark, d, "documents").select(F.col("doc_id").alias("src"), F.expr("doc_id div 2").alias("dst")).filter("dst > 0")
     return progress.apply_changes(current, diff, edges)

@@ -32,6 +32,20 @@ def test_agrees_with_sql(spark, con, name):
     assert ours == sorted(tuple(str(r[names.index(c)]) for c in columns) for r in found.fetchall())
 
 
+def test_refreshed_state_sees_large_ids(spark, con, tmp_path):
+    big = 1_000_000_000
+    con.execute(f"copy (select * replace (doc_id + {big} as doc_id) from documents where doc_id < 200) to '{tmp_path}/documents.parquet' (format parquet)")
+    with duckdb.connect() as own:
+        own.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+        want = own.execute(f"select doc_id from documents where doc_id % 10 = 3 and doc_id >= {big}").fetchall()
+        other = set(TABLES) - {"documents"}
+        for t in other:
+            own.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        expected = sorted(map(str, own.execute(f"select path, status, note from ({ORACLES['refreshed_state']})").fetchall()))
+    got = QUERIES["refreshed_state"](spark, str(tmp_path)).select("path", "status", "note").collect()
+    assert want and sorted(str(tuple(r)) for r in got) == expected
+
+
 def test_entry_file_names_every_query(spark):
     import __spark_entry__ as entry
 
