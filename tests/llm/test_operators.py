@@ -41,11 +41,25 @@ def test_line_dedup_matches_brute_force(spark):
         for x in t.split("\n"):
             if len(key(x)) >= 10:
                 first[key(x)] = min(first.get(key(x), i), i)
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
-    for i, t in texts:
-        kept = [x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == i]
-        assert got[i].text == "\n".join(kept)
-        assert got[i].n_dropped == len(t.split("\n")) - len(kept)
+    texts += [(40 + i, "\n".join([*["x"] * 70 * i, "a common line of text", *["y"] * 200, "another line here"])) for i in range(3)]
+    for run_rows in (line_dedup.RUN, 3):  # also with runs cut into many parts
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(documents(spark, texts), run_rows=run_rows).collect()}
+        for i, t in texts:
+            kept = [x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == i]
+            assert got[i].text == "\n".join(kept)
+            assert got[i].n_dropped == len(t.split("\n")) - len(kept)
+
+
+def test_line_dedup_streams_sorted_ranges(spark, monkeypatch):
+    plans = {}
+    real = line_dedup.staged
+    monkeypatch.setattr(line_dedup, "staged", lambda df, label: (plans.__setitem__(label, df._jdf.queryExecution().executedPlan().toString()), real(df, label))[1])
+    line_dedup.dedup_lines(documents(spark, [(1, "a common line of text"), (2, "a common line of text")])).collect()
+    plan = plans["line-firsts"]
+    order = re.findall(r"(?:Window|Sort|Exchange rangepartitioning|Exchange hashpartitioning|HashAggregate)", plan)
+    assert order[:3] == ["Window", "Sort", "Exchange rangepartitioning"], plan
+    sort = re.search(r"Sort \[(.*?)\], false", plan)[1]
+    assert re.sub(r"#\d+L?", "", sort) == "_h1 ASC NULLS FIRST, _h2 ASC NULLS FIRST, _part ASC NULLS FIRST, _doc ASC NULLS LAST, _pos ASC NULLS FIRST"
 
 
 def test_line_dedup_on_awkward_rows(awkward):
