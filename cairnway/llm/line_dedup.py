@@ -28,7 +28,7 @@ from cairnway.plans.staging import staged
 
 ADDED = ["n_lines", "n_dropped"]
 #: Lines of one hash in a sorted run; the parts of a longer run grow with it.
-RUN = 20_000
+RUN = 2_000
 
 
 def _lines(text: str) -> Column:
