@@ -37,12 +37,12 @@ def _verdicts(scored: DataFrame, held_out: Column) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "source", "n_copies", "replica", "text")
+    return mixed.select("doc_id", "source", F.col("n_copies").cast("int"), F.col("replica").cast("int"), "text")
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ array.  The block's best ``k`` a query are taken by partition selection, and a
 grouped window merges the blocks.
 
 A task holds one block of candidates and one block of queries, whatever the
-table's size; neither side passes through the driver and nothing is pruned.
+table's size; neither side passes through the driver and nothing is pruned.  Rows are numbered and dealt into blocks once,
+and staged so: a task that is run again after an executor is lost meets the same blocks.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component
 take no part; dimensions beyond a vector's end count as zero; ties go to
-the smaller id; rows with the query's own id are not its candidates; a null id takes no part; a repeated query id asks once, with its smallest vector; repeated
+the smaller id; a null id takes no part.  Queries given as a condition are rows of the vectors: each asks for itself, also if its id repeats, and all
+rows but itself are its candidates.  Queries given as a table each ask for themselves, and rows with their id are not their candidates.  Repeated
 candidate rows each stand for themselves; fewer candidates than ``k`` give all; an empty table
 gives an empty result; other columns play no part.
 """
@@ -23,22 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnway.plans.staging import staged
+
 #: Rows of a block of candidates, and of a block of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 8_192
 #: Queries whose dense score arrays are alive at once.
 SCORE_ROWS = 32
 
 
-def quantise(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """``id, v``: vectors that take part, as whole numbers floor(scale * x)."""
+def quantise(vectors: DataFrame, key: str, vector: str, scale: int, asks: Column) -> DataFrame:
+    """``id, v, asks, n``: vectors that take part, as whole numbers floor(scale * x), and a number for each row."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & sound & (F.size(vector) > 0)).select(
-        F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("v")
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & sound & (F.size(vector) > 0)).select(
+        F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")
     )
+    return staged(rows.withColumn("n", F.monotonically_increasing_id()), "top-vectors")
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -48,33 +53,33 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def block_top(ids: np.ndarray, have: np.ndarray, query_ids: np.ndarray, want: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, candidate ids, scores) of the best ``k`` in a block; ``ids`` ascend."""
+def block_top(ids: np.ndarray, have: np.ndarray, tags: np.ndarray, query_tags: np.ndarray, want: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate ids and scores of the best ``k`` of a block, query by query; ``ids`` ascend, and rows with a query's own tag are not its candidates."""
     postings = []
     for t in range(have.shape[1]):
         at = np.flatnonzero(have[:, t])
         postings.append((slice(None) if at.size == len(ids) else at, have[at, t]))
-    for lo in range(0, len(query_ids), SCORE_ROWS):
-        block, weights = query_ids[lo : lo + SCORE_ROWS], want[lo : lo + SCORE_ROWS]
+    for lo in range(0, len(query_tags), SCORE_ROWS):
+        block, weights = query_tags[lo : lo + SCORE_ROWS], want[lo : lo + SCORE_ROWS]
         scores = np.zeros((len(block), len(ids)), np.int64)
         for q, row in enumerate(weights):
             for t in np.flatnonzero(row):  # the query's own terms only
                 at, held = postings[t]
                 scores[q, at] += row[t] * held
         for q, query in enumerate(block):
-            other = np.flatnonzero(ids != query)
+            other = np.flatnonzero(tags != query)
             own = scores[q, other]
             if own.size > k:  # partition selection; all that tie with the k-th stay for the tie rule
                 least = np.partition(own, own.size - k)[own.size - k]
                 keep = own >= least
                 other, own = other[keep], own[keep]
             best = np.lexsort((ids[other], -own))[:k]
-            yield int(query), ids[other][best], own[best]
+            yield ids[other][best], own[best]
 
 
 def top_k(
     vectors: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | Column,
     k: int = 5,
     key: str = "vec_id",
     vector: str = "embedding",
@@ -82,28 +87,29 @@ def top_k(
     candidate_block: int = CANDIDATE_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """``query_id, rank`` (from 1), the candidate's id under ``key`` and its ``score``; both inputs have ``key`` and ``vector``."""
-    have, want = quantise(vectors, key, vector, scale), quantise(queries, key, vector, scale)
-    want = want.groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-vectors.count() // candidate_block))
-    query_blocks = max(1, -(-queries.count() // query_block))
-    # Dealt out in turn, not by a key: neither a repeated id nor a repeated vector can fill a block.
-    turn = lambda n: F.pmod(F.monotonically_increasing_id() + F.spark_partition_id() * 7, F.lit(n)).cast("int")
+    """``query_id, rank`` (from 1), the candidate's id under ``key`` and its ``score``; ``queries``: a condition on ``vectors``, or a table with ``key`` and ``vector``."""
+    inside = isinstance(queries, Column)
+    have = quantise(vectors, key, vector, scale, queries if inside else F.lit(False))
+    want = have.filter("asks") if inside else quantise(queries, key, vector, scale, F.lit(True))
+    tag = F.col("n" if inside else "id").alias("tag")
+    blocks, query_blocks = max(1, -(-have.count() // candidate_block)), max(1, -(-want.count() // query_block))
+    # Dealt out by the rows' numbers: neither a repeated id nor a repeated vector can fill a block.
+    turn = lambda n: F.pmod(F.xxhash64("n"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = have.withColumn("cb", turn(blocks)).withColumn("qb", every(query_blocks))
-    right = want.withColumn("qb", turn(query_blocks)).withColumn("cb", every(blocks))
+    left = have.select("id", "v", tag, turn(blocks).alias("cb"), every(query_blocks).alias("qb"))
+    right = want.select("id", "v", tag, "n", turn(query_blocks).alias("qb"), every(blocks).alias("cb"))
 
     def search(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", key, "score"]
+        columns = ["ask", "query_id", "found", "score"]
         if ours.empty or theirs.empty:
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
-        ours = ours.sort_values("id", kind="stable")
+        ours = ours.sort_values(["id", "tag"], kind="stable")
         width = max(ours["v"].map(len).max(), theirs["v"].map(len).max())
-        found = block_top(ours["id"].to_numpy(), _matrix(ours["v"], width), theirs["id"].to_numpy(), _matrix(theirs["v"], width), k)
-        parts = [(np.full(len(c), q), c, s) for q, c, s in found]
+        found = block_top(ours["id"].to_numpy(), _matrix(ours["v"], width), ours["tag"].to_numpy(), theirs["tag"].to_numpy(), _matrix(theirs["v"], width), k)
+        parts = [(np.full(len(c), n), np.full(len(c), q), c, s) for n, q, (c, s) in zip(theirs["n"], theirs["id"], found, strict=True)]
         return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
-    local = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, f"query_id long, `{key}` long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(key))
+    local = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, "ask long, query_id long, found long, score long")
+    best = Window.partitionBy("ask").orderBy(F.desc("score"), "found")
     merged = local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return merged.select("query_id", "rank", key, "score")
+    return merged.select("query_id", "rank", F.col("found").alias(key), "score")

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import random
 import re
 
@@ -264,6 +265,28 @@ def test_mixing_on_awkward_rows_and_large_rates(spark, awkward):
     lone = spark.createDataFrame([(1, "x", "en", "rare"), (2, "y" * 2000, "en", "big")], DOCS)
     n = mixing.mix(lone, {"rare": 0.5, "big": 0.5}).filter("source = 'rare'").count()
     assert 850 < n < 1150  # a mean of 1000.5
+    huge = spark.createDataFrame([(1, "x", "en", "rare"), (2, None, "en", "big"), (3, "y" * 2_000_000, "en", "big")], DOCS)
+    mixed = mixing.mix(huge, {"rare": 0.5, "big": 0.5}).filter("source = 'rare'").agg(F.count("*"), F.count_distinct("replica"), F.max("replica")).first()
+    assert abs(mixed[0] - 1_000_000) < 5000 and mixed[1] == mixed[0] == mixed[2] + 1
+
+
+def test_mixing_gives_listed_sources_only_and_joins_large_tables(spark):
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate([("", "a"), (None, "b"), ("text", "c"), ("more", None), ("words", "c")] * 20)], DOCS)
+    assert {r.source for r in mixing.mix(docs, {"b": 1.0}).collect()} == {"b"}
+    row = lambda df: sorted((r.doc_id, r.n_copies, r.replica, r.rate) for r in df.collect())
+    assert row(mixing.mix(docs)) == row(mixing.mix(docs, max_table_bytes=0))
+
+
+def test_poisson_tables_match_the_distribution(spark):
+    for rate in (1e-9, 0.7, 5.0, 333.0, 25_000.0):
+        row = mixing.poisson_tables(spark.createDataFrame([("a", rate)], "_source string, rate double")).first()
+        own = rate / row["_parts"]
+        at, upto, want = 0, 0.0, []
+        while at < row["_least"] + len(row["_cdf"]):
+            upto += math.exp(-own + at * math.log(own) - math.lgamma(at + 1))
+            want.append(upto)
+            at += 1
+        assert np.allclose(row["_cdf"], want[row["_least"] :], rtol=0, atol=1e-11) and row["_cdf"][-1] == pytest.approx(1, abs=1e-12)
 
 
 def test_top_k_matches_brute_force_over_blocks(spark):
@@ -276,11 +299,21 @@ def test_top_k_matches_brute_force_over_blocks(spark):
         ranked = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
         want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked)}
     for block in (8192, 13):
-        got = topk.top_k(df, df.filter("vec_id % 7 = 0"), candidate_block=block, query_block=block)
-        assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+        for queries in (df.filter("vec_id % 7 = 0"), F.col("vec_id") % 7 == 0):
+            got = topk.top_k(df, queries, candidate_block=block, query_block=block)
+            assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df.limit(1), df.limit(1)).count() == 0
 
 
+def test_top_k_asks_for_every_row_of_a_repeated_id(spark):
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 1.0]), (9, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") == 7)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == [(7, 1, 8, 65536), (7, 1, 8, 65536), (7, 2, 7, 0), (7, 2, 7, 0)]
+    table = topk.top_k(df, df.filter("vec_id = 7")).select("query_id", "rank", "vec_id", "score").collect()
+    assert [tuple(r) for r in table] == [(7, 1, 8, 65536)] * 2
+
+
 def test_decontamination_matches_brute_force_in_parts(spark):
     rng = random.Random(8)
     word = lambda: rng.choice(["The", "cat", "é", "sat", "ON", "7", "mat", "x"])
