@@ -21,9 +21,16 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches sent to Python: texts may be long, so few rows a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
+    """Bound the Arrow batches sent to Python by rows and bytes, as texts may be long; a session's smaller bounds hold.
+
+    Spark reads the bounds when a plan is run, so they stay with the session.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(key)).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def working_name(df: DataFrame, stem: str) -> str:

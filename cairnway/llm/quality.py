@@ -11,8 +11,8 @@ grow with their similarity.
 
 Defined results: null, empty and wordless texts score the share of label 1, as they
 have no neighbours; without labelled rows every score is 0.5; ties in
-similarity go to the earlier labelled id; rows that repeat an id are scored each on its own; an empty
-table gives an empty result; input columns named like added ones are replaced.
+similarity go to the smaller labelled id; rows that repeat an id are scored each on its own; an empty
+table gives an empty result; input columns named like added ones are replaced, others are returned as they came.
 """
 
 from __future__ import annotations
@@ -101,6 +101,16 @@ def fit(rows: list[tuple[bytes, int]], shares: tuple[float, float], rank: int =
     return {"rare": rare, "centre": centre, "latent": latent, "vectors": vectors, "y": y, "vote": votes[y], "prior": shares[1]}
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` largest of each row; of those that tie with the last, the first ones."""
+    if k == near.shape[1]:
+        return np.tile(np.arange(k), (len(near), 1))
+    least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+    above, tied = near > least, near == least
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= room)))[1].reshape(len(near), k)
+
+
 def scores(texts: list[bytes], model: dict, neighbours: int = NEIGHBOURS) -> np.ndarray:
     out = np.full(len(texts), model["prior"])
     some = [i for i, t in enumerate(texts) if t.split()]
@@ -111,7 +121,7 @@ def scores(texts: list[bytes], model: dict, neighbours: int = NEIGHBOURS) -> np.
         own = terms @ model["latent"]
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
         near = own @ model["vectors"].T
-        best = np.argsort(-near, axis=1, kind="stable")[:, :k] if k == len(model["y"]) else np.argpartition(-near, k - 1, axis=1)[:, :k]
+        best = nearest(near, k)
         weight = np.maximum(np.take_along_axis(near, best, axis=1), 0.0) ** SHARPNESS * model["vote"][best] + 1e-12
         out[at] = (weight * model["y"][best]).sum(axis=1) / weight.sum(axis=1)
     return out
@@ -132,4 +142,4 @@ def score_quality(
     def score_of(texts: pa.Array) -> pa.Array:
         return pa.array(scores([t or b"" for t in texts.to_pylist()], model.value))
 
-    return docs.withColumn("score", score_of(F.col(text).cast("binary")))
+    return docs.withColumn("score", score_of(F.col(f"`{text}`").cast("binary")))

@@ -12,7 +12,7 @@ The model is fitted on a bounded sample of the labelled rows and broadcast (at m
 Defined results: a null, empty or wordless text gets the score of a text without
 features; without labelled rows of both classes every score is the share of label 1; rows that repeat
 an id are scored each on its own; an empty table gives an empty result; input
-columns named like added ones are replaced.
+columns named like added ones are replaced, others are returned as they came.
 """
 
 from __future__ import annotations
@@ -160,4 +160,4 @@ def score_toxicity(
     def score_of(texts: pa.Array) -> pa.Array:
         return pa.array(scores([t or b"" for t in texts.to_pylist()], model.value), pa.float64())
 
-    return docs.withColumn("score", score_of(F.col(text).cast("binary")))
+    return docs.withColumn("score", score_of(F.col(f"`{text}`").cast("binary")))

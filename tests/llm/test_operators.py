@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairnway.llm import chat, decontaminate, html_text, line_dedup, links, mixing, quality, sharding, simhash, topk, toxicity
+from cairnway.llm import chat, decontaminate, html_text, labelled, line_dedup, links, mixing, quality, sharding, simhash, topk, toxicity
 from cairnway.llm.html_blocks import blocks_of
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -333,8 +333,8 @@ def test_decontamination_matches_brute_force_in_parts(spark):
                         hit |= set(range(b, b + n))
                         found.add(str(item))
         want[i] = (len(own), len(hit), sorted(found), bool(hit))
-    for part in (decontaminate.PART_BYTES, 40):
-        got = decontaminate.decontaminate(documents(spark, texts), bench, part_bytes=part)
+    for part in (decontaminate.PART_WORDS, 12):
+        got = decontaminate.decontaminate(documents(spark, texts), bench, part_words=part)
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()} == want
 
 
@@ -452,3 +452,26 @@ def test_the_gradient_is_right():
         assert (up - loss(moved)) / 2e-2 == pytest.approx(float(slopes[name][at]), abs=2e-4)
 
 
+
+
+def test_pieces_hold_every_window_once(spark):
+    for n in (0, 1, 3, 4, 5, 9, 10, 11, 23):
+        words = [f"w{i}" for i in range(n)]
+        bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+        got = [r.words for r in decontaminate.pieces(bench, 4, "item_id", "text", 3).collect()]
+        windows = sorted(tuple(w[i : i + min(4, len(w))]) for w in got for i in range(max(1, len(w) - 3)))
+        assert windows == sorted(tuple(words[i : i + min(4, n)]) for i in range(max(1, n - 3)) if n)
+
+
+def test_nearest_takes_the_first_of_ties():
+    near = np.random.default_rng(2).integers(0, 4, (200, 30)).astype(np.float32)
+    got = quality.nearest(near, 7)
+    assert got.tolist() == [sorted(sorted(range(30), key=lambda i: (-row[i], i))[:7]) for row in near.tolist()]
+
+
+def test_labelled_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 100 * (i % 5 + 1)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows, shares = labelled.labelled_sample(docs, labels, "quality", F.lit(True), 100, most_bytes=2000)
+    assert 1500 < sum(len(t) for t, _ in rows) <= 2000 and shares == (0.5, 0.5)
+    assert len(labelled.labelled_sample(docs, labels, "quality", F.lit(True), 100)[0]) == 40
