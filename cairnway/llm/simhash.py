@@ -53,12 +53,6 @@ BLOCK = 1 << 15
 PARTITIONS = (3, 4, 6, 8)
 #: What comparing two fingerprints costs against dealing one out under a key, chunks included.
 PAIR_COST = 2e-3
-#: Distinct texts, and shingles, of a group that are compared together at most.
-TEXT_CHUNK, SHINGLE_CHUNK = 256, 1_000_000
-#: Texts whose shingles are counted to find common ones, and the number of common shingles known to the tasks; both bear on time only.
-SAMPLE, COMMON = 4096, 100_000
-#: Shingles in a prefix beyond the first that must be shared: similar texts share one more than this.
-SPARE = 4
 
 
 def shingles(text: bytes | None, words: int) -> list[bytes]:
@@ -72,15 +66,20 @@ def shingles(text: bytes | None, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=False)]
 
 
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """The bits set in over half of unsigned 64-bit hashes, which come in blocks."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for block in hashes:
+        counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(block)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes | None, words: int) -> int:
     """The unsigned 64-bit SimHash of a UTF-8 text."""
-    grams = shingles(text, words)
-    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(grams), BLOCK):
-        part = grams[at : at + BLOCK]
-        hashes = np.fromiter((digest(g, SEED) for g in part), np.uint64, len(part))
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(grams), bitorder="little").view(np.uint64)[0])
+    grams, digest = shingles(text, words), xxhash.xxh64_intdigest
+    blocks = (grams[at : at + BLOCK] for at in range(0, len(grams), BLOCK))
+    return majority(np.fromiter((digest(g, SEED) for g in block), np.uint64, len(block)) for block in blocks)
 
 
 def fingerprint_column(text: Column, words: int) -> Column:
@@ -258,222 +257,3 @@ def near_duplicates(
     return prints.join(classes, "fp").select(
         F.col("_doc").alias(doc), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def similar_links(sets: list[np.ndarray], min_similarity: float) -> list[tuple[int, int]]:
-    """Positions of sets joined by a spanning forest of the links of Jaccard similarity ``min_similarity`` or more; sets are sorted arrays."""
-    sizes = np.array([len(s) for s in sets])
-    flat, ends = np.concatenate(sets) if sets else np.zeros(0, np.int64), np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    left, out = np.ones(len(sets), bool), []
-    for start in range(len(sets)):
-        queue = [start] if left[start] else []
-        left[start] = False
-        while queue:
-            at = queue.pop()
-            own = flat[ends[at] - sizes[at] : ends[at]]
-            shared = np.bincount(owner[np.isin(flat, own)], minlength=len(sets))
-            union = sizes[at] + sizes - shared
-            near = np.flatnonzero(left & (shared >= min_similarity * union))
-            left[near] = False
-            out += [(at, int(x)) for x in near]
-            queue += near.tolist()
-    return out
-
-
-def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
-    """The set of a text's shingles as sorted unsigned 64-bit hashes."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in shingles(text, words)], np.uint64))
-
-
-def needed(size: int, min_similarity: float) -> tuple[int, int]:
-    """How many shingles a set of ``size`` must share with a similar set, and how many of them inside both prefixes."""
-    overlap = max(1, math.ceil(min_similarity * size - 1e-9))
-    return overlap, min(SPARE, overlap - 1) + 1
-
-
-def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, min_similarity: float) -> np.ndarray:
-    """The first shingles of a set in the order of all shingles: unlisted ones by hash, then ``common`` ones (sorted) by count.
-
-    Of two sets that share ``overlap`` shingles, what lies behind the prefix that ends first is fewer than ``overlap`` minus the
-    number asked for by ``needed``; so both prefixes hold that number of the shared ones.
-    """
-    rank = np.zeros(len(grams), np.int64)
-    if len(common) and len(grams):
-        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-        rank = np.where(common[at] == grams, counts[at], 0)
-    overlap, shared = needed(len(grams), min_similarity)
-    return grams[np.lexsort((grams, rank))][: len(grams) - overlap + shared]
-
-
-def common_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles (sorted) that several texts of a sample hold, in how many, and how many texts one of the sample stands for."""
-    every = max(1, docs.count() // SAMPLE)
-    body = F.coalesce(F.col(text), F.lit(""))
-    some = docs.select(F.xxhash64(body).alias("t"), body.cast("binary").alias("b")).filter(F.pmod("t", F.lit(every)) == 0).groupBy("t").agg(F.any_value("b").alias("b"))
-
-    @F.arrow_udf("array<long>")
-    def hashes(raw: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t, words).view(np.int64) for t in raw.to_pylist()], pa.list_(pa.int64()))
-
-    counted = some.select(F.explode(hashes(F.col("b"))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
-    rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()  # at most COMMON rows
-    listed, n = np.asarray(rows["h"]).view(np.uint64), np.asarray(rows["n"])
-    order = np.argsort(listed)
-    return listed[order], n[order], every
-
-
-def prefix_pairs(key: np.ndarray, name: np.ndarray, kind: np.ndarray, size: np.ndarray, min_similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of rows sorted by ``key``, pairs of names of one key that differ in ``kind`` and may be similar by their sizes, and the smaller size."""
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    if not len(starts):
-        return
-    mixed = np.minimum.reduceat(kind, starts) != np.maximum.reduceat(kind, starts)
-    ends = np.append(starts[1:], len(key))
-    for start, end in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-        for at in range(start, end, 256):
-            rows = slice(at, min(at + 256, end))
-            less, more = np.minimum(size[rows, None], size[None, at:end]), np.maximum(size[rows, None], size[None, at:end])
-            i, j = np.nonzero((kind[rows, None] != kind[None, at:end]) & (less >= min_similarity * more - 1e-9))
-            ahead = j > i
-            i, j = i[ahead], j[ahead]
-            if len(i):
-                a, b = name[at + i], name[at + j]
-                yield np.minimum(a, b), np.maximum(a, b), less[i, j]
-
-
-def prefix_links(docs: DataFrame, text: str, words: int, min_similarity: float, keyed: DataFrame, classes: DataFrame, every: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``a, b``: all links of Jaccard similarity ``min_similarity`` or more between texts of different classes.
-
-    ``keyed``: ``_t1, size, prefix`` of distinct texts; ``classes``: ``node, root``.  Texts that share enough of their prefixes
-    are compared on whole sets.  A shingle that by the sample more than ``CHUNK`` texts hold is dealt out in chunks that meet in pairs.
-    """
-    spark = docs.sparkSession
-    hot = {int(h): -(-int(n) * every // CHUNK) for h, n in zip(common.view(np.int64), counts, strict=True) if n * every > CHUNK}
-    named = keyed.join(classes, keyed["_t1"] == classes["node"], "left").select("_t1", "size", "prefix", F.coalesce("root", "_t1").alias("kind"))
-    rows = named.select("_t1", "size", "kind", F.explode("prefix").alias("key"))
-    if hot:
-        chunks = F.broadcast(spark.createDataFrame(list(hot.items()), "key long, chunks int"))  # fewer than COMMON rows
-        rows = rows.join(chunks, "key", "left").withColumn("c", F.pmod("_t1", F.coalesce("chunks", F.lit(1))).cast("int"))
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-        dealt = F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")))
-        rows = rows.select("_t1", "size", "kind", dealt.alias("key"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            pairs = list(prefix_pairs(*columns, min_similarity))
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs, strict=True)], names=["a", "b", "least"])
-
-        held = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            held = [np.concatenate((h, np.asarray(c))) for h, c in zip(held, batch.columns, strict=True)]
-            if batch.num_rows:
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
-                yield from found([h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        yield from found(held)
-
-    small_batches(spark, 8192)  # rows of four numbers
-    sorted_rows = rows.select("key", "_t1", "kind", "size").repartition("key").sortWithinPartitions("key")
-    met = sorted_rows.mapInArrow(meet, "a long, b long, least long").groupBy("a", "b").agg(F.count("*").alias("n"), F.any_value("least").alias("least"))
-    overlap = F.greatest(F.lit(1), F.ceil(F.lit(min_similarity) * F.col("least") - 1e-9))
-    pairs = staged(met.filter(F.col("n") >= F.least(F.lit(SPARE + 1), overlap)).select("a", "b"), "prefix-pairs")
-    small_batches(spark)
-
-    @F.arrow_udf("array<long>")
-    def hashes(raw: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t, words).view(np.int64) for t in raw.to_pylist()], pa.list_(pa.int64()))
-
-    body = F.coalesce(F.col(text), F.lit(""))
-    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_t1")
-    raw = docs.select(F.xxhash64(body).alias("_t1"), body.cast("binary").alias("_b")).join(asked, "_t1", "left_semi")
-    sets = staged(raw.select("_t1", hashes(F.col("_b")).alias("set")).groupBy("_t1").agg(F.any_value("set").alias("set")), "prefix-sets")
-    both = pairs.join(sets.select(F.col("_t1").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("_t1").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("all"))
-    return both.filter(F.col("shared") >= F.lit(min_similarity) * F.col("all")).select("a", "b")
-
-
-def similar_groups(
-    docs: DataFrame,
-    doc: str = "doc_id",
-    text: str = "text",
-    words: int = 5,
-    min_similarity: float = 0.8,
-    print_words: int = 3,
-    max_distance: int = 10,
-    partitions: tuple[int, ...] = PARTITIONS,
-) -> DataFrame:
-    """``doc, _t1, _t2, component_id``: near-duplicates by the exact Jaccard similarity of their ``words``-word shingles.
-
-    Fingerprints within ``max_distance`` make coarse groups; inside them distinct texts are compared
-    and those at ``min_similarity`` or more are linked.  Equal texts are
-    compared once.  A coarse group of many texts is dealt out in chunks that meet in pairs, as buckets are.  What
-    fingerprints leave apart is joined by the prefixes of the shingle sets and compared too, so that no similar pair is missed.
-    ``_t1, _t2`` are two hashes of the row's text.
-    """
-    small_batches(docs.sparkSession)
-    body = F.coalesce(F.col(text), F.lit(""))
-    digest = [F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit(9), body).alias("_t2")]
-    common, counts, every = common_shingles(docs, text, words)
-
-    @F.arrow_udf("struct<size:long,prefix:array<long>>")
-    def prefixes(raw: pa.Array) -> pa.Array:
-        sets = [shingle_hashes(t, words) for t in raw.to_pylist()]
-        firsts = [prefix(s, common, counts, min_similarity).view(np.int64) for s in sets]
-        return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["size", "prefix"])
-
-    prints = staged(docs.select(F.col(doc).alias("_doc"), *digest, fingerprint_column(F.col(text), print_words).alias("fp"), prefixes(body.cast("binary")).alias("p")), "simhash")
-    texts = staged(prints.groupBy("_t1", "_t2").agg(F.min("_doc").alias("first"), F.min("fp").alias("fp"), F.any_value("p").alias("p")), "simhash-texts")
-    roots = components(near_links(texts.select("fp").distinct(), max_distance, partitions))
-    grouped = texts.join(roots, texts["fp"] == roots["node"], "left").select("_t1", "_t2", F.coalesce("root", "fp").alias("root"))
-
-    @F.arrow_udf("array<long>")
-    def hashes(raw: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t, words).view(np.int64) for t in raw.to_pylist()], pa.list_(pa.int64()))
-
-    many = staged(grouped.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-groups")
-    members = grouped.join(many.select("root"), "root", "left_semi")
-    # One row of each distinct text, as two hashes and its shingles.
-    raw = docs.select(*digest, body.cast("binary").alias("_b")).join(members, ["_t1", "_t2"])
-    seen = raw.select("root", "_t1", "_t2", hashes(F.col("_b")).alias("set")).groupBy("root", "_t1", "_t2").agg(F.any_value("set").alias("set"))
-    seen = staged(seen, "simhash-shingles")
-    chunks = F.ceil(F.greatest(F.count("*") / TEXT_CHUNK, F.sum(F.size("set")) / SHINGLE_CHUNK)).cast("int")
-    sized = seen.groupBy("root").agg(chunks.alias("chunks"))
-    dealt = seen.join(sized, "root").withColumn("c", F.pmod("_t1", F.greatest("chunks", F.lit(1))).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.greatest("chunks", F.lit(1)) - 1)))
-    pairs = dealt.groupBy("root", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
-    lists = pairs.agg(F.collect_list(F.struct("_t1", "set")).alias("all")).filter(F.size("all") > 1)
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in batch.column(0):
-                names = [x["_t1"].as_py() for x in row.values]
-                sets = [x["set"].values.to_numpy() for x in row.values]
-                found += [(names[a], names[b]) for a, b in similar_links(sets, min_similarity)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    classes = components(lists.select("all").mapInArrow(confirm, "a long, b long"))
-    keyed = texts.select("_t1", F.col("p.size").alias("size"), F.col("p.prefix").alias("prefix"))
-    apart = staged(prefix_links(docs, text, words, min_similarity, keyed, classes, every, common, counts), "prefix-links")
-    if not apart.isEmpty():
-        classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(apart))
-    named = texts.join(classes, texts["_t1"] == classes["node"], "left").select("_t1", "_t2", "first", F.coalesce("root", "_t1").alias("class"))
-    least = named.groupBy("class").agg(F.min("first").alias("component_id"))
-    final = named.join(least, "class").select("_t1", "_t2", "component_id")
-    return prints.join(final, ["_t1", "_t2"]).select(F.col("_doc").alias(doc), "_t1", "_t2", "component_id")
-
-
-def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the row with the smallest id stays.
-
-    Rows that share that id and text stay together once; a row with a null id stays only if its group has no other id.
-    """
-    groups = similar_groups(docs, doc, text, **options)
-    losers = groups.filter(~F.col(doc).eqNullSafe(F.col("component_id"))).select(F.col(doc).alias("_id"), "_t1", "_t2").distinct()
-    body = F.coalesce(F.col(text), F.lit(""))
-    match = F.col(doc).eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_t1")) & (F.xxhash64(F.lit(9), body) == F.col("_t2"))
-    return docs.join(losers, match, "left_anti")

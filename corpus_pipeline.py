@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.llm import decontaminate, mixing, quality, sharding, simhash
+from cairnway.llm import decontaminate, mixing, quality, sharding, similar
 from cairnway.llm.common import table
 from cairnway.llm.labelled import crc_mod
 from cairnway.plans.staging import staged
@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return simhash.keep_one(docs, words=5, min_similarity=0.8)
+    return similar.keep_one(docs, words=5, min_similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,11 +7,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairnway.llm import chat, decontaminate, html_text, labelled, line_dedup, links, mixing, quality, sharding, simhash, topk, toxicity
+from cairnway.llm import chat, decontaminate, html_text, labelled, line_dedup, links, mixing, quality, sharding, similar, simhash, topk, toxicity
 from cairnway.llm.html_blocks import blocks_of
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -140,7 +141,7 @@ def test_keep_one_drops_confirmed_copies_only(spark):
     near[100] = "changed"
     far[::7] = ["x"] * len(far[::7])
     texts = [(5, " ".join(base)), (6, " ".join(base)), (7, " ".join(near)), (8, " ".join(far)), (9, "other words entirely here now"), (10, None), (11, "")]
-    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()) == [5, 8, 9, 10]
+    assert sorted(r.doc_id for r in similar.keep_one(documents(spark, texts)).collect()) == [5, 8, 9, 10]
 
 
 def test_keep_one_finds_similar_texts_whose_fingerprints_are_far_apart(spark):
@@ -166,7 +167,7 @@ def test_keep_one_finds_similar_texts_whose_fingerprints_are_far_apart(spark):
     assert similarity(*repeated) >= 0.8 and apart(*repeated) > 10
     pairs = [*pairs[:12], repeated]
     texts = [t for pair in [*pairs, *below[:12]] for t in pair]
-    kept = {r.doc_id for r in simhash.keep_one(documents(spark, enumerate(texts))).collect()}
+    kept = {r.doc_id for r in similar.keep_one(documents(spark, enumerate(texts))).collect()}
     assert kept == set(range(len(texts))) - set(range(1, 2 * len(pairs), 2))
 
 
@@ -176,22 +177,72 @@ def test_prefixes_of_similar_sets_share_what_is_asked_for():
         for _ in range(40):
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.92], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 10))).astype(np.uint64))))
-            common = np.sort(rng.choice(a, len(a) // 2, replace=False))
-            counts = rng.integers(3, 9, len(common))
+            counts = rng.integers(0, 9, (2, similar.CELLS))
             if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
-                shared = np.intersect1d(simhash.prefix(a, common, counts, 0.8), simhash.prefix(b, common, counts, 0.8))
-                assert len(shared) >= simhash.needed(min(len(a), len(b)), 0.8)[1]
-
-
-def test_prefix_pairs_meet_across_chunks(spark):
-    hot = [(f"{i} shared words that every text of the table holds here", i) for i in range(40)]
-    texts = [(i, t) for t, i in hot]
-    before, simhash.CHUNK = simhash.CHUNK, 6
-    try:
-        groups = simhash.similar_groups(documents(spark, texts), words=5, min_similarity=0.7, max_distance=0).collect()
-    finally:
-        simhash.CHUNK = before
-    assert {r.component_id for r in groups} == {0}
+                shared = np.intersect1d(similar.prefix(a, counts, 0.8)[0], similar.prefix(b, counts, 0.8)[0])
+                assert len(shared) >= similar.needed(min(len(a), len(b)), 0.8)[1]
+
+
+def test_similar_groups_match_brute_force(spark, monkeypatch):
+    """Groups of copies with few and many edits, hot passages, short and repeated texts; also with tiny parts, chunks and slices."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = [word() for _ in range(14)]
+    texts = []
+    for _ in range(4):
+        base = [word() for _ in range(rng.choice([12, 40, 90]))]
+        for _ in range(14):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy + (passage if rng.random() < 0.5 else []))
+    texts += [passage + [word() for _ in range(rng.randint(0, 6))] for _ in range(25)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(900, ""), (901, None), (902, " \t"), (903, "a b"), (904, "A  b"), (905, "a c"), (5, rows[9][1]), (None, rows[9][1]), (None, "alone here")]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset([()]) for _, t in rows]
+    root = {i: i for i in range(len(rows))}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root[top(a)] = top(b)
+    ids = collections.defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        ids[top(i)].append(d)
+    least = {k: min((d for d in v if d is not None), default=None) for k, v in ids.items()}
+    want = collections.Counter((d, least[top(i)]) for i, (d, _) in enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tiny in (False, True):
+        if tiny:
+            monkeypatch.setattr(similar, "CHUNK", 7)
+            monkeypatch.setattr(similar, "SLICE", 5)
+            monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
+        got = similar.similar_groups(docs).collect()
+        assert collections.Counter((r.doc_id, r.component_id) for r in got) == want
+        kept = [r.doc_id for r in similar.keep_one(docs.union(docs)).collect()]
+        assert sorted(kept, key=str) == sorted(least.values(), key=str)
+
+
+def test_meet_keeps_every_shared_row():
+    """Runs cut anywhere, batches of any size: no shared row is lost, and unsalted lone rows go."""
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 40, 200))
+    salt = np.where(key % 5 == 0, 0, -1).astype(np.int32)
+    name, size, common = rng.permutation(200), rng.integers(5, 9, 200).astype(np.int32), rng.integers(0, 3, 200).astype(np.int32)
+    alone = [np.count_nonzero(key == k) == 1 and s < 0 for k, s in zip(key, salt, strict=True)]
+    for step in (1, 3, 50, 200):
+        for slice_ in (2, 1 << 16):
+            similar.SLICE, before = slice_, similar.SLICE
+            try:
+                batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in (key, salt, name, size, common)], names=list("abcde")) for i in range(0, 200, step)]
+                rows = [r for b in similar.meet(iter(batches), 0.8) for r in b.to_pylist()]
+            finally:
+                similar.SLICE = before
+            assert sorted(r["y"] for r in rows if r["tag"] == 0) == sorted(name[~np.array(alone)].tolist())
 
 
 def test_simhash_on_awkward_rows(awkward):
