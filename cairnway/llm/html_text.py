@@ -9,7 +9,8 @@ labelled as the article are joined in page order.
 The labeller is trained when the operator is called, from a fixed seed, on
 ``GENERATED`` generated pages whose labels are known, so it needs no annotated
 corpus.  The weights are broadcast (under 1 MB).  Pages are labelled in Arrow batches, in
-groups of near-equal length.
+groups of near-equal length and bounded area; blocks become gate inputs a slice at a time, so a page of any length
+takes 0.6 KB a block.
 
 Defined results: null, empty and text-free pages give the empty text; unclosed
 and stray tags are tolerated; pages are never cut, however long; rows that
@@ -36,8 +37,8 @@ PATH_CELLS, WORD_CELLS, MEASURES, HIDDEN = 512, 64, 6, 16
 WIDTH = PATH_CELLS + WORD_CELLS + MEASURES
 #: Generated training pages, passes over them, pages of a step.
 GENERATED, PASSES, STEP_PAGES = 1200, 6, 32
-#: Pages whose sequences are read side by side.
-GROUP = 64
+#: Pages whose sequences are read side by side, and pages times blocks among these; blocks whose vectors are alive at once.
+GROUP, AREA, SLICE = 64, 1 << 15, 1024
 
 
 @lru_cache(maxsize=20_000)
@@ -45,15 +46,17 @@ def _path_cells(path: tuple[str, ...]) -> tuple[int, ...]:
     return tuple({crc32(t.encode()) % PATH_CELLS for t in path_tokens(path)})
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(blocks), WIDTH), np.float32)
-    for i, (text, path, linked) in enumerate(blocks):
+def vectors(blocks: list[Block], start: int = 0, end: int | None = None) -> np.ndarray:
+    """The vectors of the blocks from ``start`` up to ``end`` of a page."""
+    some = blocks[start:end]
+    out = np.zeros((len(some), WIDTH), np.float32)
+    for i, (text, path, linked) in enumerate(some):
         out[i, list(_path_cells(path))] = 1
         words = text.lower().split()
         cells = np.bincount([crc32(w.encode()) % WORD_CELLS for w in words], minlength=WORD_CELLS)
         out[i, PATH_CELLS : PATH_CELLS + WORD_CELLS] = cells / max(4.0, len(words))
         out[i, PATH_CELLS + WORD_CELLS :] = (
-            min(1.0, np.log1p(len(words)) / 6), linked, text[-1] in ".!?…\"'", i / len(blocks), text[:1] == "©", min(1.0, len(blocks) / 50),
+            min(1.0, np.log1p(len(words)) / 6), linked, text[-1] in ".!?…\"'", (start + i) / len(blocks), text[:1] == "©", min(1.0, len(blocks) / 50),
         )
     return out
 
@@ -72,10 +75,9 @@ def initial(seed: int = 3) -> dict[str, np.ndarray]:
     return out
 
 
-def read(x: np.ndarray, mask: np.ndarray, weights: dict, way: str, trace: list | None = None) -> np.ndarray:
-    """Hidden states, step by step, of ``x`` (pages, steps, width) read one way; masked steps leave the state as it is."""
-    pages, steps, _ = x.shape
-    gates_x = x @ weights[f"{way}_x"] + weights[f"{way}_b"]
+def read(gates_x: np.ndarray, mask: np.ndarray, weights: dict, way: str, trace: list | None = None) -> np.ndarray:
+    """Hidden states, step by step, of gate inputs (pages, steps, 4 * HIDDEN) read one way; masked steps leave the state as it is."""
+    pages, steps, _ = gates_x.shape
     h = c = np.zeros((pages, HIDDEN), np.float32)
     out = np.zeros((pages, steps, HIDDEN), np.float32)
     for t in range(steps) if way == "ahead" else range(steps - 1, -1, -1):
@@ -93,20 +95,36 @@ def read(x: np.ndarray, mask: np.ndarray, weights: dict, way: str, trace: list |
     return out
 
 
-def probabilities(x: np.ndarray, mask: np.ndarray, weights: dict) -> np.ndarray:
-    z = x @ weights["own"] + weights["bias"]
-    for way in ("ahead", "back"):
-        z = z + read(x, mask, weights, way) @ weights[f"{way}_o"]
+def gate_inputs(x: np.ndarray, weights: dict) -> np.ndarray:
+    """What a block adds by itself: to its score (one number), then to the gates of each way."""
+    parts = [x @ weights["own"][:, None] + weights["bias"]] + [x @ weights[f"{way}_x"] + weights[f"{way}_b"] for way in ("ahead", "back")]
+    return np.concatenate(parts, axis=-1)
+
+
+def score(inputs: np.ndarray, mask: np.ndarray, weights: dict) -> np.ndarray:
+    """Probabilities of ``gate_inputs`` (pages, steps, 1 + 8 * HIDDEN)."""
+    z = inputs[:, :, 0]
+    for i, way in enumerate(("ahead", "back")):
+        z = z + read(inputs[:, :, 1 + 4 * HIDDEN * i : 1 + 4 * HIDDEN * (i + 1)], mask, weights, way) @ weights[f"{way}_o"]
     return _sigmoid(z)
 
 
+def probabilities(x: np.ndarray, mask: np.ndarray, weights: dict) -> np.ndarray:
+    return score(gate_inputs(x, weights), mask, weights)
+
+
+def page_inputs(blocks: list[Block], weights: dict) -> np.ndarray:
+    """The gate inputs of a page, a slice of blocks at a time."""
+    return np.concatenate([gate_inputs(vectors(blocks, at, at + SLICE), weights) for at in range(0, len(blocks), SLICE)])
+
+
 def slopes(x: np.ndarray, y: np.ndarray, mask: np.ndarray, weights: dict) -> dict[str, np.ndarray]:
     """Gradients of the mean log loss over unmasked blocks, by backpropagation through time."""
     z = x @ weights["own"] + weights["bias"]
     seen = {}
     for way in ("ahead", "back"):
         trace: list = []
-        seen[way] = (read(x, mask, weights, way, trace), trace)
+        seen[way] = (read(x @ weights[f"{way}_x"] + weights[f"{way}_b"], mask, weights, way, trace), trace)
         z = z + seen[way][0] @ weights[f"{way}_o"]
     dz = ((_sigmoid(z) - y) * mask / max(1.0, mask.sum())).astype(np.float32)
     flat, dflat = x.reshape(-1, x.shape[2]), dz.reshape(-1)
@@ -132,7 +150,7 @@ def slopes(x: np.ndarray, y: np.ndarray, mask: np.ndarray, weights: dict) -> dic
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
-    x, mask = np.zeros((len(pages), steps, WIDTH), np.float32), np.zeros((len(pages), steps), np.float32)
+    x, mask = np.zeros((len(pages), steps, pages[0].shape[1]), np.float32), np.zeros((len(pages), steps), np.float32)
     for i, page in enumerate(pages):
         x[i, : len(page)], mask[i, : len(page)] = page, 1
     return x, mask
@@ -172,11 +190,14 @@ def main_texts(pages: list[str], weights: dict) -> list[str]:
     while order:
         # Pages of near-equal length together; a very long page alone.
         group = [order[0]]
-        while len(group) < min(GROUP, len(order)) and len(split[order[len(group)]]) <= 1.5 * len(split[group[0]]) + 4:
+        while len(group) < min(GROUP, len(order)):
+            steps = len(split[order[len(group)]])
+            if steps > 1.5 * len(split[group[0]]) + 4 or steps * (len(group) + 1) > AREA:
+                break
             group.append(order[len(group)])
         order = order[len(group) :]
-        x, mask = padded([vectors(split[i]) for i in group])
-        for i, p in zip(group, probabilities(x, mask, weights), strict=True):
+        x, mask = padded([page_inputs(split[i], weights) for i in group])
+        for i, p in zip(group, score(x, mask, weights), strict=True):
             out[i] = "\n\n".join(b.text for b, keep in zip(split[i], p >= 0.5, strict=False) if keep)
     return out
 
@@ -191,7 +212,7 @@ def extract_text(pages: DataFrame, html: str = "html", weights: dict | None = No
     def text_of(raw: pa.Array) -> pa.Array:
         return pa.array(main_texts(raw.to_pylist(), model.value), pa.string())
 
-    out: Column = text_of(F.col(html))
+    out: Column = text_of(F.col(f"`{html}`"))
     if html == "text":
         return pages.withColumn("text", out)
     return with_renamed_clashes(pages, ["text"]).withColumn("text", out)
