@@ -1,14 +1,16 @@
 """Graph fixpoints as driver loops over staged frontiers.
 
 Recursive SQL enumerates paths and stops at a row limit; these loops keep one row a node and
-level.  Each round joins the frontier with the edges by shuffle (or by broadcast where Spark
-finds a side small), writes it to the shared folder and asks only whether anything is left.
+level.  Nodes with a single successor are not walked one by one: pointer jumping carries each to the first node behind it that
+has none or several, in as many rounds as the logarithm of the longest chain.  Over what is left, each round takes
+``HOPS`` hops from the frontier, writes them to the shared folder and asks only whether anything is left.  What was
+found is folded into one table every ``FOLD`` rounds, so that neither plans nor reading grow with depth, and the rounds' tables are deleted.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -16,24 +18,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from cairnway.plans.staging import staged
+from cairnway.plans.staging import scratch, staged
 
-#: Edges on cycles, after trimming and counting, that one task takes on; more are coloured in rounds.
+#: Counted edges that one task takes on to find components; more are trimmed and coloured in rounds.
 ONE_TASK_EDGES = 200_000
+#: Hops of a round, and rounds between foldings.
+HOPS, FOLD = 4, 8
 
+Stage = Callable[[DataFrame, str], DataFrame]
 
-def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """``path, depth``: the longest way to a file without imports; ``edges`` hold no cycle (see ``acyclic``)."""
-    frontier, levels, n = files.select("path"), [], 0
-    edges = staged(edges.select("src", "dst"), "edges")  # read by every round
-    while True:
-        levels.append(frontier.select("path", F.lit(n).alias("depth")))
-        above = frontier.select(F.col("path").alias("dst"))
-        frontier = staged(edges.join(above, "dst", "left_semi").select(F.col("src").alias("path")).distinct(), "depth")
-        n += 1
-        if frontier.isEmpty():
+
+def jumped(single: DataFrame, stage: Stage) -> DataFrame:
+    """``path, to, hops`` of ``single(path, to)``, nodes with one successor: the first node behind each that is not among them.
+
+    Nodes whose way ends in a cycle are left out.
+    """
+    now = stage(single.select("path", "to", F.lit(1).cast("long").alias("hops"), F.lit(True).alias("moved")), "pointers")
+    most, way = now.count(), 1
+    while most:
+        onward = now.select(F.col("path").alias("to"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
+        step = now.join(onward, "to", "left")
+        step = step.select("path", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_to").isNotNull().alias("moved"))
+        now, way = stage(step, "pointers"), 2 * way
+        if way > 2 * most or now.filter("moved").isEmpty():
             break
-    return reduce(DataFrame.union, levels).groupBy("path").agg(F.max("depth").alias("depth"))
+    return now.filter("not moved").select("path", "to", "hops")
+
+
+def contracted(edges: DataFrame, single: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """``edges`` as ``src, dst, hops`` without those of ``single(path, to)``, whose nodes are jumped over; and the jumps ``path, to, hops``."""
+    jumps = stage(jumped(single, stage), "jumps")
+    rest = edges.join(single.select(F.col("path").alias("src")), "src", "left_anti")
+    over = jumps.select(F.col("path").alias("dst"), "to", "hops")
+    lone = single.select(F.col("path").alias("dst"), F.lit(True).alias("_lone"))
+    # An edge to a single node that was not carried anywhere leads into a cycle only.
+    joined = rest.join(over, "dst", "left").join(lone, "dst", "left").filter("to is not null or _lone is null")
+    weighted = joined.select("src", F.coalesce("to", "dst").alias("dst"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
+    return stage(weighted, "contracted"), jumps
+
+
+def walk(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``HOPS`` hops from ``start``, each with its number ``_hop``."""
+    out, now = [], start
+    for n in range(HOPS):
+        now = step(now)
+        out.append(now.withColumn("_hop", F.lit(n)))
+    return reduce(DataFrame.union, out)
+
+
+def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """``path, depth``: the longest way to a file without imports; ``edges`` hold no cycle (see ``acyclic``), else ``ValueError``."""
+    with scratch(files.sparkSession) as stage:
+        edges = stage(edges.select("src", "dst").distinct(), "edges")
+        degrees = edges.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n"), F.any_value("dst").alias("to"))
+        single = stage(degrees.filter("n = 1").select("path", "to"), "single")
+        links, jumps = contracted(edges, single, stage)
+        if jumps.count() < single.count():
+            raise ValueError("the edges hold a cycle")
+        inner = stage(links.select(F.col("src").alias("path")).distinct(), "inner")
+        most = inner.count()
+        frontier = links.select(F.col("dst").alias("path")).join(inner, "path", "left_anti").distinct().withColumn("depth", F.lit(0).cast("long"))
+        best, recent, n = None, [], 0
+
+        def step(now: DataFrame) -> DataFrame:
+            reached = links.join(now.select(F.col("path").alias("dst"), "depth"), "dst")
+            return reached.groupBy(F.col("src").alias("path")).agg(F.max(F.col("depth") + F.col("hops")).alias("depth"))
+
+        longest = lambda parts: reduce(DataFrame.union, parts).groupBy("path").agg(F.max("depth").alias("depth"))
+        while most:
+            hops = stage(walk(frontier, step), "depth")
+            recent.append(hops.select("path", "depth"))
+            frontier, n = hops.filter(F.col("_hop") == HOPS - 1).select("path", "depth"), n + HOPS
+            ended = frontier.isEmpty()
+            if ended or len(recent) == FOLD:
+                best, recent = stage(longest([*recent, best] if best else recent), "depths"), []
+            if ended:
+                break
+            if n > most:
+                raise ValueError("the edges hold a cycle")
+        if best is None:
+            best = inner.withColumn("depth", F.lit(0).cast("long"))
+        behind = jumps.join(best.select(F.col("path").alias("to"), "depth"), "to", "left").select("path", (F.col("hops") + F.coalesce("depth", F.lit(0))).alias("_behind"))
+        rows = files.select("path").join(best, "path", "left").join(behind, "path", "left")
+        return staged(rows.select("path", F.coalesce("depth", "_behind", F.lit(0)).cast("int").alias("depth")), "depths")
 
 
 def acyclic(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -50,23 +117,46 @@ def reach(seeds: DataFrame, edges: DataFrame, excluded: DataFrame | None = None)
     ``seeds(path)``.  Excluded files are neither reported nor passed through.  A file keeps the
     first level that reaches it, and there the smallest seed.  Seeds are not reported, unless a cycle leads back (level > 0).
     """
-    frontier = staged(seeds.select("path", F.col("path").alias("seed")), "reach")
-    edges = staged(edges.select("src", "dst"), "edges")  # read by every round
-    found: DataFrame | None = None
-    level = 0
-    while True:
-        level += 1
-        step = edges.select("src", F.col("dst").alias("path")).join(frontier, "path").groupBy(F.col("src").alias("path")).agg(F.min("seed").alias("seed"))
-        if excluded is not None:
-            step = step.join(excluded.select("path"), "path", "left_anti")
-        if found is not None:
-            step = step.join(found.select("path"), "path", "left_anti")
-        frontier = staged(step, "reach")
-        if frontier.isEmpty():
-            break
-        layer = frontier.select("path", "seed", F.lit(level).alias("level"))
-        found = layer if found is None else found.union(layer)
-    return found if found is not None else frontier.select("path", "seed", F.lit(0).alias("level"))
+    with scratch(seeds.sparkSession) as stage:
+        starts = stage(seeds.select("path").distinct(), "seeds")
+        edges = stage(edges.select("src", "dst").distinct(), "edges")
+        closed = stage(excluded.select("path").distinct(), "closed") if excluded is not None else starts.limit(0)
+        open_ = edges.join(closed.select(F.col("path").alias("src")), "src", "left_anti")
+        # A way that comes to a closed file ends there, unless it is a seed.
+        blocked = closed.join(starts, "path", "left_anti").select(F.col("path").alias("dst"))
+        degrees = open_.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n"), F.any_value("dst").alias("to"))
+        single = stage(degrees.filter("n = 1").join(starts, "path", "left_anti").select("path", "to"), "single")
+        links, jumps = contracted(open_, single, stage)
+        links = stage(links.join(blocked, "dst", "left_anti"), "links")
+        frontier = starts.select("path", F.col("path").alias("seed"), F.lit(0).cast("long").alias("level"))
+        best, recent = None, []
+
+        def step(now: DataFrame) -> DataFrame:
+            reached = links.join(now.select(F.col("path").alias("dst"), "seed", "level"), "dst")
+            least = reached.groupBy(F.col("src").alias("path")).agg(F.min(F.struct((F.col("level") + F.col("hops")).alias("level"), "seed")).alias("_b"))
+            return least.select("path", "_b.seed", "_b.level")
+
+        def least(parts: list[DataFrame]) -> DataFrame:
+            rows = reduce(DataFrame.union, parts).groupBy("path").agg(F.min(F.struct("level", "seed")).alias("_b"))
+            return rows.select("path", "_b.seed", "_b.level")
+
+        while not frontier.isEmpty():
+            hops = walk(frontier, step)
+            if best is not None or recent:
+                known = reduce(DataFrame.union, [*recent, best] if best is not None else recent)
+                known = known.select(F.col("path").alias("_path"), F.struct("level", "seed").alias("_known"))
+                hops = hops.join(known, (F.col("path") == F.col("_path")) & (F.col("_known") <= F.struct("level", "seed")), "left_anti")
+            hops = stage(hops, "reach")
+            recent.append(hops.select("path", "seed", "level"))
+            frontier = hops.filter(F.col("_hop") == HOPS - 1).select("path", "seed", "level")
+            if len(recent) == FOLD:
+                best, recent = stage(least([*recent, best] if best is not None else recent), "reached"), []
+        found = least([*recent, best] if best is not None else recent) if recent or best is not None else frontier
+        found = stage(found, "reached")
+        whole = found.unionByName(starts.select("path", F.col("path").alias("seed"), F.lit(0).cast("long").alias("level")))
+        first = least([whole.select("path", "seed", "level")]).select(F.col("path").alias("to"), "seed", "level")
+        behind = jumps.join(blocked.withColumnRenamed("dst", "to"), "to", "left_anti").join(first, "to").select("path", "seed", (F.col("level") + F.col("hops")).alias("level"))
+        return staged(found.select("path", "seed", "level").union(behind).select("path", "seed", F.col("level").cast("int").alias("level")), "reached")
 
 
 def cores(edges: DataFrame) -> DataFrame:
@@ -121,11 +211,13 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFr
     """``path, scc``: members of strongly connected components of two or more, or with a self-loop; ``scc`` is the largest member.
 
     Trim, colour forwards by the largest node that reaches each, then walk back from each colour's
-    root inside its colour: what both reach is a component.  Repeat on what is left; once that has no more
+    root inside its colour: what both reach is a component.  Repeat on what is left; as soon as that has no more
     than ``one_task_edges`` edges, one task finishes it.
     """
     loops = edges.filter("src = dst").select(F.col("src").alias("path"), F.col("src").alias("scc")).distinct()
-    left, out = cores(edges.filter("src <> dst")), []
+    left, out = staged(edges.filter("src <> dst").select("src", "dst").distinct(), "core"), []
+    if left.count() > one_task_edges:
+        left = cores(left)
     while (n := left.count()) > 0:
         if n <= one_task_edges:
             kind = edges.schema["src"].dataType

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,31 @@ def staging_root(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back."""
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/cairnway/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the table read back."""
+    return _written(df, label)[0]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``staged`` whose tables are deleted at the end; what outlives the block is staged by ``staged`` itself."""
+    paths: list[str] = []
+
+    def stage(df: DataFrame, label: str) -> DataFrame:
+        table, path = _written(df, label)
+        paths.append(path)
+        return table
+
+    try:
+        yield stage
+    finally:
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,7 @@
 """Fixpoints and the greedy order against brute force on random graphs."""
 
 import random
+import time
 
 import pytest
 
@@ -45,6 +46,56 @@ def test_depth_is_the_longest_path_and_ignores_cycle_edges(spark):
     assert got == {0: 2, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
 
 
+def random_dag(rng, n, extra):
+    """Chains, branches and joins: node i imports smaller ones."""
+    return sorted({(i, i - 1) for i in range(1, n) if rng.random() < 0.8} | {(i, rng.randrange(i)) for i in rng.choices(range(1, n), k=extra)})
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_depths_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    edges = random_dag(rng, 40, 12)
+    want = {}
+    for i in range(40):
+        want[i] = max((want[b] + 1 for a, b in edges if a == i), default=0)
+    files, table = frames(spark, 40, edges)
+    assert dict(map(tuple, fixpoint.depths(files, table).collect())) == want
+
+
+def test_a_long_chain_takes_few_rounds_and_a_cycle_is_an_error(spark):
+    n = 5000
+    files, table = frames(spark, n, [(i + 1, i) for i in range(n - 1)])
+    began = time.time()
+    assert fixpoint.depths(files, table).agg({"depth": "max"}).first()[0] == n - 1
+    far = fixpoint.reach(files.filter("path = 0"), table)
+    assert far.agg({"level": "max"}).first()[0] == n - 1 and far.count() == n - 1
+    assert time.time() - began < 240
+    for ring in ([(0, 1), (1, 2), (2, 0), (3, 0)], [(0, 1), (0, 2), (1, 0), (1, 2)]):
+        with pytest.raises(ValueError):
+            fixpoint.depths(*frames(spark, 4, ring))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_reach_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    n = 40
+    edges = [*random_dag(rng, n, 8), *[(rng.randrange(n), rng.randrange(n)) for _ in range(4)]]
+    seeds, closed = set(rng.sample(range(n), 3)), set(rng.sample(range(n), 4))
+    want, level, now = {}, 0, {s: s for s in seeds}
+    while now:
+        level += 1
+        step = {}
+        for a, b in edges:
+            if b in now and a not in closed and a not in want:
+                step[a] = min(step.get(a, n), now[b])
+        want |= {a: (s, level) for a, s in step.items()}
+        now = step
+    _, table = frames(spark, n, edges)
+    of = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "path long")
+    got = fixpoint.reach(of(seeds), table, of(closed)).select("path", "seed", "level").collect()
+    assert {r.path: (r.seed, r.level) for r in got} == want and len(got) == len(want)
+
+
 def test_reach_stops_at_excluded_files_and_names_the_first_seed(spark):
     edges = [(1, 0), (2, 1), (3, 2), (4, 0), (5, 4), (6, 7), (2, 7)]  # 1 imports 0, ...
     _, table = frames(spark, 8, edges)
