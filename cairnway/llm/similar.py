@@ -7,8 +7,9 @@ joined:
 2. Leaders: texts that share a shingle of their prefixes are each paired with the one that holds most
    common shingles.  Both sources give at most one pair a row, so that a group of ``n`` copies costs ``n`` pairs.
 3. Prefixes: an exact similarity join.  Similar sets share several shingles of their prefixes in any common
-   order of all shingles (Chaudhuri et al., 2006); texts that were not joined before are compared if sizes, the number of
-   shared prefix shingles and the shingles that nobody else holds leave a similarity of ``min_similarity`` possible.
+   order of all shingles (Chaudhuri et al., 2006).  Texts that were not joined before meet under their shared prefix shingles with parity
+   sketches: two sketches differ in no more bits than their sets do, so the task itself drops pairs that sizes or sketches rule out,
+   and only pairs at or very near ``min_similarity`` leave it.
 
 The third source alone is complete, so no similar pair is missed; the first two keep groups of copies from meeting in
 pairs there.  The order puts common shingles last.  How common they are is counted over all texts in two rows of
@@ -23,7 +24,7 @@ Different texts share one of their 64-bit names with a chance of one in 10**9 fo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,13 @@ CELLS = 1 << 16
 SPARE = 4
 #: Rows of one shingle that are looked at together for leaders.
 SLICE = 1 << 16
+#: Bits of a parity sketch for each shingle, and at most; pairs whose sketches are compared at a time.
+SKETCH_BITS, MOST_BITS, SLAB = 8, 1 << 13, 1 << 15
 #: Rows of a table that is broadcast at most, counted first.
 BROADCAST_ROWS = 200_000
 #: Odd multipliers of the rolling hash and of its last mix.
 ROLL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-SIGNATURE = "struct<fp:long,size:int,common:int,last:long,cold:array<long>,hot:array<struct<key:long,parts:int>>>"
+SIGNATURE = "struct<fp:long,size:int,common:int,cold:array<long>,hot:array<struct<key:long,parts:int>>>"
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -94,18 +97,32 @@ def needed(size: int, min_similarity: float) -> tuple[int, int]:
     return overlap, min(SPARE, overlap - 1) + 1
 
 
-def prefix(grams: np.ndarray, counts: np.ndarray, min_similarity: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """The first shingles of a set by count, then hash; their counts; the place of the last one in the order of all shingles.
+def prefix(grams: np.ndarray, counts: np.ndarray, min_similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set by count, then hash, and their counts.
 
     Of two sets that share ``overlap`` shingles, what lies behind the prefix that ends first is fewer than ``overlap`` minus the
     number asked for by ``needed``; so both prefixes hold that number of the shared ones.
     """
     one, two = cells(grams)
     rank = np.minimum(counts[0][one], counts[1][two])
-    place = (np.minimum(rank, (1 << 23) - 1) << 40) | (grams >> np.uint64(24)).astype(np.int64)
     overlap, shared = needed(len(grams), min_similarity)
-    first = np.lexsort((grams, place))[: len(grams) - overlap + shared]
-    return grams[first], rank[first], int(place[first[-1]])
+    first = np.lexsort((grams, rank))[: len(grams) - overlap + shared]
+    return grams[first], rank[first]
+
+
+def parity(grams: np.ndarray) -> bytes:
+    """A sketch of a set: each shingle flips one bit.  The number of bits is a power of two that grows with the set."""
+    bits = min(MOST_BITS, 1 << max(6, (SKETCH_BITS * len(grams) - 1).bit_length()))
+    flips = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, width: int) -> np.ndarray:
+    """A sketch on fewer bytes, as numbers of 64 bits."""
+    out = np.frombuffer(sketch, np.uint64)
+    while 8 * len(out) > width:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
 
 
 def signature_column(body: Column, words: int, min_similarity: float, counts: Broadcast) -> Column:
@@ -119,14 +136,14 @@ def signature_column(body: Column, words: int, min_similarity: float, counts: Br
         for text in raw.to_pylist():
             grams = shingle_set(text, words)
             fp = majority(grams[at : at + BLOCK] for at in range(0, len(grams), BLOCK))
-            keys, rank, last = prefix(grams, counts.value, min_similarity)
+            keys, rank = prefix(grams, counts.value, min_similarity)
             parts = 1 + np.maximum(rank - 4 * usual, 0) // CHUNK
             hot, signed = parts > 1, keys.view(np.int64)
             dealt = [{"key": k, "parts": n} for k, n in zip(signed[hot].tolist(), parts[hot].tolist(), strict=True)]
-            out.append((as_signed(fp), len(grams), int((rank > 2 * usual).sum()), last, signed[~hot], dealt))
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(kind)]
+            out.append((as_signed(fp), len(grams), int((rank > 2 * usual).sum()), signed[~hot], dealt))
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(kind)]
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)]
-        return pa.StructArray.from_arrays(columns, ["fp", "size", "common", "last", "cold", "hot"])
+        return pa.StructArray.from_arrays(columns, ["fp", "size", "common", "cold", "hot"])
 
     return signature(body)
 
@@ -186,28 +203,41 @@ def meet(batches: Iterator[pa.RecordBatch], min_similarity: float) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tag", "x", "y", "z"])
 
 
-def meet_all(batches: Iterator[pa.RecordBatch], min_similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows ``key, name, kind, size, alone, last`` sorted by key: pairs of names of different kinds that may be similar.
+def near(i: np.ndarray, j: np.ndarray, size: np.ndarray, sketch: list[bytes], tables: dict[int, np.ndarray], min_similarity: float) -> np.ndarray:
+    """Which pairs of positions have sketches that do not rule them out; ``tables`` are filled by width as they are asked for."""
+    widths = np.fromiter(map(len, sketch), np.int64, len(sketch))
+    least, out = np.minimum(widths[i], widths[j]), np.zeros(len(i), bool)
+    for width in np.unique(least).tolist():
+        if width not in tables:  # sizes of similar sets, and so their widths, are less than a factor of two apart
+            table = tables[width] = np.zeros((len(sketch), width // 8), np.uint64)
+            for row in np.flatnonzero((widths >= width) & (widths <= 2 * width)):
+                table[row] = folded(sketch[row], width)
+        table, some = tables[width], np.flatnonzero(least == width)
+        for at in range(0, len(some), SLAB):
+            pick = some[at : at + SLAB]
+            differ = np.bitwise_count(table[i[pick]] ^ table[j[pick]]).sum(axis=1, dtype=np.int64)
+            # |A - B| + |B - A| of similar sets is at most this share of |A| + |B|.
+            out[pick] = differ <= (size[i[pick]] + size[j[pick]]) * (1 - min_similarity) / (1 + min_similarity) + 1e-9
+    return out
 
-    ``alone``: prefix shingles that no other prefix holds.  Of two texts the one whose prefix ends first shares none of these with the other.
-    """
-    share = min_similarity / (1 + min_similarity)
-    for (key, name, kind, size, alone, last), _ in whole_runs(batches, 1, 1 << 40):
+
+def meet_all(batches: Iterator[pa.RecordBatch], min_similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows ``key, name, kind, size, sketch`` sorted by key: pairs of names of different kinds that may be similar, and the smaller size."""
+    for (key, name, kind, size, sketch), _ in whole_runs(batches, 1, 1 << 40):
         starts = run_starts(key)
-        ends = np.append(starts[1:], len(key))
+        ends, found = np.append(starts[1:], len(key)), []
         mixed = np.minimum.reduceat(kind, starts) != np.maximum.reduceat(kind, starts)
-        rest, found = size - alone, []
         for start, end in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            for at in range(start, end, 256):
-                one, all_ = slice(at, min(at + 256, end)), slice(at, end)
-                less, more = np.minimum(size[one, None], size[None, all_]), np.maximum(size[one, None], size[None, all_])
-                least = share * (size[one, None] + size[None, all_]) - 1e-9
-                first = np.where(last[one, None] < last[None, all_], rest[one, None], np.where(last[one, None] > last[None, all_], rest[None, all_], np.maximum(rest[one, None], rest[None, all_])))
-                may = (kind[one, None] != kind[None, all_]) & (less >= min_similarity * more - 1e-9) & (first >= least)
-                i, j = np.nonzero(np.triu(may, 1))
+            own, names, kinds, sketches, tables = size[start:end], name[start:end], kind[start:end], list(sketch[start:end]), {}
+            for at in range(0, end - start, 256):
+                one = slice(at, at + 256)
+                less, more = np.minimum(own[one, None], own[None, at:]), np.maximum(own[one, None], own[None, at:])
+                i, j = np.nonzero(np.triu((kinds[one, None] != kinds[None, at:]) & (less >= min_similarity * more - 1e-9), 1))
+                i, j = i + at, j + at
+                keep = near(i, j, own, sketches, tables, min_similarity)
+                i, j = i[keep], j[keep]
                 if len(i):
-                    a, b = name[at + i], name[at + j]
-                    found.append((np.minimum(a, b), np.maximum(a, b), less[i, j]))
+                    found.append((np.minimum(names[i], names[j]), np.maximum(names[i], names[j]), np.minimum(own[i], own[j])))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "least"])
 
@@ -224,19 +254,35 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def verified(docs: DataFrame, doc: str, body: Column, words: int, min_similarity: float, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of text names whose whole sets are similar; ``texts(_t1, first)`` name a row of each text."""
+def of_texts(docs: DataFrame, doc: str, body: Column, texts: DataFrame, names: DataFrame, made: Column) -> DataFrame:
+    """``_t1, made``: a column made of ``_b``, the bytes of each named text; ``texts(_t1, first)`` name a row of each text."""
+    asked = staged(texts.select("_t1", "first").join(names, "_t1", "left_semi"), "similar-asked")
+    rows = docs.select(F.xxhash64(body).alias("_t1"), F.col(f"`{doc}`").alias("_doc"), body.cast("binary").alias("_b"))
+    own = rows.join(small(asked.withColumnRenamed("_t1", "_n")), (F.col("_t1") == F.col("_n")) & F.col("_doc").eqNullSafe(F.col("first")), "left_semi")
+    return staged(own.select("_t1", made.alias("made")).groupBy("_t1").agg(F.any_value("made").alias("made")), "similar-made")
+
 
+def set_column(words: int) -> Column:
     @F.arrow_udf("array<long>")
     def hashes(raw: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t, words).view(np.int64) for t in raw.to_pylist()], pa.list_(pa.int64()))
 
-    names = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_t1")
-    asked = staged(texts.select("_t1", "first").join(names, "_t1", "left_semi"), "similar-asked")
-    rows = docs.select(F.xxhash64(body).alias("_t1"), F.col(f"`{doc}`").alias("_doc"), body.cast("binary").alias("_b"))
-    own = rows.join(small(asked.withColumnRenamed("_t1", "_n")), (F.col("_t1") == F.col("_n")) & F.col("_doc").eqNullSafe(F.col("first")), "left_semi")
-    sets = staged(own.select("_t1", hashes(F.col("_b")).alias("set")).groupBy("_t1").agg(F.any_value("set").alias("set")), "similar-sets")
-    both = pairs.join(sets.select(F.col("_t1").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("_t1").alias("b"), F.col("set").alias("y")), "b")
+    return hashes(F.col("_b"))
+
+
+def sketch_column(words: int) -> Column:
+    @F.arrow_udf("binary")
+    def sketches(raw: pa.Array) -> pa.Array:
+        return pa.array([parity(shingle_set(t, words)) for t in raw.to_pylist()], pa.binary())
+
+    return sketches(F.col("_b"))
+
+
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], min_similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of text names whose whole sets are similar."""
+    sets = sets_of(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_t1"))
+    end = lambda name, column: sets.select(F.col("_t1").alias(name), F.col("made").alias(column))
+    both = pairs.join(end("a", "x"), "a").join(end("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("all"))
     return staged(both.filter(F.col("shared") >= F.lit(min_similarity) * F.col("all")).select("a", "b"), "similar-pairs")
@@ -252,22 +298,18 @@ def print_pairs(texts: DataFrame, max_distance: int) -> DataFrame:
     return far.union(same).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
 
 
-def prefix_pairs(shared: DataFrame, texts: DataFrame, kinds: DataFrame, min_similarity: float) -> DataFrame:
-    """``a, b``: all pairs of texts of different kinds that their prefixes leave similar; ``shared(key, name, size)``, ``kinds(node, root)``."""
-    overlap = F.greatest(F.lit(1), F.ceil(F.lit(min_similarity) * F.col("size") - 1e-9))
-    length = F.col("size") - overlap + F.least(F.lit(SPARE), overlap - 1) + 1
-    own = shared.groupBy("name").agg(F.count("*").alias("n")).join(texts.select(F.col("_t1").alias("name"), "size", "last"), "name")
-    own = own.join(kinds.withColumnRenamed("node", "name"), "name", "left")
-    own = own.select("name", F.coalesce("root", "name").alias("kind"), (length - F.col("n")).cast("long").alias("alone"), "last")
-    large = shared.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    large = staged(large, "similar-large")
-    rows = shared.join(staged(own, "similar-own"), "name").join(large, "key", "left")
-    chunks = F.coalesce("chunks", F.lit(1))
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("name"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    key = F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")))
-    rows = rows.select(key.alias("key"), "name", "kind", F.col("size").cast("long").alias("size"), "alone", "last")
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: meet_all(batches, min_similarity), "a long, b long, least long")
-    return enough(met, min_similarity)
+def prefix_pairs(shared: DataFrame, kinds: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], min_similarity: float) -> DataFrame:
+    """``a, b``: all pairs of texts of different kinds that prefixes, sizes and sketches leave similar; ``shared(key, name, size)``, ``kinds(node, root)``."""
+    own = shared.join(kinds.withColumnRenamed("node", "name"), "name", "left").select("key", "name", F.coalesce("root", "name").alias("kind"), F.col("size").cast("long").alias("size"))
+    own = staged(own, "similar-own")
+    several = own.groupBy("key").agg(F.min("kind").alias("x"), F.max("kind").alias("y"), F.count("*").alias("n")).filter("x <> y")
+    several = staged(several.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "similar-several")
+    rows = staged(own.join(several, "key"), "similar-rows")
+    rows = rows.join(sketches_of(rows.select(F.col("name").alias("_t1")).distinct()).select(F.col("_t1").alias("name"), F.col("made").alias("sketch")), "name")
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("name"), "chunks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")))
+    dealt = rows.select(key.alias("key"), "name", "kind", "size", "sketch").repartition("key").sortWithinPartitions("key")
+    return enough(dealt.mapInArrow(lambda batches: meet_all(batches, min_similarity), "a long, b long, least long"), min_similarity)
 
 
 def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, min_similarity: float = 0.8, max_distance: int = 3) -> DataFrame:
@@ -283,7 +325,7 @@ def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", wor
     digest = [F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit(9), body).alias("_t2")]
     prints = docs.select(F.col(f"`{doc}`").alias("_doc"), *digest, signature_column(body.cast("binary"), words, min_similarity, counts).alias("s"))
     prints = staged(prints, "similar-prints")
-    texts = prints.groupBy("_t1", "_t2").agg(F.min("_doc").alias("first"), F.min("s.fp").alias("fp"), F.min("s.size").alias("size"), F.min("s.last").alias("last"))
+    texts = prints.groupBy("_t1", "_t2").agg(F.min("_doc").alias("first"), F.min("s.fp").alias("fp"))
     texts = staged(texts, "similar-texts")
 
     once = prints.groupBy("_t1", "_t2").agg(F.any_value("s").alias("s"))
@@ -295,11 +337,11 @@ def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", wor
 
     led = enough(met.filter("tag = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("least")), min_similarity)
     tried = staged(led.union(print_pairs(texts, max_distance)).distinct(), "similar-tried")
-    joined = verified(docs, doc, body, words, min_similarity, texts, tried)
-    kinds = components(joined)
+    made = lambda column: lambda names: of_texts(docs, doc, body, texts, names, column)
+    kinds = components(verified(tried, made(set_column(words)), min_similarity))
     shared = met.filter("tag = 0").select(F.col("x").alias("key"), F.col("y").alias("name"), F.col("z").alias("size"))
-    apart = staged(prefix_pairs(shared, texts, kinds, min_similarity).join(tried, ["a", "b"], "left_anti"), "similar-apart")
-    rest = verified(docs, doc, body, words, min_similarity, texts, apart)
+    apart = prefix_pairs(shared, kinds, made(sketch_column(words)), min_similarity)
+    rest = verified(staged(apart.join(tried, ["a", "b"], "left_anti"), "similar-apart"), made(set_column(words)), min_similarity)
     if not rest.isEmpty():
         kinds = components(kinds.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
 

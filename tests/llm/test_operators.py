@@ -227,6 +227,20 @@ def test_similar_groups_match_brute_force(spark, monkeypatch):
         assert sorted(kept, key=str) == sorted(least.values(), key=str)
 
 
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 9, 60, 130, 500, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            kept = a[rng.random(len(a)) < rng.uniform(0.8, 1)]
+            b = np.unique(np.concatenate((kept, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 8))).astype(np.uint64))))
+            if len(b) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                size = np.array([len(a), len(b)])
+                assert similar.near(np.array([0]), np.array([1]), size, [similar.parity(a), similar.parity(b)], {}, 0.8).tolist() == [True]
+    far = [np.unique(rng.integers(0, 1 << 63, 150).astype(np.uint64)) for _ in range(2)]
+    assert not similar.near(np.array([0]), np.array([1]), np.array([150, 150]), [similar.parity(x) for x in far], {}, 0.8)[0]
+
+
 def test_meet_keeps_every_shared_row():
     """Runs cut anywhere, batches of any size: no shared row is lost, and unsalted lone rows go."""
     rng = np.random.default_rng(4)
