@@ -1,4 +1,4 @@
-"""``python -m cairnway PATH [--out FOLDER]``: index a tree, write its tables, print a line for each layer."""
+"""``python -m cairnway PATH [--out FOLDER]``: index a tree, write its tables, the map and the progress, print a line for each layer."""
 
 from __future__ import annotations
 
@@ -11,11 +11,12 @@ from pyspark.sql import SparkSession
 
 from cairnway.config import read_options
 from cairnway.operators import order, reports
-from cairnway.operators.progress import utc_now
+from cairnway.operators.lifecycle import Progress, begun_or_refreshed
+from cairnway.operators.progress import hash_diff, utc_now
 from cairnway.plans.index import entries, index
 from cairnway.plans.staging import staged
-from cairnway.sources.documents import map_document, write_json, write_table
-from cairnway.sources.tree import ignore_lines
+from cairnway.sources import git
+from cairnway.sources.documents import hashes_or_none, map_document, map_hash, progress_document, progress_or_none, read_map, write_document, write_table
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -30,13 +31,20 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     out = Path(args.out) if args.out else root / ".cairnway"
     spark = SparkSession.builder.appName("cairnway").getOrCreate()
-    ignore = ignore_lines(str(root))
-    found = index(spark, str(root), read_options(out), ignore)
+    known = staged(hashes_or_none(spark, str(out / "map.json")), "known")
+    before = progress_or_none(spark, str(out / "progress.json"))
+    if before is not None:
+        before = Progress(staged(before.meta, "progress-meta"), staged(before.files, "progress-files"))
+    found = index(spark, str(root), read_options(out))
     for field in fields(found):
         write_table(getattr(found, field.name), str(out / field.name))
     listed = staged(entries(found), "entries")
     write_table(listed, str(out / "entries"))
-    write_json(map_document(listed, found.files, str(root), utc_now()).coalesce(1), str(out / "map"))
+    write_document(map_document(listed, found.files, str(root), utc_now()), str(out / "map.json"))
+    name = map_hash(read_map(spark, str(out / "map.json"))).first()["hash"]  # one row
+    changes = hash_diff(known, found.files.select("path", "hash"))
+    progress = begun_or_refreshed(before, listed, name, changes, found.edges, git.head(str(root)), git.branch(str(root)))
+    write_document(progress_document(progress), str(out / "progress.json"))
     placed = found.order.select("path", "layer")
     for row in sorted(reports.index_summary(placed).collect(), key=lambda r: order.LAYERS.index(r.layer)):  # five rows at most
         print(row.line)

@@ -77,6 +77,11 @@ def reason(pass_: Column, layer_: Column, fan_in: Column, fan_out: Column, paire
     return F.when(paired_with.isNotNull(), F.concat(F.lit("Test file for "), paired_with, F.lit("."))).otherwise(said)
 
 
+def is_script_entry(path: Column) -> Column:
+    """Whether a script's stem is one that starts programs; nothing else depends on it."""
+    return stem(path).isin("index", "main", "app")
+
+
 def is_trivial_init(path: Column, n_imports: Column, n_exports: Column, n_functions: Column) -> Column:
     """A package file without functions that does not pass on what it imports."""
     return (basename(path) == "__init__.py") & (n_functions == 0) & ~((n_imports > 0) & (n_exports > 0))

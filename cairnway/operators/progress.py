@@ -46,7 +46,8 @@ def latest_status(updates: DataFrame) -> DataFrame:
 def apply_changes(state: DataFrame, changes: DataFrame, edges: DataFrame) -> DataFrame:
     """The state after a change set: removed dropped, new and modified unread, what depends on modified files flagged.
 
-    ``state(path, status, note)``.  Unread, new and modified files are neither flagged nor passed through.
+    ``state(path, status, note, ...)``.  Unread, new and modified files are neither flagged nor passed through.  Other columns
+    stay as they are, and are null for new and modified files.
     """
     reset = changes.filter(F.col("change").isin("new", "modified")).select("path")
     blocked = state.filter(F.col("status") == "unread").select("path").union(reset).distinct()
@@ -55,9 +56,11 @@ def apply_changes(state: DataFrame, changes: DataFrame, edges: DataFrame) -> Dat
     gone = changes.filter(F.col("change") == "removed").select("path")
     kept = state.join(gone, "path", "left_anti").join(changes.filter(F.col("change") == "modified").select("path", F.lit(True).alias("_m")), "path", "left").join(stale, "path", "left")
     status = F.when(F.col("_m"), "unread").when(F.col("_stale").isNotNull(), "flagged").otherwise(F.col("status"))
-    kept = kept.select("path", status.alias("status"), F.when(F.col("_m").isNull(), F.coalesce("_stale", "note")).alias("note"))
-    added = changes.filter(F.col("change") == "new").join(state, "path", "left_anti").select("path", F.lit("unread").alias("status"), F.lit(None).cast("string").alias("note"))
-    return kept.union(added)
+    values = {"path": F.col("path"), "status": status, "note": F.when(F.col("_m").isNull(), F.coalesce("_stale", "note"))}
+    kept = kept.select(*[values.get(c, F.when(F.col("_m").isNull(), F.col(c))).alias(c) for c in state.columns])
+    values = {"path": F.col("path"), "status": F.lit("unread")}
+    added = changes.filter(F.col("change") == "new").select("path").distinct().join(state, "path", "left_anti")
+    return kept.unionByName(added.select(*[values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in state.schema]))
 
 
 def status_counts(state: DataFrame) -> DataFrame:

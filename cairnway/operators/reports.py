@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnway.functions.paths import half_even_percent
 from cairnway.operators.order import LAYERS
-from cairnway.operators.progress import current_layer, dependency_status, next_unread, status_counts
+from cairnway.operators.progress import carried_counts, current_layer, dependency_status, next_unread, status_counts
 
 RULE = "-" * 50
 
@@ -96,6 +96,54 @@ def next_text(order: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
+def entry_of(order: DataFrame, path: str) -> DataFrame:
+    """The order's row of a path; ``KeyError`` if there is none."""
+    found = order.filter(F.col("path") == path)
+    if found.isEmpty():
+        raise KeyError(f"not in the reading order: {path}")
+    return found
+
+
+def session_context(order: DataFrame, state: DataFrame, current: DataFrame) -> DataFrame:
+    """``rank, at, line``: what to know before the ``current(path)`` file is read, as lines in order.
+
+    ``order`` holds the columns of a map document's entries.  Lines are rows, as the files read before may be many.
+    """
+    entry = order.join(F.broadcast(current.select("path")), "path", "left_semi")
+    quoted = F.when(F.length("summary") > 0, F.concat(F.lit('"'), F.col("summary"), F.lit('"'))).otherwise("(no summary)")
+    known = state.filter(F.coalesce("status", F.lit("unread")) != "unread")
+
+    def rows(rank: int, df: DataFrame, *lines: Column) -> DataFrame:
+        """Lines of the entry, null ones left out."""
+        return df.select(F.posexplode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("at", "line")).select(F.lit(rank).alias("rank"), F.col("at").cast("long").alias("at"), "line")
+
+    head = rows(
+        0, entry, headed(F.col("path")), F.format_string("Layer: %s | Lines: %d | Complexity: %s", "layer", "line_count", "complexity"),
+        F.when(F.length("reason") > 0, F.concat(F.lit("Why now: "), F.col("reason"))), F.when(F.size("imports") > 0, F.lit("")), F.when(F.size("imports") > 0, F.lit("Dependencies (imports):")),
+    )
+    deps = entry.select(F.posexplode("imports").alias("at", "dst")).join(known.select(F.col("path").alias("dst"), "status", "summary"), "dst", "left")
+    said = F.when(F.col("status").isNull(), F.concat(F.lit("  [unread] "), "dst")).otherwise(F.concat(F.lit("  ["), "status", F.lit("] "), "dst", F.lit(" -- "), quoted))
+    deps = deps.select(F.lit(1).alias("rank"), F.col("at").cast("long").alias("at"), said.alias("line"))
+    shape = rows(2, entry, F.when(F.size("exports") > 0, F.lit("")), listed("Exports", F.col("exports")), listed("Used by", F.col("imported_by"), " (unread, later)"))
+    own = entry.select(F.explode(F.concat("imports", F.array("path"))).alias("path"))
+    general = known.join(own, "path", "left_anti").join(order.select("path", F.col("index").cast("long").alias("at")), "path", "left")
+    general = general.select(F.lit(4).alias("rank"), "at", F.concat(F.lit("  "), "path", F.lit(" -- "), quoted).alias("line"))
+    title = rows(3, general.limit(1), F.lit(""), F.lit("Previously read:"))
+    return head.union(deps).union(shape).union(title).union(general).union(rows(5, entry, F.lit(RULE)))
+
+
+def tool_status(order: DataFrame, state: DataFrame, total: int | Column, sessions: int | Column) -> DataFrame:
+    """One row: counts under a carried total, the current layer by the reading order with its half-up percent, the next file (untracked ones count), sessions."""
+    layer = current_layer(order, state, by_reading_order=True).select(F.col("layer").alias("current_layer"), F.col("percent").alias("_p"))  # one row at most
+    following = next_unread(order, state, untracked_unread=True).select(F.col("path").alias("next_file"))
+    rows = carried_counts(state, total).join(F.broadcast(layer), F.lit(True), "left").join(F.broadcast(following), F.lit(True), "left")
+    sessions = F.lit(sessions) if isinstance(sessions, int) else sessions
+    return rows.select(
+        "total", "confirmed", "flagged", "skimmed", "unread", "current_layer", F.coalesce("_p", F.lit(0).cast("long")).alias("current_layer_pct"), "next_file",
+        F.col("flagged").alias("flagged_count"), sessions.alias("sessions"),
+    )
+
+
 def flagged_texts(order: DataFrame, state: DataFrame) -> DataFrame:
     """``path, text``: every flagged file in words; files outside the order have the layer unknown and no lines."""
     rows = state.filter(F.col("status") == "flagged").select("path", "note", "summary").join(order, "path", "left")

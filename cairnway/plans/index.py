@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairnway.config import Options
 from cairnway.functions.paths import code_lines
 from cairnway.operators import graph, order
-from cairnway.operators.resolve import resolve_go, resolve_python, resolve_script
+from cairnway.operators.resolve import go_modules, resolve_go, resolve_python, resolve_script
 from cairnway.plans import fixpoint
 from cairnway.plans.staging import staged
 from cairnway.sources import extract, tree
@@ -43,18 +43,12 @@ class Index:
 
 
 def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Imports, exports, functions and Python facts of ``files(path, language, content)``."""
-    python = staged(extract.extract_python(files.filter("language = 'python'")), "parsed")
-    own = lambda column: python.select("path", F.explode(column).alias("r")).select("path", "r.*")
-    imports, exports, functions = [own("imports").withColumnRenamed("path", "src")], [own("exports")], [own("functions")]
-    for language, reader in extract.LANGUAGES.items():
-        some = files.filter(F.col("language") == language)
-        imports.append(reader.imports(some))
-        exports.append(reader.exports(some))
-        functions.append(reader.functions(some))
-    joined = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    facts = python.select("path", "nesting", "has_guard", "has_side_effects", F.size("functions").alias("n_defs"))
-    return staged(joined(imports), "imports"), staged(joined(exports), "exports"), staged(joined(functions), "functions"), facts
+    """Imports, exports, functions and facts of ``files(path, language, content)``; facts count for Python only."""
+    read = [reader(files.filter(F.col("language") == language)).withColumn("language", F.lit(language)) for language, reader in extract.LANGUAGES.items()]
+    rows = staged(reduce(DataFrame.union, read), "parsed")
+    own = lambda column: rows.select("path", F.explode(column).alias("r")).select("path", "r.*")
+    facts = rows.filter("language = 'python'").select("path", "nesting", "has_guard", "has_side_effects", F.size("functions").alias("n_defs"))
+    return own("imports").withColumnRenamed("path", "src"), own("exports"), own("functions"), facts
 
 
 def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
@@ -78,9 +72,11 @@ def index(
     scripts: dict[str, str] | None = None,
     modules: DataFrame | None = None,
 ) -> Index:
-    """Index the tree at ``root``; ``ignore``: lines of ignore files by directory, ``scripts``: declared programs."""
+    """Index the tree at ``root``; ``ignore``: rules besides those of its ignore files, by directory; ``scripts``: declared programs; ``modules``: Go roots besides those of its ``go.mod`` files."""
     options = options or Options()
-    read = staged(tree.scan_tree(spark, root, ignore), "files")  # contents are read from the tree once
+    seen = staged(tree.scan_tree(spark, root, ignore, extra=("go.mod",)), "files")  # contents are read from the tree once
+    read, own = seen.filter("language is not null"), go_modules(seen)
+    modules = own if modules is None else own.unionByName(modules)
     imports, exports, functions, facts = parsed(read)
     files = staged(read.select("path", "language", "hash", "is_test", code_lines(F.col("content").cast("string")).alias("line_count")), "named")
     resolved = staged(resolve(imports, files, modules), "resolved")

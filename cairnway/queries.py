@@ -350,11 +350,18 @@ def export_cascade(spark, d):
     return progress.export_cascade(lines.select("path", "name").distinct(), read, confirmed)
 
 
-@query("""SELECT doc_id, i AS line, regexp_extract(line, '^\\s*(?:async\\s+)?def\\s+([A-Za-z_]\\w*)|^\\s*class\\s+([A-Za-z_]\\w*)', 0) <> '' AS declares, length(line) AS n_chars
-FROM (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i + 1] AS line FROM (SELECT doc_id, text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents))""")
+#: Documents' lines, one in three made a declaration of some language out of its own words.
+SOURCE_LINE_SQL = """CASE (doc_id + line) % 12 WHEN 0 THEN concat('def f_', line, '(', body, '):') WHEN 3 THEN concat('  async  def g', line, ' (x):') WHEN 5 THEN concat('x; export default class K', line, ' {', body)
+  WHEN 7 THEN concat('return async function   h', line, '(', body, ')') WHEN 9 THEN concat('export const v', line, ' = (a) => a') WHEN 10 THEN concat('def ', body) ELSE body END"""
+
+
+@query(f"""SELECT doc_id, line, coalesce(nullif(regexp_extract(src, '\\bfunction\\s+(\\w+)', 1), ''), nullif(regexp_extract(src, '\\b(?:let|const|var)\\s+(\\w+)\\s*=\\s*(?:async\\s+)?(?:[^=]|\\([^)]*\\))\\s*=>', 1), ''),
+nullif(regexp_extract(src, '\\bclass\\s+(\\w+)', 1), ''), nullif(regexp_extract(src, '^\\s*(?:async\\s+)?def\\s+(\\w+)\\s*\\(', 1), '')) AS name
+FROM (SELECT doc_id, line, {SOURCE_LINE_SQL} AS src FROM (SELECT doc_id, line, string_split(coalesce(text, ''), chr(10))[line + 1] AS body
+FROM (SELECT doc_id, text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents)))""")
 def declared_lines(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "body"))
-    return lines.select("doc_id", F.col("line").cast("long").alias("line"), P.declared_name(F.col("body")).isNotNull().alias("declares"), F.char_length("body").cast("long").alias("n_chars"))
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), P.declared_name(F.expr(SOURCE_LINE_SQL)).alias("name"))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS \"index\" FROM conversations")

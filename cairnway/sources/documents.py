@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from cairnway.operators.lifecycle import Progress, with_stats
 from cairnway.operators.order import LAYERS
 
 ENTRY = (
@@ -51,6 +55,15 @@ def state_of(progress: DataFrame) -> DataFrame:
     return progress.select(F.explode("files").alias("path", "f")).select("path", "f.*")
 
 
+def progress_or_none(spark: SparkSession, path: str) -> Progress | None:
+    """The progress of an earlier index; None if there is no readable one."""
+    try:
+        found = read_progress(spark, path)
+    except AnalysisException:  # no such path
+        return None
+    return None if found.isEmpty() else progress_of(found)
+
+
 def hashes_or_none(spark: SparkSession, path: str) -> DataFrame:
     """The hashes of an earlier index; an empty table if there is no readable one."""
     try:
@@ -85,6 +98,64 @@ def map_hash(maps: DataFrame) -> DataFrame:
     return maps.select(F.sha2(kept, 256).alias("hash"))
 
 
+def progress_document(progress: Progress) -> DataFrame:
+    """One row in the shape of ``PROGRESS``, with counts taken anew; one repository's files, as the format asks."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<read_at:string,summary:string>>"))
+    entry = F.struct("status", "read_at", "note", "summary", none.alias("exports_read"))
+    files = progress.files.agg(F.map_from_entries(F.collect_list(F.struct("path", entry))).alias("files"))
+    stats = F.struct(*[F.col(c).cast("int").alias(c) for c in ("total", "confirmed", "flagged", "skimmed", "unread")])
+    one = with_stats(progress).join(files, F.lit(True))  # single rows
+    return one.select(
+        "version", "map_hash", "started_at", "last_session", F.col("sessions").cast("int").alias("sessions"), F.col("next_unread_index").cast("int").alias("next_unread_index"),
+        "git_commit", "git_branch", "files", stats.alias("stats"),
+    )
+
+
+def progress_of(documents: DataFrame) -> Progress:
+    """The tables of a progress document."""
+    meta = documents.select("version", "map_hash", "started_at", "last_session", "sessions", F.col("next_unread_index").cast("long").alias("next_unread_index"), "git_commit", "git_branch")
+    return Progress(meta, state_of(documents).select("path", "status", "read_at", "note", "summary"))
+
+
+def _sorted_fields(name: Column | str, kind: DataType) -> Column:
+    """A value whose structs have their fields in order of name."""
+    at = F.col(name) if isinstance(name, str) else name
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(at.isNotNull(), F.struct(*[_sorted_fields(at[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(at, lambda x: _sorted_fields(x, kind.elementType))
+    if isinstance(kind, MapType):
+        pairs = F.transform(F.map_entries(at), lambda e: F.struct(e["key"].alias("key"), _sorted_fields(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(pairs, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return at
+
+
+def as_json(document: DataFrame) -> DataFrame:
+    """``value``: the rows as indented JSON with sorted keys."""
+    whole = _sorted_fields(F.struct(*document.columns), document.schema)
+    return document.select(F.to_json(whole, {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """A single row as one JSON file: written beside it first, then renamed over what is there, so that readers see a whole document."""
+    spark = document.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    as_json(document).coalesce(1).write.text(aside.toString())  # one row
+    try:
+        part = next(s.getPath() for s in fs.listStatus(aside) if s.getPath().getName().startswith("part-"))
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(target), over)
+        # A checksum beside a local file would make it unreadable once it is edited.
+        fs.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.crc"), False)
+    finally:
+        fs.delete(aside, True)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Parquet, replacing what is there; the committer renames finished files, so readers see whole tables."""
     df.write.mode("overwrite").parquet(path)

@@ -1,21 +1,19 @@
-"""Imports, exports and functions of source files.
+"""Imports, exports and functions of source files, one small helper a file in Arrow batches.
 
-Python files go through the standard parser, one small helper a file in Arrow batches; scripts and Go are
-read by regular expressions inside Spark (so text inside strings or comments can look like a
-declaration, and members of script classes are not told apart).  ``LANGUAGES`` says which table functions read a language;
-``register`` adds another.
+Python files go through the standard parser, scripts and Go through the scanner of ``braces``.  ``LANGUAGES`` says which table
+function reads a language; ``register`` adds another with its suffixes.
 """
 
 from __future__ import annotations
 
 import ast
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame
+
+from cairnway.sources import tree
+from cairnway.sources.braces import read_go, read_script
 
 SHAPE = (
     "imports array<struct<source:string,specifiers:array<string>,is_relative:boolean>>, exports array<struct<name:string,kind:string,line:int>>, "
@@ -111,127 +109,41 @@ def parse_python(content: bytes) -> dict | None:
     }
 
 
+NONE = {"imports": [], "exports": [], "functions": [], "nesting": 0, "has_guard": False, "has_side_effects": False}
+
+
+def _read(files: DataFrame, parse: Callable[[bytes], dict | None]) -> DataFrame:
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [{"path": p, **NONE, **(parse(bytes(c)) or {})} for p, c in zip(frame["path"], frame["content"], strict=True)]
+            yield pd.DataFrame(found, columns=["path", *NONE])
+
+    return files.select("path", "content").mapInPandas(rows, f"path string, {SHAPE}")
+
+
 def extract_python(files: DataFrame) -> DataFrame:
     """``files(path, content)`` with imports, exports, functions, nesting and the program guard; broken files get empty lists."""
+    return _read(files, parse_python)
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = {"imports": [], "exports": [], "functions": [], "nesting": 0, "has_guard": False, "has_side_effects": False}
-        for frame in frames:
-            rows = [{"path": p, **(parse_python(bytes(c)) or none)} for p, c in zip(frame["path"], frame["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=["path", *none])
-
-    return files.select("path", "content").mapInPandas(parse, f"path string, {SHAPE}")
-
-
-#: Patterns over a whole file, multi-line (fixed values).  Imports: the clause, then the source.  Exports: the name.
-SCRIPT_IMPORTS = [
-    r"(?m)^\s*(?:import|export)\s+(?:type\s+)?([^;'\"]*?)\s*from\s*['\"]([^'\"]+)['\"]",
-    r"(?m)^\s*import()\s*['\"]([^'\"]+)['\"]",
-    r"(?:\b(?:const|let|var)\s+([^=;]+?)\s*=\s*)?\brequire\(\s*['\"]([^'\"]+)['\"]",
-    r"\bimport()\(\s*['\"]([^'\"]+)['\"]",
-]
-SCRIPT_EXPORTS = {
-    "function": r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)",
-    "class": r"(?m)^\s*export\s+(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)",
-    "type": r"(?m)^\s*export\s+(?:declare\s+)?(?:interface|type|enum)\s+([A-Za-z_$][\w$]*)",
-    "variable": r"(?m)^\s*export\s+(?:const|let|var)\s+([A-Za-z_$][\w$]*)",
-}
-#: Names in an export clause are variables.
-SCRIPT_CLAUSE = r"(?m)^\s*export\s*\{([^}]*)\}\s*(?:;|$)"
-SCRIPT_FUNCTIONS = [
-    r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)",
-    r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)[^=]*=>|[A-Za-z_$][\w$]*\s*=>)",
-]
-GO_IMPORT = r"(?m)^(?:import\s+([\w.]+\s+)?|\s+([\w.]+\s+)?)\"([^\"\s]+)\"\s*$"
-GO_EXPORTS = {
-    "function": r"(?m)^func\s+(?:\([^)]*\)\s*)?(\p{Lu}\w*)",
-    "class": r"(?m)^type\s+(\p{Lu}\w*)\s+struct\b",
-    "type": r"(?m)^type\s+(\p{Lu}\w*)\s+(?!struct\b)",
-    "variable": r"(?m)^(?:var|const)\s+(\p{Lu}\w*)",
-}
-GO_FUNCTION = r"^func\s+(?:\(\s*(?:\w+\s+)?\*?(\w+)[^)]*\)\s*)?(\w+)\s*[(\[]"
-CALL = r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
-#: Words before a bracket that call nothing (fixed values).
-NOT_CALLS = {"script": "if for while switch catch return function import typeof await new async".split(), "go": "if for switch return func go defer select range".split()}
-
-
-def _text(files: DataFrame, name: str = "path") -> DataFrame:
-    return files.select(F.col("path").alias(name), F.col("content").cast("string").alias("text"))
-
-
-def _all(pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(group))
-
-
-def _listed(clause: Column) -> Column:
-    """The names of ``a, b as c, d: e``: each one's original."""
-    return F.filter(F.transform(F.split(clause, ","), lambda x: F.regexp_replace(F.trim(F.translate(x, "\n\t", "  ")), r"^type\s+|\s+as\s.*$|\s*:.*$", "")), lambda x: x != "")
-
-
-def _specifiers(clause: Column) -> Column:
-    """Sorted names of an import clause: the default, ``*`` for a namespace, those in braces."""
-    braces = F.regexp_extract(clause, r"(?s)\{([^}]*)\}", 1)
-    default = F.regexp_extract(clause, r"^([A-Za-z_$][\w$]*)", 1)
-    star = F.when(F.contains(clause, F.lit("*")), "*").otherwise("")
-    return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(default, star), _listed(braces)), lambda x: x != "")))
-
-
-def imports_by_pattern(files: DataFrame, go: bool = False) -> DataFrame:
-    """``src, source, specifiers, is_relative`` of script or Go files ``(path, content)``; a Go alias is its only specifier."""
-
-    def read(pattern: str) -> Column:
-        specs = (lambda m: F.filter(F.array(F.trim(F.concat(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)))), lambda x: x != "")) if go else (lambda m: _specifiers(F.regexp_extract(m, pattern, 1)))
-        return F.transform(_all(pattern, 0), lambda m: F.struct(F.regexp_extract(m, pattern, 3 if go else 2).alias("source"), specs(m).alias("specifiers")))
-
-    found = F.concat(*[read(p) for p in ([GO_IMPORT] if go else SCRIPT_IMPORTS)])
-    rows = _text(files, "src").select("src", F.explode(F.array_distinct(found)).alias("i")).select("src", "i.*")
-    return rows.withColumn("is_relative", F.lit(False) if go else F.col("source").rlike("^[./]"))
-
-
-def exports_by_pattern(files: DataFrame, go: bool = False) -> DataFrame:
-    """``path, name, kind`` of script or Go files ``(path, content)``."""
-    named = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
-    parts = [named(_all(p), k) for k, p in (GO_EXPORTS if go else SCRIPT_EXPORTS).items()]
-    if not go:
-        parts.append(named(F.flatten(F.transform(_all(SCRIPT_CLAUSE), _listed)), "variable"))
-    return _text(files).select("path", F.explode(F.concat(*parts)).alias("e")).select("path", "e.*").distinct()
-
-
-def functions_by_pattern(files: DataFrame, go: bool = False) -> DataFrame:
-    """``path, name, line, end_line, calls`` of script or Go files ``(path, content)``.
-
-    A function reaches to the line before the next one, or to the last line; methods of Go are named ``Receiver.Method``.
-    """
-    lines = _text(files).select("path", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    if go:
-        name = F.nullif(F.concat_ws(".", F.nullif(F.regexp_extract("text", GO_FUNCTION, 1), F.lit("")), F.nullif(F.regexp_extract("text", GO_FUNCTION, 2), F.lit(""))), F.lit(""))
-    else:
-        name = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in SCRIPT_FUNCTIONS])
-    in_file = Window.partitionBy("path").orderBy("at")  # the lines of one file
-    begun = F.last(F.when(F.col("name").isNotNull(), F.struct(F.col("at").alias("line"), "name")), ignorenulls=True).over(in_file)
-    body = F.when(F.col("name").isNull(), F.col("text")).otherwise(F.regexp_replace("text", r"^[^{=]*", ""))
-    calls = F.filter(F.regexp_extract_all(body, F.lit(CALL), F.lit(1)), lambda c: ~c.isin(*NOT_CALLS["go" if go else "script"]))
-    rows = lines.withColumn("name", name).select("path", "at", begun.alias("f"), calls.alias("c")).filter("f is not null")
-    per = rows.groupBy("path", "f").agg(F.max("at").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("calls"))
-    return per.select("path", F.col("f.name").alias("name"), (F.col("f.line") + 1).alias("line"), (F.col("end") + 1).alias("end_line"), "calls")
-
-
-class Reader(NamedTuple):
-    """Table functions over ``files(path, content)``."""
-
-    imports: Callable[[DataFrame], DataFrame]
-    exports: Callable[[DataFrame], DataFrame]
-    functions: Callable[[DataFrame], DataFrame]
-
-
-LANGUAGES: dict[str, Reader] = {
-    "script": Reader(imports_by_pattern, exports_by_pattern, functions_by_pattern),
-    "go": Reader(lambda f: imports_by_pattern(f, True), lambda f: exports_by_pattern(f, True), lambda f: functions_by_pattern(f, True)),
-}
-
-
-def register(language: str, reader: Reader) -> None:
-    """Add a language (its suffixes are added to ``tree.LANGUAGES``); a name can be taken once."""
-    if language in LANGUAGES or language == "python":
-        raise ValueError(f"{language} is read already")
+
+def extract_script(files: DataFrame) -> DataFrame:
+    """As ``extract_python``, of TypeScript and JavaScript; a file's name tells whether it starts a program (``order.is_script_entry``)."""
+    return _read(files, lambda content: read_script(content.decode("utf-8", "replace")))
+
+
+def extract_go(files: DataFrame) -> DataFrame:
+    """As ``extract_python``, of Go; ``has_guard``: a main function in package main."""
+    return _read(files, lambda content: read_go(content.decode("utf-8", "replace")))
+
+
+#: Table functions from ``files(path, content)`` to ``path`` and the columns of ``SHAPE``.
+LANGUAGES: dict[str, Callable[[DataFrame], DataFrame]] = {"python": extract_python, "script": extract_script, "go": extract_go}
+
+
+def register(language: str, suffixes: list[str], reader: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a language; a name and a suffix can be taken once, and a suffix begins with a dot."""
+    taken = {x for ends in tree.LANGUAGES.values() for x in ends.split()}
+    if language in LANGUAGES or not suffixes or any(not x.startswith(".") or x in taken for x in suffixes):
+        raise ValueError(f"{language} {' '.join(suffixes)}: a name or suffix is taken, or has no dot")
     LANGUAGES[language] = reader
+    tree.LANGUAGES[language] = " ".join(suffixes)

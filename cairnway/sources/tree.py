@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.functions.paths import basename, dirname, short_hash, stem, suffix
+from cairnway.functions.paths import basename, bracket, dirname, short_hash, stem, suffix
 from cairnway.plans.staging import staged
 
 #: Directories that are never entered (fixed values).
@@ -34,10 +34,14 @@ def in_test_dir_or_name(path: Column) -> Column:
 
 
 def ignore_regex(pattern: str) -> str:
-    """One line of an ignore file as a regular expression over a path relative to that file."""
+    """One line of an ignore file as a regular expression over a path relative to that file: ``*`` and ``?`` stay inside a name, ``**`` crosses directories."""
     anchored = "/" in pattern.rstrip("/")
-    body = pattern.strip("/")
-    out = re.escape(body).replace(r"\*\*/", "(?:.*/)?").replace(r"/\*\*", "/.*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    out = ""
+    for piece in re.findall(r"\*\*/|/\*\*|\*+|\?|\[!?\]?[^\]]*\]|\\.|.", pattern.strip("/"), re.S):
+        if piece[0] == "[" and len(piece) > 1:
+            out += bracket(piece[1:-1])
+        else:
+            out += {"**/": "(?:.*/)?", "/**": "/.*", "?": "[^/]"}.get(piece, "[^/]*" if piece[0] == "*" else re.escape(piece[-1]))
     return ("^" if anchored else "(?:^|/)") + out + ("/" if pattern.endswith("/") else "(?:/|$)")
 
 
@@ -57,18 +61,6 @@ def ignored(path: Column, specs: dict[str, list[str]]) -> Column:
     return out
 
 
-def ignore_lines(root: str, name: str = ".gitignore") -> dict[str, list[str]]:
-    """The lines of all ignore files below ``root`` by directory, for ``ignored``; skipped directories are not entered."""
-    out = {}
-    for folder, below, names in os.walk(root):
-        below[:] = sorted(d for d in below if d not in SKIPPED and not os.path.islink(os.path.join(folder, d)))
-        if name in names:
-            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as file:
-                at = os.path.relpath(folder, root)
-                out["" if at == "." else at] = file.read().splitlines()
-    return out
-
-
 def list_dirs(frames: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
     """What the named directories hold, links left out; a directory that cannot be read holds nothing."""
     for frame in frames:
@@ -82,33 +74,48 @@ def list_dirs(frames: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFram
         yield pd.DataFrame(rows, columns=["path", "is_dir"])
 
 
-def scan_tree(spark: SparkSession, root: str, specs: dict[str, list[str]] | None = None) -> DataFrame:
-    """``path`` (relative to ``root``), ``language, content, hash, is_test`` of every source file.
+def read_files(paths: DataFrame, root: str) -> DataFrame:
+    """``path, content`` of ``paths(path)``; a file that cannot be read is left out."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name in frame["path"]:  # a file a frame: contents can be large
+                try:
+                    with open(os.path.join(root, name), "rb") as file:
+                        yield pd.DataFrame({"path": [name], "content": [file.read()]})
+                except OSError:
+                    continue
+
+    return paths.select("path").mapInPandas(read, "path string, content binary")
+
+
+def ignore_lines(files: DataFrame) -> dict[str, list[str]]:
+    """The lines of ignore files ``(path, content)`` by directory, for ``ignored``."""
+    rows = files.select(dirname(F.col("path")).alias("at"), F.col("content").cast("string").alias("text")).collect()  # small by nature: rules, not data
+    return {r["at"]: r["text"].splitlines() for r in rows}
+
+
+def scan_tree(spark: SparkSession, root: str, specs: dict[str, list[str]] | None = None, ignore_name: str | None = ".gitignore", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``path`` (relative to ``root``), ``language, content, hash, is_test`` of every source file, and of files named in ``extra`` (language null).
 
     ``root`` is a folder that all executors see under this name.  Spark's own file sources pass over
     names such as ``__init__.py``, so the tree is listed level by level as a job, skipped and ignored
-    directories are not descended into, and contents are read once, by the tasks that need them.
+    directories are not descended into, and contents are read once, by the tasks that need them.  Ignore files called ``ignore_name`` are
+    read as their directories are met; ``specs`` adds rules of one's own.
     """
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
     level = spark.createDataFrame([("",)], "path string")
-    levels = []
+    levels, specs = [], dict(specs or {})
     while True:
         listed = staged(level.mapInPandas(lambda frames: list_dirs(frames, root), "path string, is_dir boolean"), "tree")
-        kept = listed.filter(~ignored(F.when(F.col("is_dir"), F.concat("path", F.lit("/"))).otherwise(F.col("path")), specs or {}))
-        levels.append(kept.filter(~F.col("is_dir") & language(F.col("path")).isNotNull()).select("path"))
+        if ignore_name:
+            for at, lines in ignore_lines(read_files(listed.filter(~F.col("is_dir") & (basename(F.col("path")) == ignore_name)), root)).items():
+                specs[at] = specs.get(at, []) + lines
+        kept = listed.filter(~ignored(F.when(F.col("is_dir"), F.concat("path", F.lit("/"))).otherwise(F.col("path")), specs))
+        levels.append(kept.filter(~F.col("is_dir") & (language(F.col("path")).isNotNull() | basename(F.col("path")).isin(*extra))).select("path"))
         level = kept.filter(F.col("is_dir") & ~basename(F.col("path")).isin(*SKIPPED)).select("path")
         if level.isEmpty():
             break
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name in frame["path"]:  # a file a frame: contents can be large
-                try:
-                    with open(os.path.join(root, name), "rb") as file:
-                        yield pd.DataFrame({"path": [name], "content": [file.read()]})
-                except OSError:
-                    continue
-
-    files = reduce(DataFrame.union, levels).mapInPandas(read, "path string, content binary")
+    files = read_files(reduce(DataFrame.union, levels), root)
     return files.select("path", language(F.col("path")).alias("language"), "content", short_hash(F.col("content")).alias("hash"), in_test_dir_or_name(F.col("path")).alias("is_test"))

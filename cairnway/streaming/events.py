@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cairnway.operators.progress import hash_diff
+from cairnway.plans.staging import staged
+
 EVENT = "id long, tool string, params string"
 PARAMS = "file string, status string, note string, summary string, export string"
 #: Tools that are let through (fixed values).
-TOOLS = ("highlight_range clear_highlights open_file mark_read mark_flagged set_codelens show_blast_radius clear_blast_radius update_progress_tree clear_all complete_file mark_export_read").split()
+TOOLS = (
+    "highlight_range clear_highlights open_file mark_read mark_flagged set_codelens show_blast_radius clear_blast_radius update_progress_tree clear_all "
+    "get_next_briefing get_read_status get_flagged_files complete_file mark_export_read"
+).split()
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +83,45 @@ def export_marks(events: DataFrame) -> DataFrame:
     return rows.filter("path is not null and name is not null").groupBy("path", "name").agg(F.min("id").alias("seq"))
 
 
+def fan_out(events: DataFrame, subscribers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
+    """Calls each subscriber with the rows of its tools (``"tool tool ..."``), batch by batch; a batch is read once."""
+
+    def deliver(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        try:
+            for tools, react in subscribers.items():
+                react(rows.filter(F.col("tool").isin(*tools.split())), batch)
+        finally:
+            rows.unpersist()
+
+    return events.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def synced(shown: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The statuses of a state in place of all that were shown, and what changed by it: ``path, status`` (null: gone)."""
+    now = state.select("path", "status")
+    both = shown.select("path", F.col("status").alias("_was")).join(now, "path", "full")
+    return now, both.filter(~F.col("_was").eqNullSafe(F.col("status"))).select("path", "status")
+
+
+def snapshot(spark: SparkSession, files: str) -> DataFrame:
+    """``path, hash`` of the documents that match a path or glob: what tells one version of a file from another."""
+    listed = spark.read.format("binaryFile").load(files).select("path", F.xxhash64("modificationTime", "length").alias("hash"))  # contents are not read
+    return listed.select("path", F.hex("hash").alias("hash"))
+
+
+def on_snapshots(spark: SparkSession, files: str, before: DataFrame | None, react: Callable[[DataFrame], None]) -> DataFrame:
+    """Calls ``react`` with ``path, change`` (new, modified, removed) since the snapshot ``before``, if there are any; returns the present one."""
+    try:
+        now = staged(snapshot(spark, files), "snapshot")
+    except AnalysisException:  # nothing matches
+        now = spark.createDataFrame([], "path string, hash string")
+    changes = hash_diff(before if before is not None else now.limit(0), now).filter("change <> 'unchanged'")
+    if not changes.isEmpty():
+        react(changes)
+    return now
+
+
 def on_change(spark: SparkSession, folder: str, schema: str, react: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Calls ``react(rows, batch)`` for the documents that were added to ``folder`` since the last call (JSON, a document a file)."""
     changed = spark.readStream.schema(schema).option("multiLine", "true").json(folder)

@@ -56,8 +56,8 @@ def test_functions_have_qualified_names_and_calls(found):
     got = {(r.path, r.name, r.line, r.end_line): r.calls for r in found.functions.collect()}
     assert got == {
         ("app/run.py", "go", 5, 6): [], ("app/run.py", "K.m", 8, 10): ["f", "go", "self.a.b", "x.y"], ("app/run.py", "K.m.inner", 10, 10): [],
-        ("w/a.ts", "go", 2, 4): ["b", "z.k"], ("w/a.ts", "h", 5, 8): ["go"],
-        ("g/m.go", "R.Do", 5, 7): ["fmt.Println", "x.Y"], ("g/m.go", "main", 8, 10): [],
+        ("w/a.ts", "go", 2, 4): ["b", "z.k"], ("w/a.ts", "h", 5, 7): ["go"],
+        ("g/m.go", "R.Do", 5, 7): ["fmt.Println", "x.Y"], ("g/m.go", "main", 8, 9): [],
     }
     assert rows(found.imports.filter("src like 'w/%'"), "source", F.array_join("specifiers", ",")) == {("./b", "b,d,e"), ("./a", "m,n"), ("react", "*")}
 
@@ -90,7 +90,15 @@ def test_options_are_checked(tmp_path):
 
 def test_a_language_is_registered_once():
     with pytest.raises(ValueError):
-        extract.register("go", extract.LANGUAGES["go"])
+        extract.register("go", [".go2"], extract.extract_go)
+    for suffixes in ([".py"], ["rs"], []):
+        with pytest.raises(ValueError):
+            extract.register("rust", suffixes, extract.extract_go)
+    try:
+        extract.register("rust", [".rs"], extract.extract_go)
+        assert tree.LANGUAGES["rust"] == ".rs"
+    finally:
+        extract.LANGUAGES.pop("rust", None), tree.LANGUAGES.pop("rust", None)
 
 
 def test_entry_rules(spark):
@@ -165,14 +173,29 @@ def test_the_command_line_writes_tables(spark, root, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "entry: 1 files, from app/run.py" in said and "contracts: 3" in said
     assert spark.read.parquet(str(tmp_path / "out" / "entries")).count() == 10
-    maps = documents.read_map(spark, str(tmp_path / "out" / "map"))
+    maps = documents.read_map(spark, str(tmp_path / "out" / "map.json"))
     assert [r["index"] for r in documents.order_of(maps).collect()] == list(range(10)) and ("app/run.py", "app/more.py") in rows(documents.edges_of(maps), "src", "dst")
     one = maps.first()
     assert one.total_files == 10 and set(one.layers) == set(order.LAYERS) and one.layers["entry"].files == ["app/run.py"] and len(one.content_hashes) == 11
     later = maps.withColumn("generated_at", F.lit("later"))
     assert documents.map_hash(maps).collect() == documents.map_hash(later).collect()
-    assert rows(documents.hashes_or_none(spark, str(tmp_path / "out" / "map")), "path") == {(p,) for p in one.content_hashes}
+    assert rows(documents.hashes_or_none(spark, str(tmp_path / "out" / "map.json")), "path") == {(p,) for p in one.content_hashes}
     assert documents.hashes_or_none(spark, str(tmp_path / "none")).count() == 0
+    body = json.loads((tmp_path / "out" / "map.json").read_text())
+    assert list(body) == sorted(body) and list(body["reading_order"][0]) == sorted(body["reading_order"][0]) and body["dependency_graph"]["app/run.py"]["imports"]
+    begun = json.loads((tmp_path / "out" / "progress.json").read_text())
+    assert begun["sessions"] == 1 and begun["stats"] == {"total": 10, "confirmed": 0, "flagged": 0, "skimmed": 0, "unread": 10}
+    assert begun["files"]["app/run.py"]["status"] == "unread" and begun["map_hash"] == documents.map_hash(maps).first().hash
+    # A second run refreshes: what was read of unchanged files stays.
+    begun["files"]["app/run.py"] |= {"status": "confirmed", "read_at": "2026-01-01T00:00:00Z", "summary": "runs"}
+    begun["next_unread_index"] = 4
+    (tmp_path / "out" / "progress.json").write_text(json.dumps(begun))
+    (root / "app" / "more.py").write_text("print(2)\n")
+    assert main([str(root), "--out", str(tmp_path / "out")]) == 0
+    later = json.loads((tmp_path / "out" / "progress.json").read_text())
+    run = later["files"]["app/run.py"]
+    assert (run["status"], run["note"], run["summary"], later["next_unread_index"]) == ("flagged", "stale: depends on app/more.py", "runs", 0) and later["stats"]["flagged"] == 1
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(("map.json.", "progress.json."))]
 
 
 def test_git_answers(spark, tmp_path):
@@ -193,11 +216,17 @@ def test_git_answers(spark, tmp_path):
     assert git.branch(str(tmp_path)) is None
 
 
-def test_ignore_files_are_found_by_directory(tmp_path):
-    for name in (".gitignore", "a/.gitignore", "node_modules/.gitignore"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_text("x\n!y\n")
-    assert tree.ignore_lines(str(tmp_path)) == {"": ["x", "!y"], "a": ["x", "!y"]}
+def test_ignore_files_are_read_as_directories_are_met(spark, tmp_path):
+    files = {".gitignore": "*.py[co]\nout/\n!keep.py\n/top.py\n", "a/.gitignore": "x[0-9].py\n", "node_modules/.gitignore": "*", "out/.gitignore": "!b.py"}
+    files |= dict.fromkeys(("a/m.py", "a/m.pyc", "a/x1.py", "a/xy.py", "a/b/x2.py", "out/b.py", "top.py", "a/top.py", "node_modules/q.py", "keep.py"), "")
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert rows(tree.scan_tree(spark, str(tmp_path)), "path") == {("a/m.py",), ("a/xy.py",), ("a/top.py",), ("keep.py",)}
+    assert ("a/x1.py",) in rows(tree.scan_tree(spark, str(tmp_path), ignore_name=None), "path")
+    paths = spark.createDataFrame([("a.pyc",), ("a.py[co]",), ("x/!.c",), ("x/b.c",), ("x/].c",)], "path string")
+    hits = lambda *lines: {r.path for r in paths.filter(tree.ignored(F.col("path"), {"": list(lines)})).collect()}
+    assert hits("*.py[co]") == {"a.pyc"} and hits("x/[!b].c") == {"x/!.c", "x/].c"} and hits("x/[]].c") == {"x/].c"} and hits("\\*.pyc") == set()
 
 
 def test_highlights_and_export_marks(spark):

@@ -4,10 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from cairnway.functions import paths
 from cairnway.functions.paths import glob_regex
-from cairnway.operators import graph
-from cairnway.operators.resolve import resolve_go, resolve_python, resolve_script
-from cairnway.sources import documents, extract, tree
+from cairnway.operators import graph, order
+from cairnway.operators.resolve import go_modules, resolve_go, resolve_python, resolve_script
+from cairnway.sources import braces, documents, extract, tree
 from cairnway.streaming import events
 
 
@@ -43,23 +44,127 @@ def test_a_python_tree_becomes_a_graph(spark, tmp_path):
 def test_scripts_resolve_by_suffix_and_index(spark):
     body = b"import a, { b } from './lib/a';\nimport '../x.service';\nconst c = require('react');\nexport * from './dir'\nexport class K {}\nexport const v = 1\nexport interface I {}\nexport default async function f() {}\n"
     files = spark.createDataFrame([(p, bytearray(body if p == "src/main.ts" else b"")) for p in ("src/main.ts", "src/lib/a.tsx", "x.service.ts", "src/dir/index.js")], "path string, content binary")
-    imports = extract.imports_by_pattern(files)
+    read = extract.extract_script(files).cache()
+    imports = read.select(F.col("path").alias("src"), F.explode("imports").alias("i")).select("src", "i.*")
     got = {(r.source, r.dst) for r in resolve_script(imports, files).collect()}
     assert got == {("./lib/a", "src/lib/a.tsx"), ("../x.service", "x.service.ts"), ("./dir", "src/dir/index.js")}
-    assert {tuple(r) for r in extract.exports_by_pattern(files).select("name", "kind").collect()} == {("K", "class"), ("v", "variable"), ("I", "type"), ("f", "function")}
+    assert {tuple(e[:2]) for r in read.collect() for e in r.exports} == {("K", "class"), ("v", "variable"), ("I", "type"), ("f", "default")}
+
+
+def test_suffixes_of_script_imports_are_swapped(spark):
+    files = spark.createDataFrame([(p,) for p in ("a/x.ts", "a/y.conf.ts", "a/z.js", "a/z.ts", "a/d/index.tsx", "a/.env.ts")], "path string")
+    imports = spark.createDataFrame([("a/m.ts", s) for s in ("./x.js", "./y.conf", "./z.js", "./d", "./d/", "./.env", "../a/x.mjs", "react")], "src string, source string")
+    got = {(r.source, r.dst) for r in resolve_script(imports, files).collect()}
+    assert got == {("./x.js", "a/x.ts"), ("./y.conf", "a/y.conf.ts"), ("./z.js", "a/z.js"), ("./d", "a/d/index.tsx"), ("./d/", "a/d/index.tsx"), ("./.env", "a/.env.ts"), ("../a/x.mjs", "a/x.ts")}
+    compat = {(r.source, r.dst) for r in resolve_script(imports.union(spark.createDataFrame([("a/m.ts", "./x.service")], imports.schema)), files, compat=True).collect()}
+    assert compat == got - {("./y.conf", "a/y.conf.ts")} | {("./x.service", "a/x.ts")}
+
+
+SCRIPT = """import d, {b as c, type e} from './b'
+// import z from 'no'
+const s = "export const q = 1; import q from 'no'";
+export function go(x) {
+  b(x); z?.k(); /* f() */
+}
+const h = async (a) => {
+  go(a)
+}
+export const one = 1, two = {a: 1, b: [2, 3]}, three = (x) => x
+export default class Foo extends Bar {
+  constructor(a) { super(a); this.q.r(1) }
+  async run(a: number): Promise<void> {
+    if (a) { step(a) }
+  }
+  field = (y) => { other("g()", y) }
+  *gen() { yield k() }
+}
+export { q as r, t as default }
+export interface I { m(): void }
+export enum E { A }
+function* g() { w() }
+module.exports = { go, other: 3, nested: { deep: 1 } }
+export default 42
+export { u } from './u'
+"""
+
+
+def test_the_scanner_reads_scripts():
+    got = braces.read_script(SCRIPT)
+    assert got["imports"] == [("./b", ("b", "d", "e"), True), ("./u", ("u",), True)]
+    assert sorted(got["exports"], key=lambda e: (e[2], e[0])) == [
+        ("go", "function", 4), ("one", "variable", 10), ("three", "variable", 10), ("two", "variable", 10), ("Foo", "default", 11), ("q", "variable", 19), ("t", "default", 19),
+        ("I", "type", 20), ("E", "type", 21), ("go", "variable", 23), ("nested", "variable", 23), ("other", "variable", 23), ("default", "default", 24), ("u", "variable", 25),
+    ]
+    assert got["functions"] == [
+        ("go", 4, 6, ["b", "z.k"]), ("h", 7, 9, ["go"]), ("Foo.constructor", 12, 12, ["this.q.r"]), ("Foo.run", 13, 15, ["step"]), ("Foo.field", 16, 16, ["other"]),
+        ("Foo.gen", 17, 17, ["k"]), ("g", 22, 22, ["w"]),
+    ]
+    assert braces.read_script("module.exports = make()\n")["exports"] == [("default", "default", 1)]
+    assert braces.read_script("{ '" + "x" * 10_000) == {"imports": [], "exports": [], "functions": [], "has_guard": False}
+
+
+GO = """package main
+import "fmt"
+import (
+\tx "ex.org/m/p"
+\t. "dot"
+\t// "no"
+\t_ "blank/y"
+)
+const A = 1
+const (
+\tB, c = 1, 2
+\tD = iota
+)
+type (
+\tS struct {
+\t\tInner int
+\t}
+\tI interface { Do() }
+\tAlias = string
+)
+type T struct{ X int }
+type G[K any] struct{}
+var V, w = 1, 2
+var (
+\tU int
+)
+func (r *R) Do(a int) {
+\tfmt.Println(x.Y(), "f()")
+}
+func main() {
+}
+func Gen[T any](x T) T { return h(x) }
+"""
+
+
+def test_the_scanner_reads_go():
+    got = braces.read_go(GO)
+    assert got["imports"] == [("fmt", (), False), ("ex.org/m/p", ("x",), False), ("dot", (".",), False), ("blank/y", ("_",), False)]
+    assert sorted(got["exports"], key=lambda e: e[2]) == [
+        ("A", "variable", 9), ("B", "variable", 11), ("D", "variable", 12), ("S", "class", 15), ("I", "type", 18), ("Alias", "type", 19), ("T", "class", 21), ("G", "class", 22),
+        ("V", "variable", 23), ("U", "variable", 25), ("R.Do", "function", 27), ("Gen", "function", 32),
+    ]
+    assert got["functions"] == [("R.Do", 27, 29, ["fmt.Println", "x.Y"]), ("main", 30, 31, []), ("Gen", 32, 32, ["h"])] and got["has_guard"]
+    assert not braces.read_go(GO.replace("package main", "package other"))["has_guard"]
 
 
 def test_go_imports_become_directories(spark):
     body = b'package main\nimport (\n\t"fmt"\n\tx "ex.org/m/pkg/a"\n)\nimport "ex.org/m"\nfunc (r *R) Do() {}\nfunc hidden() {}\ntype S struct {\n}\ntype N int\nvar V = 1\n'
-    files = spark.createDataFrame([("cmd/main.go", bytearray(body))], "path string, content binary")
-    modules = spark.createDataFrame([("ex.org/m", "src"), ("ex.org", "old")], "module string, dir string")
-    assert {(r.source, r.dst) for r in resolve_go(extract.imports_by_pattern(files, go=True), modules).collect()} == {("ex.org/m/pkg/a", "src/pkg/a"), ("ex.org/m", "src")}
-    assert {tuple(r) for r in extract.exports_by_pattern(files, go=True).select("name", "kind").collect()} == {("Do", "function"), ("S", "class"), ("N", "type"), ("V", "variable")}
+    files = spark.createDataFrame([("src/cmd/main.go", bytearray(body)), ("lib/a.go", bytearray(body)), ("src/go.mod", bytearray(b"// m\nmodule ex.org/m\n\ngo 1.22\n")), ("go.mod", bytearray(b"module ex.org"))], "path string, content binary")
+    modules = go_modules(files)
+    assert {tuple(r) for r in modules.collect()} == {("ex.org/m", "src"), ("ex.org", "")}
+    read = extract.extract_go(files.filter("path like '%.go'")).cache()
+    imports = read.select(F.col("path").alias("src"), F.explode("imports").alias("i")).select("src", "i.*")
+    got = {(r.src, r.source, r.dst) for r in resolve_go(imports, modules).collect()}
+    # The nearest go.mod above a file counts.
+    assert got == {("src/cmd/main.go", "ex.org/m/pkg/a", "src/pkg/a"), ("src/cmd/main.go", "ex.org/m", "src"), ("lib/a.go", "ex.org/m/pkg/a", "m/pkg/a"), ("lib/a.go", "ex.org/m", "m")}
+    assert {tuple(e[:2]) for r in read.filter("path = 'lib/a.go'").collect() for e in r.exports} == {("R.Do", "function"), ("S", "class"), ("N", "type"), ("V", "variable")}
 
 
 def test_globs_and_ignore_lines(spark):
-    paths = spark.createDataFrame([("a/b.py",), ("b.py",), ("a/x/b.py",), ("k/keep.log",), ("k/drop.log",)], "path string")
-    hits = lambda c: sorted(r.path for r in paths.filter(c).collect())
+    listed = spark.createDataFrame([("a/b.py",), ("b.py",), ("a/x/b.py",), ("k/keep.log",), ("k/drop.log",)], "path string")
+    hits = lambda c: sorted(r.path for r in listed.filter(c).collect())
     assert hits(F.col("path").rlike(glob_regex("**/b.py"))) == ["a/b.py", "a/x/b.py"]
     assert hits(F.col("path").rlike(glob_regex("[!a]*"))) == ["b.py", "k/drop.log", "k/keep.log"]
     assert hits(tree.ignored(F.col("path"), {"": ["*.log", "!keep.log"], "a": ["/b.py"]})) == ["a/b.py", "k/drop.log"]
@@ -88,3 +193,39 @@ def test_the_stream_keeps_the_last_write(spark, tmp_path):
     (source / "2.json").write_text(json.dumps({"id": 5, "tool": "mark_read", "params": json.dumps({"file": "a"})}))
     run()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out1")).collect()} == {("a", 5, "confirmed", None, "s")}
+
+
+def test_subscribers_get_their_tools(spark, tmp_path):
+    source, seen = tmp_path / "in", []
+    source.mkdir()
+    rows = [(i, t) for i, t in enumerate(("mark_read", "clear_all", "highlight_range", "mark_flagged", "get_read_status"))]
+    (source / "1.json").write_text("\n".join(json.dumps({"id": i, "tool": t, "params": "{}"}) for i, t in rows))
+    hear = lambda name: lambda df, batch: seen.append((name, sorted(r.id for r in df.collect())))
+    wanted = {"mark_read mark_flagged clear_all": hear("tree"), "highlight_range clear_all": hear("marks")}
+    stream = events.checked(events.read_events(spark, str(source))).filter("error is null")
+    events.fan_out(stream, wanted, str(tmp_path / "cp")).awaitTermination()
+    assert seen == [("tree", [0, 1, 3]), ("marks", [1, 2])]
+
+
+def test_changed_and_deleted_documents_are_seen(spark, tmp_path):
+    seen, at = [], str(tmp_path / "d" / "*.json")
+    (tmp_path / "d").mkdir()
+    look = lambda before: events.on_snapshots(spark, at, before, lambda df: seen.append(sorted((r.path.rsplit("/", 1)[1], r.change) for r in df.collect())))
+    now = look(None)
+    (tmp_path / "d" / "a.json").write_text("{}")
+    (tmp_path / "d" / "b.json").write_text("{}")
+    now = look(now)
+    now = look(now)
+    (tmp_path / "d" / "a.json").write_text("{'longer': 1}")
+    (tmp_path / "d" / "b.json").unlink()
+    now = look(now)
+    assert seen == [[("a.json", "new"), ("b.json", "new")], [("a.json", "modified"), ("b.json", "removed")]]
+    state = spark.createDataFrame([("a", "confirmed"), ("b", "unread"), ("c", "flagged")], "path string, status string")
+    shown, changed = events.synced(spark.createDataFrame([("a", "unread"), ("b", "unread"), ("z", "skimmed")], "path string, status string"), state)
+    assert shown.count() == 3 and {tuple(r) for r in changed.collect()} == {("a", "confirmed"), ("c", "flagged"), ("z", None)}
+
+
+def test_paths_below_a_root(spark):
+    df = spark.createDataFrame([("/repo/a.py",), ("/repo2/a.py",), ("/repo",), ("a.py",)], "path string")
+    assert [r[0] for r in df.select(paths.below_root(F.col("path"), "/repo/")).collect()] == ["a.py", None, None, None]
+    assert [r[0] for r in df.select(order.is_script_entry(F.concat("path", F.lit("/index.ts")))).collect()] == [True] * 4
