@@ -221,7 +221,8 @@ def refresh_summary(state: DataFrame, changes: DataFrame, edges: DataFrame, orde
 
 def outside_dir(changes: DataFrame, folder: str) -> DataFrame:
     """Changes but for the folder itself and what lies below it."""
-    return changes.filter((F.col("path") != folder) & ~F.startswith("path", F.lit(folder + "/")))
+    path = F.col("path").cast("string")
+    return changes.filter((path != folder) & ~F.startswith(path, F.lit(folder + "/")))
 
 
 def with_unchanged(changes: DataFrame, tracked: DataFrame) -> DataFrame:

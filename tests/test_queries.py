@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import cairnway.source_queries  # noqa: F401  registers its queries
 from cairnway.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
