@@ -15,11 +15,20 @@ def build_edges(imports: DataFrame, resolved: DataFrame, files: DataFrame) -> Da
     return hits.join(files.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
 
 
-def external_deps(imports: DataFrame, resolved: DataFrame, files: DataFrame) -> DataFrame:
-    """``source, imported_by``: imports that no known file answers."""
+def external_uses(imports: DataFrame, resolved: DataFrame, files: DataFrame) -> DataFrame:
+    """``src, source``: imports that no known file answers."""
     known = resolved.join(files.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "source")
-    outside = imports.select("src", "source").join(known, ["src", "source"], "left_anti")
-    return outside.groupBy("source").agg(F.array_sort(F.collect_set("src")).alias("imported_by"))
+    return imports.select("src", "source").join(known, ["src", "source"], "left_anti")
+
+
+def external_deps(imports: DataFrame, resolved: DataFrame, files: DataFrame) -> DataFrame:
+    """``source, imported_by`` of the external uses; where a source may have very many importers, ``external_counts`` counts them instead."""
+    return external_uses(imports, resolved, files).groupBy("source").agg(F.array_sort(F.collect_set("src")).alias("imported_by"))
+
+
+def external_counts(imports: DataFrame, resolved: DataFrame, files: DataFrame) -> DataFrame:
+    """``source, n_files``: how many files use an external source."""
+    return external_uses(imports, resolved, files).groupBy("source").agg(F.count_distinct("src").alias("n_files"))
 
 
 def node_metrics(files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -137,6 +137,18 @@ def truncated_callers(usage: DataFrame, most: int = 5) -> DataFrame:
     return usage.select("path", F.when(F.size("used_by") == 0, none).otherwise(F.concat(F.lit("Called by: "), first_names(F.col("used_by"), most))).alias("title"))
 
 
+def caller_titles(files: DataFrame, uses: DataFrame, most: int = 5) -> DataFrame:
+    """``path, title`` as ``truncated_callers``, of ``uses(path, caller)``: only the callers that are shown are gathered, the others are counted."""
+    own = uses.select("path", "caller").distinct()
+    counts = own.groupBy("path").agg(F.count("*").alias("n"))
+    first = own.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("caller"))).filter(F.col("r") <= most)
+    shown = first.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("r", F.substring_index(F.col("caller").cast("string"), "/", -1).alias("name")))).getField("name").alias("names"))
+    rows = files.select("path").join(counts, "path", "left").join(shown, "path", "left")
+    rest = F.when(F.col("n") > most, F.format_string(" ... +%d more", F.col("n") - most)).otherwise("")
+    title = F.concat(F.lit("Called by: "), F.array_join("names", ", "), rest)
+    return rows.select("path", F.coalesce(title, F.lit("Called by: none (potential dead code)")).alias("title"))
+
+
 def lens_titles(neighbours: DataFrame, most: int = 5) -> DataFrame:
     """``path, title``: callers, and what a file calls if it calls anything; ``neighbours(path, imports, imported_by)``."""
     callers = truncated_callers(neighbours.withColumnRenamed("imported_by", "used_by").select("path", "used_by"), most).withColumnRenamed("title", "_c")

@@ -86,8 +86,7 @@ WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = i.source AND c.c_
 def external_deps(spark, d):
     imports = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("source"))
     files = table(spark, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("path"))
-    found = graph.external_deps(imports, imports.select("src", "source", F.col("source").alias("dst")), files)
-    return found.select("source", F.size("imported_by").cast("long").alias("n_files"))
+    return graph.external_counts(imports, imports.select("src", "source", F.col("source").alias("dst")), files)
 
 
 @query("""SELECT DISTINCT o.o_orderkey AS src, o.o_custkey AS dst FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal >= 0""")
@@ -115,8 +114,8 @@ def caller_tiers(spark, d):
 @query("""SELECT path, CASE WHEN callers = 0 THEN 'Called by: none (potential dead code)' ELSE 'Called by: ' || array_to_string(list_transform(names[1:5], lambda x: x::VARCHAR), ', ') || CASE WHEN callers > 5 THEN ' ... +' || (callers - 5) || ' more' ELSE '' END END AS title
 FROM (SELECT p.p_partkey AS path, count(u.src) AS callers, coalesce(list(u.src ORDER BY u.src) FILTER (u.src IS NOT NULL), []) AS names FROM part p LEFT JOIN uses u ON u.dst = p.p_partkey AND u.name = 'R' GROUP BY ALL)""")
 def truncated_callers(spark, d):
-    rows = usage(spark, d).filter("name = 'R'")
-    return progress.truncated_callers(rows.select("path", F.transform("used_by", lambda x: x.cast("string")).alias("used_by")))
+    uses = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("caller"))
+    return progress.caller_titles(table(spark, d, "part").select(F.col("p_partkey").alias("path")), uses)
 
 
 @query("SELECT path, depth FROM dep")

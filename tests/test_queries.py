@@ -65,3 +65,48 @@ def test_entry_works_without_the_optional_subpackage():
         "assert 'depth' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
     )
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
+def test_a_missing_library_is_not_taken_for_a_missing_subpackage():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['pyarrow'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert done.returncode and "pyarrow" in done.stderr
+
+
+def test_reading_order_by_brute_force(spark, con):
+    """Every repository's passes in the greedy order of a re-sorting loop, paired tests behind what they test, other tests last."""
+    sql = ORACLES["layer_classify"].replace("SELECT path, layer FROM lay", "SELECT path, file, repo_id, fan_in, fan_out, layer FROM lay")
+    layers = ["foundation", "core", "features", "integration", "entry"]
+    edges = con.execute("SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part) WHERE dst > 0 AND dst < src").fetchall()
+    files = {}
+    for path, file, repo, fan_in, fan_out, layer in con.execute(sql).fetchall():
+        folder, stem = file.split("/")[1], file.split("/")[-1].rsplit(".", 1)[0]
+        natural = "utility" if folder == "utils" else "contracts" if stem in ("types", "interfaces", "models", "schema", "constants") or (fan_in >= 3 and fan_out <= 1) else "data_flow"
+        files[path] = (repo, f"{file}#{path}", stem, natural, (layers.index(layer) + 1, -fan_in, f"{file}#{path}"))
+    want = {}
+    for repo in {f[0] for f in files.values()}:
+        own = {p: f for p, f in files.items() if f[0] == repo}
+        plain = {p: f for p, f in own.items() if not f[2].startswith("test_")}
+        tests, out, placed = {p: f for p, f in own.items() if p not in plain}, [], set()
+        impls = {}
+        for f in plain.values():
+            impls[f[2]] = min(impls.get(f[2], f[1]), f[1])
+        behind = {}
+        for f in sorted(tests.values(), key=lambda f: f[1]):
+            behind.setdefault(impls.get(f[2].removeprefix("test_")), []).append(f[1])
+        for natural in ("contracts", "data_flow", "utility"):
+            group = {p: f for p, f in plain.items() if f[3] == natural}
+            waits = {p: {b for a, b in edges if a == p and b in group} for p in group}
+            while ready := sorted((group[p][4], p) for p in group if p not in placed and waits[p] <= placed):
+                placed.add(ready[0][1])
+                name = group[ready[0][1]][1]
+                out += [name, *behind.get(name, [])]
+        want[repo] = out + behind.get(None, [])
+    got = {}
+    for r in QUERIES["reading_order"](spark, SF).orderBy("repo_id", "index").collect():
+        got.setdefault(r.repo_id, []).append(r.path)
+    assert got == want
