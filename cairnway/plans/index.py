@@ -73,8 +73,13 @@ def index(
     modules: DataFrame | None = None,
 ) -> Index:
     """Index the tree at ``root``; ``ignore``: rules besides those of its ignore files, by directory; ``scripts``: declared programs; ``modules``: Go roots besides those of its ``go.mod`` files."""
+    return index_files(tree.scan_tree(spark, root, ignore, extra=("go.mod",)), options, scripts, modules)
+
+
+def index_files(seen: DataFrame, options: Options | None = None, scripts: dict[str, str] | None = None, modules: DataFrame | None = None) -> Index:
+    """Index files ``(path, language, content, hash, is_test)``, those of a tree or of any other table; ``go.mod`` files have no language."""
     options = options or Options()
-    seen = staged(tree.scan_tree(spark, root, ignore, extra=("go.mod",)), "files")  # contents are read from the tree once
+    seen = staged(seen, "files")  # contents are read once
     read, own = seen.filter("language is not null"), go_modules(seen)
     modules = own if modules is None else own.unionByName(modules)
     imports, exports, functions, facts = parsed(read)

@@ -93,6 +93,56 @@ def scanned_tree(spark, d):
     return tree.scan_tree(spark, views.written_tree(spark, d)).select("language", "path", "hash", "is_test")
 
 
+def indexed(spark: SparkSession, d: str) -> index.Index:
+    files = views.sources(spark, d).withColumns({"hash": P.short_hash(F.col("content")), "is_test": tree.in_test_dir_or_name(F.col("path"))})
+    return index.index_files(files)
+
+
+FILES_SQL = f"""files AS (SELECT {PY} AS path, k, 'python' AS language, 12 + (k % 11 = 0)::INT AS line_count, k % 11 <> 0 AND k % 3 = 0 AS guard, k % 11 <> 0 AND k % 3 <> 2 AS acts, 0.0 AS share FROM {PARTS}
+  UNION ALL SELECT {SCRIPT}, k, 'script', 12, false, false, 0.0 FROM {PARTS} UNION ALL SELECT {GO}, k, 'go', 14, false, false, 0.5 FROM {PARTS}),
+links AS (SELECT DISTINCT src, dst FROM ({RESOLVED_SQL}) WHERE NOT starts_with(src, 'go')), steps AS (SELECT path, 0 AS n FROM files UNION SELECT l.src, s.n + 1 FROM steps s JOIN links l ON l.dst = s.path AND l.src <> l.dst),
+deep AS (SELECT path, max(n) AS depth FROM steps GROUP BY path),
+degrees AS (SELECT f.*, depth, (SELECT count(*) FROM links WHERE dst = f.path) AS fan_in, (SELECT count(*) FROM links WHERE src = f.path) AS fan_out FROM files f JOIN deep USING (path)),
+placed AS (SELECT *, CASE WHEN guard OR (fan_in = 0 AND acts) THEN 'entry' WHEN depth = 0 THEN 'foundation' WHEN depth = 1 THEN 'core' WHEN depth < 3 OR fan_in < 3 THEN 'features' ELSE 'integration' END AS layer FROM degrees)"""
+
+
+@query()
+def indexed_files(spark, d):
+    """A tree's files with degrees, depth and layer, from their texts."""
+    return indexed(spark, d).layers.select("path", "fan_in", "fan_out", "depth", "layer", "complexity", "line_count")
+
+
+ORACLES["indexed_files"] = f"WITH RECURSIVE {FILES_SQL} SELECT path, fan_in, fan_out, depth, layer, 'low' AS complexity, line_count FROM placed"
+
+
+@query()
+def indexed_entries(spark, d):
+    """The rows of a map document but for their index, which is held by brute force elsewhere."""
+    rows = index.entries(indexed(spark, d))
+    return rows.select("path", "layer", "reason", "complexity", "line_count", listed("imports"), listed("imported_by"), listed("exports"))
+
+
+ORACLES["indexed_entries"] = f"""WITH RECURSIVE {FILES_SQL} SELECT path, layer, CASE WHEN share >= 0.5 OR (fan_in >= 3 AND fan_out <= 1) THEN 'Contract surface (' || layer || ' layer).' || CASE WHEN fan_in > 0 THEN ' Imported by ' || fan_in || ' file(s).' ELSE '' END
+ELSE 'Data flow path (' || layer || ' layer).' || CASE WHEN fan_out > 0 THEN ' Depends on ' || fan_out || ' file(s).' ELSE '' END END AS reason, 'low' AS complexity, line_count,
+coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM links WHERE src = p.path), '') AS imports, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM links WHERE dst = p.path), '') AS imported_by,
+CASE WHEN language = 'script' THEN 'x' || k || ',K' || k || ',arrow,left' || k || ',right,I' || k WHEN language = 'go' THEN 'A' || k || ',S' || k || ',I' || k || ',S' || k || '.Do'
+WHEN k % 11 = 0 THEN '' ELSE 'LIMIT_' || k || ',f' || k || ',C' || k || CASE WHEN k % 3 = 2 THEN ',LAST' ELSE '' END END AS exports FROM placed p"""
+
+
+@query("SELECT idx::INT AS \"index\", path::VARCHAR AS path, layer, idx::INT * 3 AS line_count FROM ord WHERE idx = 10")
+def order_lookup(spark, d):
+    return reports.entry_of(views.order_entries(spark, d), "10").select("index", "path", "layer", "line_count")
+
+
+@query(f"SELECT path FROM (SELECT {PY} AS path, k FROM {PARTS}) WHERE NOT starts_with(path, 'pkg3/') AND NOT (k % 10 = 9)")
+def order_exclusions(spark, d):
+    """What stays in the order: no trivial package files, none that the configuration leaves out."""
+    part = table(spark, d, "part").selectExpr(*views.NUMBERS)
+    named = F.when(F.col("k") % 10 == 9, F.concat(F.lit("pkg"), "k", F.lit("/__init__.py"))).otherwise(F.expr(PY)).alias("path")
+    p, none = F.col("path"), F.lit(0)
+    return part.select(named).filter(~(order.is_trivial_init(p, none, none, none) | order.matches_any(p, ["pkg3/*"])))
+
+
 def begun(spark: SparkSession, d: str) -> lifecycle.Progress:
     return lifecycle.create(views.order(spark, d), "hash", "2026-01-01T00:00:00Z")
 
