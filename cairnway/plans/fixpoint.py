@@ -3,7 +3,7 @@
 Recursive SQL enumerates paths and stops at a row limit; these loops keep one row a node and
 level.  Nodes with a single successor are not walked one by one: pointer jumping carries each to the first node behind it that
 has none or several, in as many rounds as the logarithm of the longest chain.  Over what is left, each round takes
-``HOPS`` hops from the frontier, writes them to the shared folder and asks only whether anything is left.  What was
+a few hops (``HOPS``) from the frontier, writes them to the shared folder and asks only whether anything is left.  What was
 found is folded into one table every ``FOLD`` rounds, so that neither plans nor reading grow with depth, and the rounds' tables are deleted.
 """
 
@@ -23,38 +23,34 @@ from cairnway.plans.staging import scratch, staged
 #: Counted edges that one task takes on to find components; more are trimmed and coloured in rounds.
 ONE_TASK_EDGES = 200_000
 #: Hops of a round, and rounds between foldings.
-HOPS, FOLD = 4, 8
+HOPS, FOLD = 2, 8
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
-def jumped(single: DataFrame, stage: Stage) -> DataFrame:
+def jumped(single: DataFrame, stage: Stage) -> tuple[DataFrame, bool]:
     """``path, to, hops`` of ``single(path, to)``, nodes with one successor: the first node behind each that is not among them.
 
-    Nodes whose way ends in a cycle are left out.
+    Nodes whose way ends in a cycle are left out; also whether there are none.
     """
     now = stage(single.select("path", "to", F.lit(1).cast("long").alias("hops"), F.lit(True).alias("moved")), "pointers")
-    most, way = now.count(), 1
+    most, way, whole = now.count(), 1, True
     while most:
         onward = now.select(F.col("path").alias("to"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
         step = now.join(onward, "to", "left")
         step = step.select("path", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_to").isNotNull().alias("moved"))
         now, way = stage(step, "pointers"), 2 * way
-        if way > 2 * most or now.filter("moved").isEmpty():
+        whole = now.filter("moved").isEmpty()
+        if whole or way > 2 * most:
             break
-    return now.filter("not moved").select("path", "to", "hops")
+    return now.select("path", "to", "hops", "moved"), whole
 
 
-def contracted(edges: DataFrame, single: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """``edges`` as ``src, dst, hops`` without those of ``single(path, to)``, whose nodes are jumped over; and the jumps ``path, to, hops``."""
-    jumps = stage(jumped(single, stage), "jumps")
-    rest = edges.join(single.select(F.col("path").alias("src")), "src", "left_anti")
-    over = jumps.select(F.col("path").alias("dst"), "to", "hops")
-    lone = single.select(F.col("path").alias("dst"), F.lit(True).alias("_lone"))
-    # An edge to a single node that was not carried anywhere leads into a cycle only.
-    joined = rest.join(over, "dst", "left").join(lone, "dst", "left").filter("to is not null or _lone is null")
-    weighted = joined.select("src", F.coalesce("to", "dst").alias("dst"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
-    return stage(weighted, "contracted"), jumps
+def contracted(edges: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``edges`` as ``src, dst, hops`` without those of the ``jumped`` nodes, which are jumped over; an edge into one on the way to a cycle is left out."""
+    rest = edges.join(pointers.select(F.col("path").alias("src")), "src", "left_anti")
+    joined = rest.join(pointers.withColumnRenamed("path", "dst"), "dst", "left").filter(~F.coalesce("moved", F.lit(False)))
+    return joined.select("src", F.coalesce("to", "dst").alias("dst"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
 
 
 def walk(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -71,13 +67,12 @@ def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
     with scratch(files.sparkSession) as stage:
         edges = stage(edges.select("src", "dst").distinct(), "edges")
         degrees = edges.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n"), F.any_value("dst").alias("to"))
-        single = stage(degrees.filter("n = 1").select("path", "to"), "single")
-        links, jumps = contracted(edges, single, stage)
-        if jumps.count() < single.count():
+        jumps, whole = jumped(degrees.filter("n = 1"), stage)
+        if not whole:
             raise ValueError("the edges hold a cycle")
-        inner = stage(links.select(F.col("src").alias("path")).distinct(), "inner")
-        most = inner.count()
-        frontier = links.select(F.col("dst").alias("path")).join(inner, "path", "left_anti").distinct().withColumn("depth", F.lit(0).cast("long"))
+        links = stage(contracted(edges, jumps), "contracted")
+        most = links.count()
+        frontier = links.select(F.col("dst").alias("path")).join(links.select(F.col("src").alias("path")), "path", "left_anti").distinct().withColumn("depth", F.lit(0).cast("long"))
         best, recent, n = None, [], 0
 
         def step(now: DataFrame) -> DataFrame:
@@ -89,15 +84,13 @@ def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
             hops = stage(walk(frontier, step), "depth")
             recent.append(hops.select("path", "depth"))
             frontier, n = hops.filter(F.col("_hop") == HOPS - 1).select("path", "depth"), n + HOPS
-            ended = frontier.isEmpty()
-            if ended or len(recent) == FOLD:
-                best, recent = stage(longest([*recent, best] if best else recent), "depths"), []
-            if ended:
+            if frontier.isEmpty():
                 break
             if n > most:
                 raise ValueError("the edges hold a cycle")
-        if best is None:
-            best = inner.withColumn("depth", F.lit(0).cast("long"))
+            if len(recent) == FOLD:
+                best, recent = stage(longest([*recent, best] if best else recent), "depths"), []
+        best = longest([*recent, best] if best else recent) if recent or best else frontier
         behind = jumps.join(best.select(F.col("path").alias("to"), "depth"), "to", "left").select("path", (F.col("hops") + F.coalesce("depth", F.lit(0))).alias("_behind"))
         rows = files.select("path").join(best, "path", "left").join(behind, "path", "left")
         return staged(rows.select("path", F.coalesce("depth", "_behind", F.lit(0)).cast("int").alias("depth")), "depths")
@@ -125,9 +118,8 @@ def reach(seeds: DataFrame, edges: DataFrame, excluded: DataFrame | None = None)
         # A way that comes to a closed file ends there, unless it is a seed.
         blocked = closed.join(starts, "path", "left_anti").select(F.col("path").alias("dst"))
         degrees = open_.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n"), F.any_value("dst").alias("to"))
-        single = stage(degrees.filter("n = 1").join(starts, "path", "left_anti").select("path", "to"), "single")
-        links, jumps = contracted(open_, single, stage)
-        links = stage(links.join(blocked, "dst", "left_anti"), "links")
+        jumps = jumped(degrees.filter("n = 1").join(starts, "path", "left_anti"), stage)[0]
+        links = stage(contracted(open_, jumps).join(blocked, "dst", "left_anti"), "contracted")
         frontier = starts.select("path", F.col("path").alias("seed"), F.lit(0).cast("long").alias("level"))
         best, recent = None, []
 
@@ -152,10 +144,9 @@ def reach(seeds: DataFrame, edges: DataFrame, excluded: DataFrame | None = None)
             if len(recent) == FOLD:
                 best, recent = stage(least([*recent, best] if best is not None else recent), "reached"), []
         found = least([*recent, best] if best is not None else recent) if recent or best is not None else frontier
-        found = stage(found, "reached")
         whole = found.unionByName(starts.select("path", F.col("path").alias("seed"), F.lit(0).cast("long").alias("level")))
         first = least([whole.select("path", "seed", "level")]).select(F.col("path").alias("to"), "seed", "level")
-        behind = jumps.join(blocked.withColumnRenamed("dst", "to"), "to", "left_anti").join(first, "to").select("path", "seed", (F.col("level") + F.col("hops")).alias("level"))
+        behind = jumps.filter("not moved").join(blocked.withColumnRenamed("dst", "to"), "to", "left_anti").join(first, "to").select("path", "seed", (F.col("level") + F.col("hops")).alias("level"))
         return staged(found.select("path", "seed", "level").union(behind).select("path", "seed", F.col("level").cast("int").alias("level")), "reached")
 
 
