@@ -96,6 +96,38 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP12 = rf"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)
+), counted AS (
+  SELECT lang, m, g, count(*) AS f FROM grams GROUP BY lang, m, g HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), cand AS (
+  SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM counted WHERE m > 1
+), cuts AS (
+  SELECT c.lang, c.m, c.g, c.a, c.w, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c
+  JOIN counted x ON x.lang = c.lang AND x.g = array_to_string(c.w[1:c.k], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.g = array_to_string(c.w[c.k + 1:], ' ')
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM cuts) WHERE o = 1
+), inside AS (
+  SELECT lang, g, max(a) AS longer FROM (
+    SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS g, a
+    FROM (SELECT lang, w, a, m, s, unnest(range(1, m - s + 2)) AS i FROM cand, (SELECT unnest([2, 3]) AS s) WHERE s < m)
+  ) GROUP BY lang, g
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.g) AS rank
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * b.a
+)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op4_source_mixing": OP4, "op5_top_k": OP5, "op6_decontamination": OP6, "op9_chat_format": OP9}
+    return {"op1_line_dedup": OP1, "op4_source_mixing": OP4, "op5_top_k": OP5, "op6_decontamination": OP6, "op9_chat_format": OP9, "op12_collocations": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.llm import chat, decontaminate, html_text, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
+from cairnway.llm import chat, collocations, decontaminate, html_text, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
 from cairnway.llm.common import table
 from cairnway.llm.labelled import crc_mod
 
@@ -99,6 +99,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), min_count=30, max_words=4, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -111,4 +115,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_chat_format": op9_chat_format,
         "op10_html_text": op10_html_text,
+        "op12_collocations": op12_collocations,
     }
