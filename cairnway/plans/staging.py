@@ -37,9 +37,28 @@ def staging_root(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def _new_path(spark: SparkSession, label: str) -> str:
+    return f"{staging_root(spark)}/cairnway/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """The name of a new shared folder, for files of any format; deleted at the end."""
+    path = _new_path(spark, label)
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
 def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/cairnway/{label}-{uuid.uuid4().hex}"
+    path = _new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -62,6 +81,5 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     try:
         yield stage
     finally:
-        for name in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in paths:
+            delete(spark, path)
