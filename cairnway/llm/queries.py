@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.llm import chat, collocations, decontaminate, html_text, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
+from cairnway.llm import chat, collocations, decontaminate, html_text, line_dedup, mixing, quality, sharding, simhash, token_files, topk, toxicity
 from cairnway.llm.common import table
 from cairnway.llm.labelled import crc_mod
+from cairnway.plans.staging import scratch_folder, staged
 
 SHARDS = 40
+TOKENIZER = "byte_bpe_50k.json"
 #: Scores from here on count as label 1.
 THRESHOLD = 0.3
 
@@ -99,6 +101,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files are read back once, for the rows of the query, and deleted."""
+    import public_tokenizers
+
+    with scratch_folder(spark, "token-files") as path:
+        token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=2)
+        return staged(token_files.with_checksums(token_files.read_tokens(spark, path)), "token-checksums")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), min_count=30, max_words=4, top=2000)
 
@@ -115,5 +126,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_chat_format": op9_chat_format,
         "op10_html_text": op10_html_text,
+        "op11_token_files": op11_token_files,
         "op12_collocations": op12_collocations,
     }
