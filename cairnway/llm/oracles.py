@@ -128,6 +128,38 @@ WITH pieces AS (
 SELECT lang, rank, g AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+#: crc32 of an ASCII string, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+OP13 = f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), planned AS (
+  SELECT conv_id, ts, conv_id - conv_id % 5 AS base, {CRC} % 9 AS h FROM own
+), rebuilt AS (
+  SELECT p.conv_id, list_concat(coalesce(b.ts, [])[1:p.h], p.ts[p.h + 1:]) AS ts FROM planned p LEFT JOIN own b ON b.conv_id = p.base
+), prefixes AS (
+  SELECT conv_id, d AS depth, len(ts) AS n, CASE WHEN d = 0 THEN NULL ELSE sha256(ts[1:d]::VARCHAR) END AS node, CASE WHEN d > 1 THEN sha256(ts[1:d - 1]::VARCHAR) END AS parent,
+    CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(ts[d].text)) END AS bytes
+  FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, node
+), kids AS (
+  SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), full_nodes AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.node IS NOT DISTINCT FROM n.node
+), under AS (
+  SELECT p.depth, p.node, sum((u.n_convs - 1) * u.bytes) AS saved, count(*) FILTER (u.n_children = 0) AS leaves
+  FROM full_nodes u JOIN prefixes q ON q.conv_id = u.conv_id AND q.depth = u.depth JOIN prefixes p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, u.leaves AS n_leaves, u.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node IS NOT DISTINCT FROM n.parent
+LEFT JOIN under u ON u.depth = n.depth AND u.node IS NOT DISTINCT FROM n.node
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op4_source_mixing": OP4, "op5_top_k": OP5, "op6_decontamination": OP6, "op9_chat_format": OP9, "op12_collocations": OP12}
+    return {"op1_line_dedup": OP1, "op4_source_mixing": OP4, "op5_top_k": OP5, "op6_decontamination": OP6, "op9_chat_format": OP9, "op12_collocations": OP12, "op13_prefix_trie": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnway.llm import chat, collocations, decontaminate, html_text, line_dedup, mixing, quality, sharding, simhash, token_files, topk, toxicity
+from cairnway.llm import chat, collocations, decontaminate, html_text, line_dedup, mixing, prefix_trie, quality, sharding, simhash, token_files, topk, toxicity
 from cairnway.llm.common import table
 from cairnway.llm.labelled import crc_mod
 from cairnway.plans.staging import scratch_folder, staged
@@ -114,6 +114,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), min_count=30, max_words=4, top=2000)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(9))
+    base = F.col("conv") - F.col("conv") % 5
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base, head, most_head=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -128,4 +134,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_text": op10_html_text,
         "op11_token_files": op11_token_files,
         "op12_collocations": op12_collocations,
+        "op13_prefix_trie": op13_prefix_trie,
     }
