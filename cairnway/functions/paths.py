@@ -75,9 +75,14 @@ def in_utility_dir(path: Column) -> Column:
     return F.arrays_overlap(F.split(dirname(path), "/"), F.array(*[F.lit(d) for d in ("utils", "helpers", "lib")]))
 
 
+#: What ends a line, and white space, as a language with Unicode texts sees them (fixed values).
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def code_lines(text: Column) -> Column:
-    """Lines that are neither blank nor comments."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#"))))
+    """Lines that are neither blank nor comments: their first character that is not white space is no ``#``."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), LINE_ENDS), lambda x: x.rlike(f"^[{BLANKS}]*[^{BLANKS}#]")))
 
 
 def half_even_percent(part: Column, whole: Column) -> Column:

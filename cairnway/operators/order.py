@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairnway.functions.paths import basename, glob_regex, in_utility_dir, is_test, stem, tested_stem
+from cairnway.plans import fixpoint
+from cairnway.plans.ranks import numbered
+from cairnway.plans.staging import scratch, staged
 
 LAYERS = ("foundation", "core", "features", "integration", "entry")
 PASSES = ("contracts", "data_flow", "utility")
@@ -108,39 +111,115 @@ def pair_tests(files: DataFrame) -> DataFrame:
     return tests.join(impls, "_s").select("test", "impl")
 
 
+PLACED = "repo_id string, pass string, path string, pos long"
+
+
 def _greedy(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Kahn's order by (layer rank, -fan_in, path); files on or behind a cycle come last, by the same key."""
-    key = {r.path: (r.layer_rank, -r.fan_in, r.path) for r in nodes.itertuples()}
+    """Kahn's order by (layer rank, -fan_in, path); files on or behind a cycle come last, by the same key.  Repositories, passes and blocks are apart."""
+    key = {(r.repo_id, r.reading_pass, r.path): (r.block, r.layer_rank, -r.fan_in, r.path, r.repo_id, r.reading_pass) for r in nodes.rename(columns={"pass": "reading_pass"}).itertuples()}
     pending, unlocks = dict.fromkeys(key, 0), {p: [] for p in key}
-    for src, dst in zip(edges["src"], edges["dst"], strict=True):
-        pending[src] += 1  # a file waits for what it imports
-        unlocks[dst].append(src)
-    ready = [key[p] for p, n in pending.items() if n == 0]
+    for repo, reading, src, dst in zip(edges["repo_id"], edges["pass"], edges["src"], edges["dst"], strict=True):
+        pending[repo, reading, src] += 1  # a file waits for what it imports
+        unlocks[repo, reading, dst].append((repo, reading, src))
+    ready = [(k, p) for p, k in key.items() if not pending[p]]
     heapq.heapify(ready)
     order = []
     while ready:
-        at = heapq.heappop(ready)[2]
+        at = heapq.heappop(ready)[1]
         order.append(at)
         for p in unlocks[at]:
             pending[p] -= 1
             if pending[p] == 0:
-                heapq.heappush(ready, key[p])
+                heapq.heappush(ready, (key[p], p))
     done = set(order)
     order += sorted((p for p in key if p not in done), key=key.get)
-    group = nodes.iloc[0] if len(nodes) else None
-    return pd.DataFrame({"repo_id": [group.repo_id] * len(order), "pass": [group["pass"]] * len(order), "path": order, "pos": range(len(order))})
+    repos, passes, paths = zip(*order, strict=True) if order else ((), (), ())
+    return pd.DataFrame({"repo_id": repos, "pass": passes, "path": paths, "pos": range(len(order))})
+
+
+#: Files of one repository's pass that one task puts in order; larger passes are split.
+TASK_FILES = 100_000
+GROUP = ["repo_id", "pass"]
 
 
-def topological(files: DataFrame, edges: DataFrame) -> DataFrame:
+def topological(files: DataFrame, edges: DataFrame, task_files: int = TASK_FILES) -> DataFrame:
     """``repo_id, pass, path, pos``: the greedy order inside each repository and pass.
 
-    ``files(repo_id, pass, path, layer_rank, fan_in)``, ``edges(repo_id, src, dst)``.  The order is sequential
-    by definition, so a group holds one repository's pass; many repositories run side by side.
+    ``files(repo_id, pass, path, layer_rank, fan_in)``, ``edges(repo_id, src, dst)``.  A pass of at most ``task_files`` files is put in order by
+    one task; a larger one is first cut into phases (``phases``), which are put in order side by side.
     """
     ends = lambda end: files.select("repo_id", F.col("path").alias(end), F.col("pass").alias(f"_{end}"))
     own = edges.join(ends("src"), ["repo_id", "src"]).join(ends("dst"), ["repo_id", "dst"]).filter("_src = _dst").select("repo_id", F.col("_src").alias("pass"), "src", "dst").distinct()
-    grouped = files.select("repo_id", "pass", "path", "layer_rank", "fan_in").groupBy("repo_id", "pass").cogroup(own.groupBy("repo_id", "pass"))
-    return grouped.applyInPandas(_greedy, "repo_id string, pass string, path string, pos long")
+    nodes = files.select(*GROUP, "path", "layer_rank", "fan_in")
+    large = staged(nodes.groupBy(*GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > task_files).select(*GROUP), "large-passes")
+    whole = lambda nodes, edges: nodes.withColumn("block", F.lit("")).groupBy(*GROUP).cogroup(edges.groupBy(*GROUP)).applyInPandas(_greedy, PLACED)
+    if large.isEmpty():
+        return whole(nodes, own)
+    rest = lambda df, how: df.join(large, GROUP, how)
+    return whole(rest(nodes, "left_anti"), rest(own, "left_anti")).union(_in_phases(rest(nodes, "left_semi"), staged(rest(own, "left_semi"), "order-edges"), task_files))
+
+
+def phases(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``nodes`` with ``name``: the largest ``key`` among each node and all that it waits for, directly or not, inside its ``GROUP`` and ``block``.
+
+    In the greedy order a file with a larger key than all before it comes up only when everything that a smaller key can release
+    is placed.  So files come up in order of this value, and those that share it follow the file that has it as its key.
+    """
+    with scratch(nodes.sparkSession) as stage:
+        by = [*GROUP, "block"]
+        now = stage(nodes.withColumn(name, F.col("key")), "phases")
+        moved = now
+        while True:
+            met = edges.join(moved.select(*by, F.col("path").alias("dst"), name), [*by, "dst"]).groupBy(*by, F.col("src").alias("path")).agg(F.max(name).alias("_met"))
+            moved = stage(now.join(met, [*by, "path"]).filter(F.col("_met") > F.col(name)).select(*by, "path", F.col("_met").alias(name)), "phases-moved")
+            if moved.isEmpty():
+                return staged(now, "phases")
+            now = stage(now.join(moved.withColumnRenamed(name, "_met"), [*by, "path"], "left").withColumn(name, F.coalesce("_met", name)).drop("_met"), "phases")
+
+
+#: How often what is too large for a task is cut anew.
+CUTS = 4
+
+
+def _in_phases(nodes: DataFrame, edges: DataFrame, task_files: int) -> DataFrame:
+    """The order of large passes.  Files on or behind a cycle never come up and go last, by key.  All others are cut into phases; a phase that is
+    still too large starts with the file that names it, and what follows is cut again, ``CUTS`` times in all, before it goes to a task as it is."""
+    key = F.struct(F.col("layer_rank").cast("long").alias("rank"), (-F.col("fan_in")).cast("long").alias("fan"), "path")
+    # Paths are unique in a repository only.
+    label = lambda c: F.concat_ws("\0", *GROUP, c)
+    unlabel = [F.split("path", "\0")[i].alias(c) for i, c in enumerate([*GROUP, "path"])]
+    linked = edges.select(label("src").alias("src"), label("dst").alias("dst"))
+    rings = staged(fixpoint.components(linked).select("path"), "order-rings")
+    none = F.array().cast("array<struct<rank:bigint,fan:bigint,path:string>>")
+    late = staged((rings if rings.isEmpty() else rings.union(fixpoint.reach(rings, linked).select("path"))).distinct().select(*unlabel), "order-late")
+    todo = nodes.join(late, [*GROUP, "path"], "left_anti").withColumns({"key": key, "block": F.lit(""), "place": none})
+    by, done = [*GROUP, "block"], []
+    for cut in range(CUTS):
+        todo = staged(todo, "order-todo")
+        home = lambda end, todo=todo: todo.select(*GROUP, F.col("path").alias(end), F.col("block").alias(f"_{end}"))
+        inside = edges.join(home("src"), [*GROUP, "src"]).join(home("dst"), [*GROUP, "dst"]).filter("_src = _dst").select(*GROUP, F.col("_src").alias("block"), "src", "dst")
+        found = phases(todo, staged(inside, "order-inside"), "phase")
+        found = found.withColumns({"block": F.concat_ws("\0", "block", "phase.path"), "place": F.concat("place", F.array("phase"))})
+        sizes = found.groupBy(*by).agg((F.count("*") > task_files).alias("_large"))
+        found = staged(found.join(sizes, by), "order-cut")
+        final = F.lit(cut == CUTS - 1)
+        done.append(found.filter(~F.col("_large") | (F.col("key") == F.col("phase")) | final).select(*by, "path", "layer_rank", "fan_in", "key", "place", (F.col("_large") & ~final).alias("_alone")))
+        todo = found.filter(F.col("_large") & (F.col("key") != F.col("phase")) & ~final).select(*by, "path", "layer_rank", "fan_in", "key", "place")
+        if todo.isEmpty():
+            break
+    rows = staged(reduce(DataFrame.union, done), "order-blocks")
+    # Blocks are mostly small, so a task takes many; the place of a file that opens a large phase is before all of the phase.
+    tasks = max(1, -(-4 * rows.count() // task_files))
+    block = F.when("_alone", F.concat_ws("\0", "block", F.lit("first"))).otherwise(F.col("block")) if False else F.col("block")
+    dealt = rows.select(*GROUP, "path", "layer_rank", "fan_in", block.alias("block"), F.pmod(F.xxhash64(*by), F.lit(tasks)).alias("_task"))
+    ends = lambda end: rows.filter("not _alone").select(*GROUP, F.col("path").alias(end), F.col("block").alias(f"_{end}"))
+    links = edges.join(ends("src"), [*GROUP, "src"]).join(ends("dst"), [*GROUP, "dst"]).filter("_src = _dst")
+    links = links.select(*GROUP, "src", "dst", F.pmod(F.xxhash64(*GROUP, F.col("_src")), F.lit(tasks)).alias("_task"))
+    placed = dealt.groupBy("_task").cogroup(links.groupBy("_task")).applyInPandas(_greedy, PLACED)
+    inside = rows.join(placed, [*GROUP, "path"]).select(*GROUP, "path", "key", "place", "pos", F.lit(False).alias("late"))
+    behind = nodes.join(late, [*GROUP, "path"], "left_semi").select(*GROUP, "path", key.alias("key"), none.alias("place"), F.lit(0).cast("long").alias("pos"), F.lit(True).alias("late"))
+    every = inside.union(behind).withColumnRenamed("pos", "_pos")
+    return numbered(every, GROUP, [F.col(c) for c in ("late", "place", "_pos", "key")], "pos").select(*GROUP, "path", "pos")
 
 
 def reading_order(files: DataFrame, edges: DataFrame, tests: str = "utility") -> DataFrame:
@@ -166,8 +245,8 @@ def reading_order(files: DataFrame, edges: DataFrame, tests: str = "utility") ->
             behind, last = behind.drop("pos").join(sorted_, ["repo_id", "path"]), F.lit(True)
         rows = rows.union(behind.select("repo_id", "path", "pass", "pos", F.lit(1).alias("_t"), last.alias("_last"), "paired_with"))
     rank = F.when(F.col("_last"), 3).when(F.col("pass") == "contracts", 0).when(F.col("pass") == "data_flow", 1).otherwise(2)
-    order = Window.partitionBy("repo_id").orderBy(rank, F.coalesce("pos", F.lit(0)), "_t", "path")
-    return rows.select("repo_id", (F.row_number().over(order) - 1).alias("index"), "path", "pass", "paired_with")
+    rows = rows.withColumns({"_rank": rank, "pos": F.coalesce("pos", F.lit(0))})
+    return numbered(rows, ["repo_id"], [F.col(c) for c in ("_rank", "pos", "_t", "path")], "index").select("repo_id", F.col("index").cast("int").alias("index"), "path", "pass", "paired_with")
 
 
 def complexity(lines: Column, functions: Column, nesting: Column) -> Column:

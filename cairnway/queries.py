@@ -224,7 +224,6 @@ def test_pairing(spark, d):
 
 @query()
 def reading_order(spark, d):
-    """The greedy order has no SQL form; tests hold it against brute force."""
     rank = F.array_position(F.array(*[F.lit(x) for x in order.LAYERS]), F.col("layer"))
     rows = layered(spark, d).withColumn("pass", order.reading_pass(F.col("file"), F.lit(0.0), F.col("fan_in"), F.col("fan_out"), {}))
     files = rows.select("repo_id", "pass", F.concat_ws("#", "file", "path").alias("named"), "path", rank.alias("layer_rank"), "fan_in")
@@ -234,6 +233,39 @@ def reading_order(spark, d):
     return order.reading_order(files.select("repo_id", "pass", F.col("named").alias("path"), "layer_rank", "fan_in"), edges)
 
 
+# One step a row: the smallest file whose imports in its pass are all placed.
+READING_ORDER_SQL = f"""WITH RECURSIVE base AS ({ORACLES["layer_classify"].replace("SELECT path, layer FROM lay", "SELECT path, file, repo_id, fan_in, fan_out, layer FROM lay")}), named AS (
+  SELECT *, file || '#' || path AS name, split_part(file, '/', 2) AS folder, regexp_replace(split_part(file, '/', -1), '\\.[^.]*$', '') AS stem FROM base
+), f AS (
+  SELECT *, list_position(['foundation', 'core', 'features', 'integration', 'entry'], layer) AS rank, starts_with(stem, 'test_') AS is_test,
+    CASE WHEN folder IN ('utils', 'helpers', 'lib') THEN 'utility' WHEN stem IN ('types', 'interfaces', 'models', 'schema', 'constants') OR (fan_in >= 3 AND fan_out <= 1) THEN 'contracts' ELSE 'data_flow' END AS pass
+  FROM named
+), plain AS (SELECT * FROM f WHERE NOT is_test), links AS (
+  SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part) WHERE dst > 0 AND dst < src
+), waits AS (
+  SELECT a.name, list(b.name) AS deps FROM links l JOIN plain a ON a.path = l.src JOIN plain b ON b.path = l.dst AND b.repo_id = a.repo_id AND b.pass = a.pass GROUP BY a.name
+), ready AS (
+  SELECT p.repo_id, p.pass, p.name, p.rank, p.fan_in, coalesce(w.deps, []) AS deps FROM plain p LEFT JOIN waits w ON w.name = p.name
+), steps AS (
+  SELECT DISTINCT repo_id, pass, 0 AS n, []::VARCHAR[] AS placed FROM plain
+  UNION ALL
+  SELECT s.repo_id, s.pass, s.n + 1, list_append(any_value(s.placed), min({{'rank': r.rank, 'fan': -r.fan_in, 'name': r.name}}).name)
+  FROM steps s JOIN ready r ON r.repo_id = s.repo_id AND r.pass = s.pass AND NOT list_contains(s.placed, r.name) AND list_has_all(s.placed, r.deps) GROUP BY s.repo_id, s.pass, s.n
+), whole AS (
+  SELECT repo_id, pass, arg_max(placed, n) AS placed FROM steps GROUP BY repo_id, pass
+), placed AS (
+  SELECT repo_id, pass, placed[pos] AS name, pos FROM (SELECT *, unnest(range(1, len(placed) + 1)) AS pos FROM whole)
+), tests AS (
+  SELECT t.repo_id, t.name, (SELECT min(p.name) FROM plain p WHERE p.repo_id = t.repo_id AND p.stem = regexp_replace(t.stem, '^test_', '')) AS impl FROM f t WHERE t.is_test
+), every AS (
+  SELECT repo_id, name, pass, pos, 0 AS t, false AS last, NULL::VARCHAR AS impl FROM placed
+  UNION ALL SELECT x.repo_id, x.name, coalesce(p.pass, 'utility'), p.pos, 1, p.pos IS NULL, x.impl FROM tests x LEFT JOIN placed p ON p.repo_id = x.repo_id AND p.name = x.impl
+)
+SELECT repo_id, (row_number() OVER (PARTITION BY repo_id ORDER BY CASE WHEN last THEN 3 WHEN pass = 'contracts' THEN 0 WHEN pass = 'data_flow' THEN 1 ELSE 2 END, coalesce(pos, 0), t, name) - 1)::INT AS "index",
+  name AS path, pass, impl AS paired_with FROM every"""
+ORACLES["reading_order"] = READING_ORDER_SQL
+
+
 @query("SELECT path, change FROM chg")
 def hash_diff(spark, d):
     return changes(spark, d)
@@ -321,8 +353,15 @@ def backbone_topk(spark, d):
     return graph.backbone(metrics(spark, d))
 
 
-@query("""SELECT doc_id, n AS code_lines, CASE WHEN (n >= 200)::INT + (w > 8000)::INT >= 2 THEN 'high' WHEN (n >= 200)::INT + (w > 8000)::INT = 1 OR (n >= 50 AND n < 200 AND w >= 3000) THEN 'medium' ELSE 'low' END AS complexity
-FROM (SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#'))) AS n, length(coalesce(text, '')) AS w FROM documents)""")
+BLANK_SQL = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+CODE_LINES_SQL = (
+    r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), "
+    rf"lambda x: regexp_matches(x, '^[{BLANK_SQL}]*[^{BLANK_SQL}#]')))"
+)
+
+
+@query(f"""SELECT doc_id, n AS code_lines, CASE WHEN (n >= 200)::INT + (w > 8000)::INT >= 2 THEN 'high' WHEN (n >= 200)::INT + (w > 8000)::INT = 1 OR (n >= 50 AND n < 200 AND w >= 3000) THEN 'medium' ELSE 'low' END AS complexity
+FROM (SELECT doc_id, {CODE_LINES_SQL} AS n, length(coalesce(text, '')) AS w FROM documents)""")
 def line_complexity(spark, d):
     rows = table(spark, d, "documents").select("doc_id", P.code_lines(F.col("text")).cast("long").alias("code_lines"), F.coalesce(F.char_length("text"), F.lit(0)).alias("w"))
     functions = F.when(F.col("w") > 8000, 9).when(F.col("w") >= 3000, 3).otherwise(0)
@@ -543,8 +582,8 @@ def git_changes(spark, d):
     return progress.with_unchanged(progress.outside_dir(progress.git_changes(lines), "d0"), docs)
 
 
-@query("""SELECT count(*) AS n_files, sum(n)::BIGINT AS n_lines, ceil(count(*) / 35)::BIGINT AS sessions
-FROM (SELECT len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#'))) AS n FROM documents)""")
+@query(f"""SELECT count(*) AS n_files, sum(n)::BIGINT AS n_lines, ceil(count(*) / 35)::BIGINT AS sessions
+FROM (SELECT {CODE_LINES_SQL} AS n FROM documents)""")
 def size_estimate(spark, d):
     return reports.size_estimate(table(spark, d, "documents").select(P.code_lines(F.col("text")).alias("line_count")))
 
