@@ -1,18 +1,18 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Every query meets every candidate: a stated query set against all rows, in
-blocks.  Candidates are dealt into blocks of bounded size; a block inverts its vectors into
-postings (dimension to positions and weights), and each sparse query row
+blocks.  Queries are taken a block after the other, of a bounded size in bytes, and
+handed to all tasks; candidates stay where they are.  A task inverts some thousand of its
+vectors at a time into postings (dimension to positions and weights), and each sparse query row
 scatters its weighted postings, one term after the other, into a dense score
-array.  The block's best ``k`` a query are taken by partition selection, and a
-grouped window merges the blocks.
+array.  The best ``k`` a query are taken by partition selection and kept from block to block; only they are
+shuffled, and a grouped window merges the tasks.
 
-A task holds one block of candidates and one block of queries, whatever the
-table's size; neither side passes through the driver and nothing is pruned.  Rows are numbered and dealt into blocks once,
-and staged so: a task that is run again after an executor is lost meets the same blocks.
+Neither side passes through the driver whole and nothing is pruned.  Rows are numbered once,
+and staged so: a task that is run again after an executor is lost meets the same rows.
 
-Defined results: vectors that are null, empty or hold a null or non-finite component
-take no part; dimensions beyond a vector's end count as zero; ties go to
+Defined results: vectors that are null or hold a null or non-finite component
+take no part; dimensions beyond a vector's end count as zero, so an empty vector scores 0; ties go to
 the smaller id; a null id takes no part.  Queries given as a condition are rows of the vectors: each asks for itself, also if its id repeats, and all
 rows but itself are its candidates.  Queries given as a table each ask for themselves, and rows with their id are not their candidates.  Repeated
 candidate rows each stand for themselves; fewer candidates than ``k`` give all; an empty table
@@ -21,7 +21,8 @@ gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,10 @@ from pyspark.sql.window import Window
 
 from cairnway.plans.staging import staged
 
-#: Rows of a block of candidates, and of a block of queries.
-CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 8_192
+#: Candidates of a task that are inverted at a time.
+CANDIDATE_BLOCK = 8_192
+#: Bytes of a block of queries, which every task receives.
+QUERY_BYTES = 32 << 20
 #: Queries whose dense score arrays are alive at once.
 SCORE_ROWS = 32
 
@@ -40,13 +43,13 @@ SCORE_ROWS = 32
 def quantise(vectors: DataFrame, key: str, vector: str, scale: int, asks: Column) -> DataFrame:
     """``id, v, asks, n``: vectors that take part, as whole numbers floor(scale * x), and a number for each row."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & sound & (F.size(vector) > 0)).select(
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & sound).select(
         F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")
     )
     return staged(rows.withColumn("n", F.monotonically_increasing_id()), "top-vectors")
 
 
-def _matrix(rows: pd.Series, width: int) -> np.ndarray:
+def _matrix(rows: Sequence, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width), np.int64)
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
@@ -77,6 +80,38 @@ def block_top(ids: np.ndarray, have: np.ndarray, tags: np.ndarray, query_tags: n
             yield ids[other][best], own[best]
 
 
+def _search(shared, k: int, candidate_block: int):
+    """The best ``k`` of a task's candidates for every query of the block, the queries by their position in it."""
+
+    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) >= candidate_block:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tags, want = shared.value
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(tags)
+        for frame in blocks(frames):
+            frame = frame.sort_values(["id", "tag"], kind="stable")
+            width = max(frame["v"].map(len).max(), want.shape[1]) if len(frame) else 0
+            queries = np.pad(want, ((0, 0), (0, width - want.shape[1])))
+            for q, (ids, scores) in enumerate(block_top(frame["id"].to_numpy(), _matrix(frame["v"], width), frame["tag"].to_numpy(), tags, queries, k)):
+                ids, scores = np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], scores])
+                first = np.lexsort((ids, -scores))[:k]
+                best[q] = ids[first], scores[first]
+        counts = [len(ids) for ids, _ in best]
+        if sum(counts):
+            ids, scores = (np.concatenate([b[i] for b in best]) for i in (0, 1))
+            yield pd.DataFrame({"ask": np.repeat(np.arange(len(tags)), counts), "found": ids, "score": scores})
+
+    return search
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame | Column,
@@ -85,31 +120,24 @@ def top_k(
     vector: str = "embedding",
     scale: int = 256,
     candidate_block: int = CANDIDATE_BLOCK,
-    query_block: int = QUERY_BLOCK,
+    query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """``query_id, rank`` (from 1), the candidate's id under ``key`` and its ``score``; ``queries``: a condition on ``vectors``, or a table with ``key`` and ``vector``."""
     inside = isinstance(queries, Column)
     have = quantise(vectors, key, vector, scale, queries if inside else F.lit(False))
     want = have.filter("asks") if inside else quantise(queries, key, vector, scale, F.lit(True))
     tag = F.col("n" if inside else "id").alias("tag")
-    blocks, query_blocks = max(1, -(-have.count() // candidate_block)), max(1, -(-want.count() // query_block))
-    # Dealt out by the rows' numbers: neither a repeated id nor a repeated vector can fill a block.
-    turn = lambda n: F.pmod(F.xxhash64("n"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = have.select("id", "v", tag, turn(blocks).alias("cb"), every(query_blocks).alias("qb"))
-    right = want.select("id", "v", tag, "n", turn(query_blocks).alias("qb"), every(blocks).alias("cb"))
-
-    def search(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        columns = ["ask", "query_id", "found", "score"]
-        if ours.empty or theirs.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
-        ours = ours.sort_values(["id", "tag"], kind="stable")
-        width = max(ours["v"].map(len).max(), theirs["v"].map(len).max())
-        found = block_top(ours["id"].to_numpy(), _matrix(ours["v"], width), ours["tag"].to_numpy(), theirs["tag"].to_numpy(), _matrix(theirs["v"], width), k)
-        parts = [(np.full(len(c), n), np.full(len(c), q), c, s) for n, q, (c, s) in zip(theirs["n"], theirs["id"], found, strict=True)]
-        return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-
-    local = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, "ask long, query_id long, found long, score long")
-    best = Window.partitionBy("ask").orderBy(F.desc("score"), "found")
-    merged = local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return merged.select("query_id", "rank", F.col("found").alias(key), "score")
+    n, width = want.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-n * 8 * (width + 1) // query_bytes))
+    spark, found = vectors.sparkSession, []
+    for block in range(blocks):
+        # Dealt out by the rows' numbers: neither a repeated id nor a repeated vector can fill a block.
+        rows = want.filter(F.pmod(F.xxhash64("n"), F.lit(blocks)) == block).select("id", "v", tag, "n").collect()  # about ``query_bytes``
+        shared = spark.sparkContext.broadcast((np.array([r["tag"] for r in rows], np.int64), _matrix([r["v"] for r in rows], width)))
+        names = spark.createDataFrame([(i, r["id"], r["n"]) for i, r in enumerate(rows)], "ask long, query_id long, n long")
+        best = have.select("id", "v", tag).mapInPandas(_search(shared, k, candidate_block), "ask long, found long, score long")
+        order = Window.partitionBy("ask").orderBy(F.desc("score"), "found")
+        merged = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).join(F.broadcast(names), "ask")  # a row a query of the block
+        found.append(staged(merged.select("query_id", "rank", F.col("found").alias(key), "score"), "top-found"))
+        shared.unpersist()
+    return reduce(DataFrame.union, found)

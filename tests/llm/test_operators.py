@@ -358,14 +358,15 @@ def test_top_k_matches_brute_force_over_blocks(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [round(float(x), 1) for x in rng.standard_normal(6)]) for i in range(90)] + [(90, None), (91, [1.0, None]), (92, [float("nan")]), (93, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    whole = {i: np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(int) for i, v in rows[:90]}
+    rows += [(98, [])]  # an empty vector asks and is found, with score 0
+    whole = {i: np.floor(256 * np.array(v + [0.0] * (6 - len(v)), np.float32).astype(np.float64)).astype(int) for i, v in rows if i < 90 or v == []}
     want = set()
-    for q in range(0, 90, 7):
+    for q in (q for q in whole if q % 7 == 0):
         ranked = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
         want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked)}
-    for block in (8192, 13):
+    for block, size in ((8192, 1 << 20), (13, 200)):
         for queries in (df.filter("vec_id % 7 = 0"), F.col("vec_id") % 7 == 0):
-            got = topk.top_k(df, queries, candidate_block=block, query_block=block)
+            got = topk.top_k(df, queries, candidate_block=block, query_bytes=size)
             assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df.limit(1), df.limit(1)).count() == 0
 
