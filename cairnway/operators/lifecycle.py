@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnway.operators.progress import apply_changes, apply_updates, git_changes, outside_dir, prune, status_counts, utc_now, with_unchanged
+from cairnway.operators.progress import apply_changes, apply_updates, export_cascade, git_changes, outside_dir, prune, status_counts, utc_now, with_unchanged
 from cairnway.sources import git
 
 VERSION = "1.0.0"
@@ -15,10 +15,11 @@ VERSION = "1.0.0"
 
 class Progress(NamedTuple):
     """``meta``: one row ``version, map_hash, started_at, last_session, sessions, next_unread_index, git_commit, git_branch``;
-    ``files(path, status, read_at, note, summary)``."""
+    ``files(path, status, read_at, note, summary)``; ``exports(path, name, read_at, summary)``: what was read of a file, None if nothing."""
 
     meta: DataFrame
     files: DataFrame
+    exports: DataFrame | None = None
 
     def with_meta(self, **columns: Column) -> Progress:
         return self._replace(meta=self.meta.withColumns(columns))
@@ -38,6 +39,41 @@ def create(order: DataFrame, map_hash: str, at: str | None = None) -> Progress:
     return Progress(meta, order.select("path", F.lit("unread").alias("status"), none.alias("read_at"), none.alias("note"), none.alias("summary")))
 
 
+def exports_of(progress: Progress) -> DataFrame:
+    """``path, name, read_at, summary`` of the exports that were read."""
+    if progress.exports is None:
+        return progress.files.sparkSession.createDataFrame([], "path string, name string, read_at string, summary string")
+    return progress.exports.select("path", "name", "read_at", "summary")
+
+
+def exports_read(progress: Progress, marks: DataFrame) -> Progress:
+    """``marks(path, name, seq, at, summary)``: the last mark of an export holds; a file that is not tracked yet is added, unread."""
+    last = marks.groupBy("path", "name").agg(F.max_by(F.struct("at", "summary"), "seq").alias("m"))
+    new = last.select("path", "name", F.col("m.at").alias("read_at"), F.col("m.summary").alias("summary"))
+    kept = exports_of(progress).join(new, ["path", "name"], "left_anti")
+    none = F.lit(None).cast("string")
+    added = marks.groupBy("path").agg(F.min_by("at", "seq").alias("read_at")).join(progress.files.select("path"), "path", "left_anti")
+    added = added.select("path", F.lit("unread").alias("status"), "read_at", none.alias("note"), none.alias("summary"))
+    return progress._replace(files=progress.files.unionByName(added), exports=kept.unionByName(new))
+
+
+def confirmed_exports_read(progress: Progress, declared: DataFrame) -> Progress:
+    """All ``declared(path, name)`` exports of confirmed files count as read with the file; those read before keep their time and summary."""
+    own = exports_of(progress)
+    confirmed = progress.files.filter("status = 'confirmed'").select("path", "read_at")
+    whole = export_cascade(declared.select("path", "name").union(own.select("path", "name")).distinct(), own, confirmed)
+    return progress._replace(exports=whole.join(own.select("path", "name", "summary"), ["path", "name"], "left"))
+
+
+def _with_files(progress: Progress, files: DataFrame, changes: DataFrame) -> Progress:
+    """New files in place of the old; exports of files that are gone or changed are forgotten."""
+    if progress.exports is None:
+        return progress._replace(files=files)
+    reset = changes.filter(F.col("change").isin("new", "modified", "removed")).select("path")
+    kept = exports_of(progress).join(reset, "path", "left_anti").join(files.select("path"), "path", "left_semi")
+    return progress._replace(files=files, exports=kept)
+
+
 def session_started(progress: Progress, at: str | None = None) -> Progress:
     return progress.with_meta(sessions=F.col("sessions") + 1, last_session=_moment(at))
 
@@ -83,14 +119,14 @@ def completed(progress: Progress, order: DataFrame, updates: DataFrame) -> Progr
 def refreshed(progress: Progress, changes: DataFrame, edges: DataFrame, order: DataFrame, map_hash: str) -> Progress:
     """After a new index: changes applied, files outside the order dropped, the pointer at the start."""
     files = prune(apply_changes(progress.files, changes, edges), order)
-    return Progress(progress.meta, files).with_meta(map_hash=F.lit(map_hash), next_unread_index=F.lit(0).cast("long"))
+    return _with_files(progress, files, changes).with_meta(map_hash=F.lit(map_hash), next_unread_index=F.lit(0).cast("long"))
 
 
 def refreshed_by_diff(progress: Progress, diff: DataFrame, edges: DataFrame, commit: str, branch: str | None, folder: str) -> Progress:
     """After ``diff(status, path, new_path)`` between commits; nothing is dropped but removed files, and ``folder`` does not count."""
     changes = with_unchanged(outside_dir(git_changes(diff), folder), progress.files)
     files = apply_changes(progress.files, changes, edges)
-    return with_git_state(Progress(progress.meta, files).with_meta(next_unread_index=F.lit(0).cast("long")), commit, branch)
+    return with_git_state(_with_files(progress, files, changes).with_meta(next_unread_index=F.lit(0).cast("long")), commit, branch)
 
 
 def refreshed_in_repository(progress: Progress, root: str, edges: DataFrame, folder: str) -> Progress | None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from cairnway.operators.lifecycle import Progress, with_stats
+from cairnway.operators.lifecycle import Progress, exports_of, with_stats
 from cairnway.operators.order import LAYERS
 
 ENTRY = (
@@ -101,8 +101,9 @@ def map_hash(maps: DataFrame) -> DataFrame:
 def progress_document(progress: Progress) -> DataFrame:
     """One row in the shape of ``PROGRESS``, with counts taken anew; one repository's files, as the format asks."""
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<read_at:string,summary:string>>"))
-    entry = F.struct("status", "read_at", "note", "summary", none.alias("exports_read"))
-    files = progress.files.agg(F.map_from_entries(F.collect_list(F.struct("path", entry))).alias("files"))
+    read = exports_of(progress).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("read_at", "summary")))).alias("_read"))
+    entry = F.struct("status", "read_at", "note", "summary", F.coalesce("_read", none).alias("exports_read"))
+    files = progress.files.join(read, "path", "left").agg(F.map_from_entries(F.collect_list(F.struct("path", entry))).alias("files"))
     stats = F.struct(*[F.col(c).cast("int").alias(c) for c in ("total", "confirmed", "flagged", "skimmed", "unread")])
     one = with_stats(progress).join(files, F.lit(True))  # single rows
     return one.select(
@@ -114,7 +115,9 @@ def progress_document(progress: Progress) -> DataFrame:
 def progress_of(documents: DataFrame) -> Progress:
     """The tables of a progress document."""
     meta = documents.select("version", "map_hash", "started_at", "last_session", "sessions", F.col("next_unread_index").cast("long").alias("next_unread_index"), "git_commit", "git_branch")
-    return Progress(meta, state_of(documents).select("path", "status", "read_at", "note", "summary"))
+    state = state_of(documents)
+    exports = state.select("path", F.explode("exports_read").alias("name", "e")).select("path", "name", "e.read_at", "e.summary")
+    return Progress(meta, state.select("path", "status", "read_at", "note", "summary"), exports)
 
 
 def _sorted_fields(name: Column | str, kind: DataType) -> Column:

@@ -4,6 +4,7 @@ import subprocess
 
 import pytest
 
+from cairnway.sources import documents
 from cairnway.operators import lifecycle, reports
 
 ORDER = "index int, path string, layer string, reason string, complexity string, line_count int, imports array<string>, imported_by array<string>, exports array<string>"
@@ -103,3 +104,25 @@ def test_session_context_and_tool_status(spark, entries):
     assert reports.entry_of(entries, "c.py").first().complexity == "high"
     row = reports.tool_status(entries, state, 9, 3).first()
     assert (row.total, row.unread, row.current_layer, row.current_layer_pct, row.next_file, row.flagged_count, row.sessions) == (9, 6, "core", 50, "b.py", 1, 3)
+
+
+def test_exports_read_come_through_every_transition(spark, tmp_path):
+    entries = spark.createDataFrame([(0, "a.py"), (1, "b.py"), (2, "c.py")], "index int, path string")
+    begun = lifecycle.create(entries, "h", "T0")
+    marks = spark.createDataFrame([("a.py", "f", 1, "T1", "first"), ("a.py", "f", 2, "T2", "again"), ("b.py", "g", 3, "T3", None), ("x.py", "h", 4, "T4", None)], "path string, name string, seq long, at string, summary string")
+    read = lifecycle.exports_read(begun, marks)
+    exports = lambda p: {tuple(r) for r in lifecycle.exports_of(p).select("path", "name", "read_at", "summary").collect()}
+    assert exports(read) == {("a.py", "f", "T2", "again"), ("b.py", "g", "T3", None), ("x.py", "h", "T4", None)}
+    assert {r.path: r.status for r in read.files.collect()}["x.py"] == "unread"
+    path = f"{tmp_path}/progress.json"
+    documents.write_document(documents.progress_document(read), path)
+    back = documents.progress_of(documents.read_progress(spark, path))
+    assert exports(back) == exports(read)
+    updates = spark.createDataFrame([("a.py", 5, "confirmed", None, None, "T5")], UPDATES)
+    done = lifecycle.confirmed_exports_read(lifecycle.updated(back, updates), spark.createDataFrame([("a.py", "f"), ("a.py", "k"), ("c.py", "z")], "path string, name string"))
+    assert exports(done) == exports(read) | {("a.py", "k", "T5", None)}
+    changes = spark.createDataFrame([("b.py", "modified"), ("x.py", "removed"), ("a.py", "unchanged")], "path string, change string")
+    none = spark.createDataFrame([], "src string, dst string")
+    now = lifecycle.refreshed(done, changes, none, entries, "h2")
+    documents.write_document(documents.progress_document(now), path)
+    assert exports(documents.progress_of(documents.read_progress(spark, path))) == {("a.py", "f", "T2", "again"), ("a.py", "k", "T5", None)}
