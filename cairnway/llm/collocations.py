@@ -6,10 +6,11 @@ chunk starts with that window, so chunks overlap by ``max_words - 1`` words and
 row of a dictionary with their frequency in the parse, so repeated passages and copies are counted once and weighted.
 
 Counting: a phrase is counted in the chunk that holds its first word before the overlap with the next chunk, hence once.  A phrase that
-occurs ``min_count`` times has no part that occurs less often, so words, then pairs, then longer phrases are first counted in hashed
+occurs ``min_count`` times has no part that occurs less often, so words and pairs, then longer phrases are first counted in hashed
 cells; what falls into a cell below ``min_count`` is out.  A cell holds at least the count of every phrase in it, so the cells
-rule out rare phrases only, and those that are left are counted exactly, as text.  The cells' bits are all that is broadcast: at most
-``2 ** MOST_BITS`` bits a level.  On larger inputs the cells fill up and rule out less; then more rows are shuffled, with the same result.
+rule out rare phrases only, and those that are left are counted exactly, as text: tasks send the phrases of a bucket in one packed row, and
+buckets are added up one after the other.  The cells' bits are all that is broadcast: at most ``2 ** MOST_BITS`` bits a level.  On
+larger inputs the cells fill up and rule out less; then more phrases are shuffled, with the same result.
 
 Defined results: a null text has no words; a null language is ``und``; repeated rows count as often as they occur; other input columns
 play no part; an empty table gives an empty result; ties are ordered by count, then by the phrase in UTF-8 byte order.
@@ -34,10 +35,12 @@ from cairnway.plans.staging import scratch, staged
 SHORT = 12
 #: One window in so many triggers a cut.
 TRIGGER = 8
-#: Entries that a task aggregates before it sends them on.
-FLUSH = 200_000
+#: Chunks, words or phrases that a task holds before it sends them on or forgets them.
+FLUSH = 400_000
 #: Chunks and bytes that are counted at a time.
-BLOCK_CHUNKS, BLOCK_BYTES = 65_536, 8 << 20
+BLOCK_CHUNKS, BLOCK_BYTES = 1 << 17, 12 << 20
+#: Buckets of phrases: this many, or one for each ``BUCKET_BYTES`` of distinct chunks.
+BUCKETS, BUCKET_BYTES = 1_024, 1 << 20
 #: Cells of one staged row, and the bounds on all cells of a level, in bits.
 CELLS = 1 << 16
 LEAST_BITS, MOST_BITS = 20, 27
@@ -96,10 +99,11 @@ class _Words(dict):
 
     def __init__(self, lang: str):
         super().__init__({BREAK: 0})
-        self.seed, self.hashes = zlib.crc32(lang.encode()), [0]
+        self.seed, self.hashes, self.names = zlib.crc32(lang.encode()), [0], [BREAK]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.hashes)
+        self.names.append(word)
         self.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
         return n
 
@@ -131,8 +135,7 @@ class _Positions:
     """The words of a block in a row: what is counted at which position, and how often."""
 
     def __init__(self, known: _Words, chunks: list[bytes], ends: np.ndarray, freq: np.ndarray, overlap: int):
-        self.words = (b" \n ".join(chunks) + b" \n").split(b" ")
-        self.ids = np.fromiter(map(known.__getitem__, self.words), np.int64, len(self.words))
+        self.ids = np.fromiter(map(known.__getitem__, (b" \n ".join(chunks) + b" \n").split(b" ")), np.int64)
         self.hashes = np.array(known.hashes, np.uint64)[self.ids]
         breaks = np.flatnonzero(self.ids == 0)
         self.weight = np.repeat(freq, np.diff(breaks, prepend=-1))
@@ -181,9 +184,9 @@ def _cell_counter(levels: list[int], known_bits, width: int, overlap: int, least
                     use = may & at.counted[: len(may)]
                     parts[n].append((cells[use], at.weight[: len(may)][use]))
                     held += int(use.sum())
-            if sum(map(len, known.values())) > 2 * FLUSH:
+            if sum(map(len, known.values())) > FLUSH:
                 known.clear()
-            if held > 20 * FLUSH:
+            if held > 10 * FLUSH:
                 for n, p in parts.items():
                     yield from packed(n, p)
                 parts.clear()
@@ -220,21 +223,27 @@ def _cell_bits(least: int):
     return add
 
 
-def _phrase_counter(known_bits, width: int, max_words: int):
-    """Exact counts of the phrases that the cells leave, aggregated in the task; a null phrase carries the number of all words."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("count", pa.int64())])
+def _phrase_counter(known_bits, width: int, max_words: int, buckets: int):
+    """Exact counts of the phrases that the cells leave, a row a language and bucket; an empty phrase carries the number of all words."""
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())])
 
-    def flush(counts: dict) -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+    def packed(lang: str, counts: dict[bytes, int]) -> pa.RecordBatch:
+        phrases, sums = np.array([*counts, None], object)[:-1], np.fromiter(counts.values(), np.int64, len(counts))
+        bucket = np.fromiter((zlib.crc32(p) % buckets for p in phrases), np.int32, len(phrases))
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        parts = np.split(order, starts[1:])
+        columns = [[lang] * len(parts), bucket[order][starts], [zlib.compress(BREAK.join(phrases[p]), 1) for p in parts], [sums[p].tobytes() for p in parts]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = {n: np.frombuffer(b, np.uint8) for n, b in known_bits.value.items()}
         known: dict[str, _Words] = {}
-        counts: dict = defaultdict(int)
+        counts: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
         for lang, chunks, ends, freq in _blocks(batches):
-            at = _Positions(known.setdefault(lang, _Words(lang)), chunks, ends, freq, max_words - 1)
-            counts[lang, None] += int(at.weight[at.counted].sum())
+            words = known.setdefault(lang, _Words(lang))
+            at, found, name = _Positions(words, chunks, ends, freq, max_words - 1), counts[lang], words.names.__getitem__
+            found[b""] += int(at.weight[at.counted].sum())
             numbers = np.zeros(len(at.ids), np.int64)  # of the phrase at a position among the distinct ones of its length
             for n, may, _ in at.grams(max_words, bits, width):
                 here = np.flatnonzero(may)
@@ -243,19 +252,46 @@ def _phrase_counter(known_bits, width: int, max_words: int):
                 numbers = np.zeros(len(may), np.int64)
                 numbers[here] = where
                 sums = np.bincount(where, at.weight[here] * at.counted[here], len(first)).astype(np.int64)
-                for i, f in zip(here[first].tolist(), sums.tolist(), strict=True):
-                    if f:
-                        counts[lang, b" ".join(at.words[i : i + n])] += f
-            if sum(map(len, known.values())) > 2 * FLUSH:
+                some = np.flatnonzero(sums)
+                texts = zip(*(map(name, at.ids[here[first[some]] + i].tolist()) for i in range(n)), strict=True)
+                for phrase, f in zip(map(b" ".join, texts), sums[some].tolist(), strict=True):
+                    found[phrase] += f
+            if sum(map(len, known.values())) > FLUSH:
                 known.clear()
-            if len(counts) > FLUSH:
-                yield flush(counts)
+            if sum(map(len, counts.values())) > FLUSH:
+                for lang, found in counts.items():
+                    yield packed(lang, found)
                 counts.clear()
-        yield flush(counts)
+        for lang, found in counts.items():
+            yield packed(lang, found)
 
     return count
 
 
+def _phrase_adder(least: int):
+    """Adds up the rows of one language and bucket after the other (rows sorted by them)."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
+
+    def rows(lang: str, sums: dict[bytes, int]) -> pa.RecordBatch:
+        kept = [(p, f) for p, f in sums.items() if f >= least or not p]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.binary()), pa.array([f for _, f in kept], pa.int64())], schema=schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, defaultdict(int)
+        for batch in batches:
+            for lang, bucket, phrases, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, bucket) != now:
+                    if now:
+                        yield rows(now[0], sums)
+                    now, sums = (lang, bucket), defaultdict(int)
+                for phrase, f in zip(zlib.decompress(phrases).split(BREAK), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                    sums[phrase] += f
+        if now:
+            yield rows(now[0], sums)
+
+    return add
+
+
 def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, lang: str = "lang", text: str = "text") -> DataFrame:
     """``lang, phrase, n_words, f``: every phrase of 1 to ``max_words`` words that occurs ``min_count`` times, counted exactly, and a row
     a language without a phrase (``n_words`` 0), whose ``f`` is the number of its words."""
@@ -265,7 +301,7 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, lang
         size = dictionary.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0
         width = min(MOST_BITS, max(LEAST_BITS, int(size // 4).bit_length()))
         bits: dict[int, bytes] = {}
-        for levels in ([1], [2], list(range(3, max_words + 1))):
+        for levels in ([1, 2], [*range(3, max_words + 1)]):
             levels = [n for n in levels if n <= max_words]
             if not levels:
                 continue
@@ -278,12 +314,12 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, lang
             bits = bits | {n: b.tobytes() for n, b in found.items()}
             shared.unpersist()
         shared = spark.sparkContext.broadcast(bits)
-        counted = dictionary.mapInArrow(_phrase_counter(shared, width, max_words), "lang string, phrase binary, count bigint")
+        buckets = max(BUCKETS, int(size // BUCKET_BYTES))
+        counted = dictionary.mapInArrow(_phrase_counter(shared, width, max_words, buckets), "lang string, bucket int, phrases binary, counts binary")
+        total = counted.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_phrase_adder(min_count), "lang string, phrase binary, f bigint")
         phrase = F.col("phrase").cast("string")
-        total = counted.groupBy("lang", phrase.alias("phrase")).agg(F.sum("count").alias("f"))
-        n_words = F.when(F.col("phrase").isNull(), 0).otherwise(F.size(F.split("phrase", " ")))
-        kept = total.filter(F.col("phrase").isNull() | (F.col("f") >= min_count)).select("lang", "phrase", n_words.alias("n_words"), "f")
-        return staged(kept, "collocation-phrases")
+        n_words = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+        return staged(total.select("lang", phrase.alias("phrase"), n_words.alias("n_words"), "f"), "collocation-phrases")
 
 
 def _words(start: Column | int, length: Column | int) -> Column:
