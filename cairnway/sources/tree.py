@@ -1,11 +1,10 @@
-"""Source trees as tables: listed level by level, pruned by path expressions."""
+"""Source trees as tables: names from a data source, pruned by rules that are rows."""
 
 from __future__ import annotations
 
 import os
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +12,7 @@ from pyspark.sql import functions as F
 
 from cairnway.functions.paths import basename, bracket, dirname, short_hash, stem, suffix
 from cairnway.plans.staging import staged
-
-#: Directories that are never entered (fixed values).
-SKIPPED = ("node_modules", "dist", "build", ".git", "__pycache__", "venv", ".venv", ".tox")
-#: Suffixes by language (fixed values).
-LANGUAGES = {"python": ".py .pyi", "script": ".ts .tsx .js .jsx .mjs .cjs", "go": ".go"}
-
+from cairnway.sources.tree_source import LANGUAGES, read_tree
 
 def language(path: Column) -> Column:
     out = F.lit(None).cast("string")
@@ -45,33 +39,50 @@ def ignore_regex(pattern: str) -> str:
     return ("^" if anchored else "(?:^|/)") + out + ("/" if pattern.endswith("/") else "(?:/|$)")
 
 
-def ignored(path: Column, specs: dict[str, list[str]]) -> Column:
-    """Whether any directory's ignore file drops the path; in one file the last matching line wins, and
-    a deeper negation cannot bring back what a parent drops.  ``specs``: lines by directory ("" is the root)."""
-    out = F.lit(False)
-    for prefix, lines in specs.items():
-        start = f"{prefix}/" if prefix else ""
-        inside = F.substr(path, F.lit(len(start) + 1))
-        verdict = F.lit(False)
-        for line in lines:
-            rule = line.strip()
-            if rule and not rule.startswith("#"):
-                verdict = F.when(inside.rlike(ignore_regex(rule.removeprefix("!"))), F.lit(not rule.startswith("!"))).otherwise(verdict)
-        out = out | (F.startswith(path, F.lit(start)) & verdict)
-    return out
+RULES = "at string, line int, pattern string, drops boolean"
+
+
+def rules_of(lines: DataFrame) -> DataFrame:
+    """``at, line, pattern, drops``: the rules among the ``lines(at, line, text)`` of ignore files in the directories ``at`` ("" is the root)."""
+
+    @F.pandas_udf("string")
+    def pattern(rules: pd.Series) -> pd.Series:
+        return rules.map(lambda r: ignore_regex(r.removeprefix("!")))
+
+    rule = lines.select("at", "line", F.trim("text").alias("rule")).filter("rule <> '' and not startswith(rule, '#')")
+    return rule.select("at", "line", pattern("rule").alias("pattern"), (~F.startswith("rule", F.lit("!"))).alias("drops"))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """``at, line, text`` of ignore files ``(path, content)``."""
+    return files.select(dirname(F.col("path")).alias("at"), F.posexplode(F.split(F.col("content").cast("string"), "\r\n|\n|\r")).alias("line", "text"))
 
 
-def list_dirs(frames: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
-    """What the named directories hold, links left out; a directory that cannot be read holds nothing."""
-    for frame in frames:
-        rows = []
-        for name in frame["path"]:
-            try:
-                with os.scandir(os.path.join(root, name)) as entries:
-                    rows += [(f"{name}/{e.name}" if name else e.name, e.is_dir()) for e in entries if not e.is_symlink()]
-            except OSError:
-                continue
-        yield pd.DataFrame(rows, columns=["path", "is_dir"])
+def folders_of(path: Column) -> Column:
+    """All directories that a path lies in, from the root ("")."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
+def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """``path``: those of ``paths(path, is_dir)`` that some directory's rules drop.
+
+    Each path meets the rules of the directories it lies in.  Of one directory's rules the last that matches decides; a deeper
+    negation cannot bring back what a directory above drops.
+    """
+    named = F.when(F.col("is_dir"), F.concat("path", F.lit("/"))).otherwise(F.col("path"))
+    met = paths.select("path", named.alias("_name"), F.explode(folders_of(F.col("path"))).alias("at")).join(rules, "at")
+    inside = F.substr("_name", F.when(F.col("at") == "", 1).otherwise(F.char_length("at") + 2))
+    hits = met.filter(F.rlike(inside, F.col("pattern"))).groupBy("path", "at").agg(F.max_by("drops", "line").alias("drops"))
+    return hits.filter("drops").select("path").distinct()
+
+
+def kept_files(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``files(path, ...)`` but for those that are ignored themselves or lie in an ignored directory."""
+    held = files.select("path", F.explode(folders_of(F.col("path"))).alias("folder")).filter("folder <> ''")
+    folders = ignored(held.select(F.col("folder").alias("path")).distinct().withColumn("is_dir", F.lit(True)), rules)
+    below = held.join(folders.withColumnRenamed("path", "folder"), "folder", "left_semi").select("path")
+    return files.join(below.union(ignored(files.select("path", F.lit(False).alias("is_dir")), rules)), "path", "left_anti")
 
 
 def read_files(paths: DataFrame, root: str) -> DataFrame:
@@ -89,33 +100,21 @@ def read_files(paths: DataFrame, root: str) -> DataFrame:
     return paths.select("path").mapInPandas(read, "path string, content binary")
 
 
-def ignore_lines(files: DataFrame) -> dict[str, list[str]]:
-    """The lines of ignore files ``(path, content)`` by directory, for ``ignored``."""
-    rows = files.select(dirname(F.col("path")).alias("at"), F.col("content").cast("string").alias("text")).collect()  # small by nature: rules, not data
-    return {r["at"]: r["text"].splitlines() for r in rows}
-
-
 def scan_tree(spark: SparkSession, root: str, specs: dict[str, list[str]] | None = None, ignore_name: str | None = ".gitignore", extra: tuple[str, ...] = ()) -> DataFrame:
     """``path`` (relative to ``root``), ``language, content, hash, is_test`` of every source file, and of files named in ``extra`` (language null).
 
-    ``root`` is a folder that all executors see under this name.  Spark's own file sources pass over
-    names such as ``__init__.py``, so the tree is listed level by level as a job, skipped and ignored
-    directories are not descended into, and contents are read once, by the tasks that need them.  Ignore files called ``ignore_name`` are
-    read as their directories are met; ``specs`` adds rules of one's own.
+    ``root`` is a folder that all executors see under this name.  Spark's own file sources pass over names such as ``__init__.py``, so the names come from
+    ``tree_source``; contents are read once, by the tasks that need them.  The rules of ignore files called ``ignore_name`` are rows,
+    joined to what lies below them; ``specs`` adds rules of one's own by directory, before those of the files.
     """
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    level = spark.createDataFrame([("",)], "path string")
-    levels, specs = [], dict(specs or {})
-    while True:
-        listed = staged(level.mapInPandas(lambda frames: list_dirs(frames, root), "path string, is_dir boolean"), "tree")
-        if ignore_name:
-            for at, lines in ignore_lines(read_files(listed.filter(~F.col("is_dir") & (basename(F.col("path")) == ignore_name)), root)).items():
-                specs[at] = specs.get(at, []) + lines
-        kept = listed.filter(~ignored(F.when(F.col("is_dir"), F.concat("path", F.lit("/"))).otherwise(F.col("path")), specs))
-        levels.append(kept.filter(~F.col("is_dir") & (language(F.col("path")).isNotNull() | basename(F.col("path")).isin(*extra))).select("path"))
-        level = kept.filter(F.col("is_dir") & ~basename(F.col("path")).isin(*SKIPPED)).select("path")
-        if level.isEmpty():
-            break
-    files = read_files(reduce(DataFrame.union, levels), root)
+    names = staged(read_tree(spark, root, content=False).select("path"), "tree")
+    own = [(at, i - len(lines), line) for at, lines in (specs or {}).items() for i, line in enumerate(lines)]
+    lines = spark.createDataFrame(own, "at string, line int, text string")
+    if ignore_name:
+        lines = lines.union(lines_of(read_files(names.filter(basename(F.col("path")) == ignore_name), root)))
+    rules = staged(rules_of(lines), "ignore-rules")
+    wanted = names.filter(language(F.col("path")).isNotNull() | basename(F.col("path")).isin(*extra))
+    files = read_files(kept_files(wanted, rules), root)
     return files.select("path", language(F.col("path")).alias("language"), "content", short_hash(F.col("content")).alias("hash"), in_test_dir_or_name(F.col("path")).alias("is_test"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairnway.config import Options, parse_options, read_options
 from cairnway.operators import graph, order, progress, reports
 from cairnway.plans.index import entries, index, ordered
-from cairnway.sources import documents, extract, git, tree
+from cairnway.sources import documents, extract, git, tree, tree_source
 from cairnway.streaming import events
 
 TREE = {
@@ -224,8 +224,9 @@ def test_ignore_files_are_read_as_directories_are_met(spark, tmp_path):
         (tmp_path / name).write_text(text)
     assert rows(tree.scan_tree(spark, str(tmp_path)), "path") == {("a/m.py",), ("a/xy.py",), ("a/top.py",), ("keep.py",)}
     assert ("a/x1.py",) in rows(tree.scan_tree(spark, str(tmp_path), ignore_name=None), "path")
-    paths = spark.createDataFrame([("a.pyc",), ("a.py[co]",), ("x/!.c",), ("x/b.c",), ("x/].c",)], "path string")
-    hits = lambda *lines: {r.path for r in paths.filter(tree.ignored(F.col("path"), {"": list(lines)})).collect()}
+    paths = spark.createDataFrame([("a.pyc", False), ("a.py[co]", False), ("x/!.c", False), ("x/b.c", False), ("x/].c", False)], "path string, is_dir boolean")
+    rules = lambda lines: tree.rules_of(spark.createDataFrame([("", i, x) for i, x in enumerate(lines)], "at string, line int, text string"))
+    hits = lambda *lines: {r.path for r in tree.ignored(paths, rules(lines)).collect()}
     assert hits("*.py[co]") == {"a.pyc"} and hits("x/[!b].c") == {"x/!.c", "x/].c"} and hits("x/[]].c") == {"x/].c"} and hits("\\*.pyc") == set()
 
 
@@ -248,3 +249,36 @@ def test_changed_documents_are_passed_on(spark, tmp_path):
         (source / f"{i}.json").write_text(json.dumps({"n": i}, indent=1))
         events.on_change(spark, str(source), "n int", lambda df, _: seen.append([r.n for r in df.collect()]), str(tmp_path / "cp")).awaitTermination()
     assert seen == [[0], [1]]
+
+
+def test_thousands_of_ignore_files_stay_rows(spark, tmp_path):
+    for i in range(1500):
+        folder = tmp_path / f"p{i % 30}" / f"q{i}"
+        folder.mkdir(parents=True)
+        (folder / ".gitignore").write_text(f"*.tmp.py\n!keep{i}.tmp.py\r\nsub/\n")
+        for name in ("a.py", "b.tmp.py", f"keep{i}.tmp.py"):
+            (folder / name).write_text("")
+    (tmp_path / "p0/q0/sub").mkdir()
+    (tmp_path / "p0/q0/sub/c.py").write_text("")
+    (tmp_path / ".gitignore").write_text("q1*/\n!q1/\n")
+    kept = {r.path for r in tree.scan_tree(spark, str(tmp_path)).select("path").collect()}
+    wanted = [i for i in range(1500) if i == 1 or not str(i).startswith("1")]
+    assert kept == {f"p{i % 30}/q{i}/{name}" for i in wanted for name in ("a.py", f"keep{i}.tmp.py")}
+
+
+def test_the_tree_source_lists_what_conditions_leave(spark, tmp_path):
+    for name in ("a/m.py", "a/b/n.go", "a/b/c/d/o.py", "z/p.py", "z/dist/q.py", "top.ts", "notes.txt", ".hidden.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "link.py").symlink_to(tmp_path / "top.ts")
+    whole = tree_source.read_tree(spark, str(tmp_path), shards=2)
+    assert {(r.path, r.language, bytes(r.content).decode()) for r in whole.collect()} == {
+        (p, lang, p) for p, lang in (("a/m.py", "python"), ("a/b/n.go", "go"), ("a/b/c/d/o.py", "python"), ("z/p.py", "python"), ("top.ts", "script"), ("notes.txt", None), (".hidden.py", "python"))
+    }
+    below = whole.filter(F.col("path").startswith("a/b/") & F.col("language").isin("python", "go"))
+    assert {r.path for r in below.collect()} == {"a/b/n.go", "a/b/c/d/o.py"}
+    reader = tree_source.TreeReader(str(tmp_path), 50, False, tree_source.LANGUAGES)
+    assert not list(reader.pushFilters([tree_source.StringStartsWith(("path",), "a/b/"), tree_source.EqualTo(("language",), "python")]))
+    assert {s.folder for s in reader.partitions()} == {"", "a", "a/b", "a/b/c", "a/b/c/d"} and [r[0] for s in reader.partitions() for r in reader.read(s)] == ["a/b/c/d/o.py"]
+    with pytest.raises(NotADirectoryError):
+        tree_source.TreeReader(str(tmp_path / "none"), 2, False, {}).partitions()

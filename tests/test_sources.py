@@ -167,7 +167,8 @@ def test_globs_and_ignore_lines(spark):
     hits = lambda c: sorted(r.path for r in listed.filter(c).collect())
     assert hits(F.col("path").rlike(glob_regex("**/b.py"))) == ["a/b.py", "a/x/b.py"]
     assert hits(F.col("path").rlike(glob_regex("[!a]*"))) == ["b.py", "k/drop.log", "k/keep.log"]
-    assert hits(tree.ignored(F.col("path"), {"": ["*.log", "!keep.log"], "a": ["/b.py"]})) == ["a/b.py", "k/drop.log"]
+    rules = tree.rules_of(spark.createDataFrame([("", 0, "*.log"), ("", 1, "!keep.log"), ("a", 0, "/b.py")], "at string, line int, text string"))
+    assert sorted(r.path for r in tree.ignored(listed.withColumn("is_dir", F.lit(False)), rules).collect()) == ["a/b.py", "k/drop.log"]
 
 
 def test_json_documents_become_tables(spark, tmp_path):
