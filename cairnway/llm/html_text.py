@@ -6,7 +6,7 @@ measures; a bidirectional LSTM in numpy reads the whole sequence both ways, so
 that every block is labelled in the context of the whole document.  Blocks
 labelled as the article are joined in page order.
 
-The labeller is trained when the operator is called, from a fixed seed, on
+The labeller is trained when the operator is first called in a process, from a fixed seed, on
 ``GENERATED`` generated pages whose labels are known, so it needs no annotated
 corpus.  The weights are broadcast (under 1 MB).  Pages are labelled in Arrow batches, in
 groups of near-equal length and bounded area; blocks become gate inputs a slice at a time, so a page of any length
@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnway.llm.common import small_batches, with_renamed_clashes
-from cairnway.llm.html_blocks import Block, blocks_of, path_tokens, training_page
+from cairnway.llm.html_blocks import PATH_CELLS, Block, blocks_of, training_page
 
-#: Cells of the hashed tag path and of the hashed words, other measures, hidden units each way.
-PATH_CELLS, WORD_CELLS, MEASURES, HIDDEN = 512, 64, 6, 16
+#: Cells of the hashed words, other measures, hidden units each way.
+WORD_CELLS, MEASURES, HIDDEN = 64, 6, 16
 WIDTH = PATH_CELLS + WORD_CELLS + MEASURES
 #: Generated training pages, passes over them, pages of a step.
 GENERATED, PASSES, STEP_PAGES = 1200, 6, 32
@@ -41,17 +41,13 @@ GENERATED, PASSES, STEP_PAGES = 1200, 6, 32
 GROUP, AREA, SLICE = 64, 1 << 15, 1024
 
 
-@lru_cache(maxsize=20_000)
-def _path_cells(path: tuple[str, ...]) -> tuple[int, ...]:
-    return tuple({crc32(t.encode()) % PATH_CELLS for t in path_tokens(path)})
-
-
 def vectors(blocks: list[Block], start: int = 0, end: int | None = None) -> np.ndarray:
     """The vectors of the blocks from ``start`` up to ``end`` of a page."""
     some = blocks[start:end]
     out = np.zeros((len(some), WIDTH), np.float32)
-    for i, (text, path, linked) in enumerate(some):
-        out[i, list(_path_cells(path))] = 1
+    cells = b"".join(b.cells.to_bytes(PATH_CELLS // 8, "little") for b in some)
+    out[:, :PATH_CELLS] = np.unpackbits(np.frombuffer(cells, np.uint8), bitorder="little").reshape(len(some), PATH_CELLS)
+    for i, (text, _, linked) in enumerate(some):
         words = text.lower().split()
         cells = np.bincount([crc32(w.encode()) % WORD_CELLS for w in words], minlength=WORD_CELLS)
         out[i, PATH_CELLS : PATH_CELLS + WORD_CELLS] = cells / max(4.0, len(words))
@@ -156,6 +152,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+@lru_cache(maxsize=4)
 def train(generated: int = GENERATED, passes: int = PASSES, seed: int = 3) -> dict[str, np.ndarray]:
     rng = random.Random(seed)
     pages = [training_page(rng) for _ in range(generated)]
