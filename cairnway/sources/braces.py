@@ -1,46 +1,26 @@
-"""Imports, exports and functions of one script or Go file: comments and strings are blanked, braces give extents.
+"""Imports, exports and functions of one Go file: comments and strings are blanked, braces give extents.
 
-Positions in the blanked text are those of the file.  Regular expression literals of scripts are not told from divisions.
+Positions in the blanked text are those of the file.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
 NAME = r"[A-Za-z_$][\w$]*"
-#: Comments and strings (fixed by the languages).
-LITERALS = {
-    "script": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S),
-    "go": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`", re.S),
-}
-#: Words before a bracket that call nothing (fixed by the languages).
-NOT_CALLS = {"script": frozenset("if for while switch catch return function import typeof await new async super".split()), "go": frozenset("if for switch return func go defer select range".split())}
+#: Comments and strings (fixed by the language).
+LITERALS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`", re.S)
+#: Words before a bracket that call nothing (fixed by the language).
+NOT_CALLS = frozenset("if for switch return func go defer select range".split())
 CALL = re.compile(rf"({NAME}(?:\s*\??\.\s*{NAME})*)\s*\(")
-MODIFIERS = r"(?:(?:public|private|protected|static|readonly|override|abstract|declare|async|get|set)\s+)*"
-PARAMETERS = r"\((?:[^()]|\([^()]*\))*\)"
-ARROW = rf"(?:async\s*)?(?:(?:<[^<>]*>\s*)?{PARAMETERS}\s*(?::[^=;{{}}]+)?=>|{NAME}\s*=>|(?:async\s+)?function\b)"
-
-IMPORTS = [
-    re.compile(rf"(?m)^[ \t]*(?:import|export)\s+(?:type\s+)?((?:{NAME}\s*,\s*)?(?:\*(?:\s*as\s+{NAME})?|\{{[^}}]*\}})|{NAME})\s*from\s*(['\"])([^'\"\n]+)\2"),
-    re.compile(r"(?m)^[ \t]*import()\s*(['\"])([^'\"\n]+)\2"),
-    re.compile(r"(?:\b(?:const|let|var)\s+([^=;]+?)\s*=\s*(?:await\s+)?)?\brequire\(\s*(['\"])([^'\"\n]+)\2"),
-    re.compile(r"\bimport()\(\s*(['\"])([^'\"\n]+)\2"),
-]
-FUNCTION = re.compile(rf"\b(?:async\s+)?function\s*\*?\s*({NAME})\s*(?:<[^(]*>)?\s*\(")
-VARIABLE = re.compile(rf"\b(?:const|let|var)\s+({NAME})\s*(?::[^=;]+)?=\s*{ARROW}")
-CLASS = re.compile(rf"\bclass\s+({NAME})[^{{;]*\{{")
-METHOD = re.compile(rf"(?m)(?:^|(?<=[;{{}}]))[ \t]*{MODIFIERS}\*?\s*({NAME})\s*(?:<[^(]*>)?\s*{PARAMETERS}\s*(?::[^{{;]+)?\{{")
-FIELD = re.compile(rf"(?m)(?:^|(?<=[;{{}}]))[ \t]*{MODIFIERS}({NAME})\s*(?::[^=;]+)?=\s*{ARROW}")
-EXPORT = re.compile(r"\bexport\s+(default\b)?\s*(?:declare\s+)?")
-DECLARED = re.compile(rf"(?:(async\s+)?function\s*\*?\s*({NAME})?|(?:abstract\s+)?class\b(?:\s+(?!extends\b|implements\b)({NAME}))?|(interface|type|enum|const\s+enum)\s+({NAME})|(const|let|var)\s|\{{)")
-MODULE_EXPORTS = re.compile(r"(?m)^[ \t]*module\s*\.\s*exports\s*=(?!=)\s*(\{)?")
+INK = re.compile(r"\S")
 
 GO_IMPORTS = re.compile(r"(?m)^[ \t]*import\b([ \t]*\()?")
 GO_IMPORT = re.compile(r"(?:([\w.]+)[ \t]+)?\"([^\"\n]+)\"")
-GO_FUNCTION = re.compile(r"(?m)^func\s+(?:\(\s*(?:\w+\s+)?\*?\s*(\w+)[^)]*\)\s*)?(\w+)\s*[(\[]")
+GO_FUNCTION = re.compile(r"(?m)^func\s+(?:\(\s*(?:\w+\s+)?\*?\s*(\w+)[^)\n]*\)\s*)?(\w+)\s*[(\[]")
 GO_GROUP = re.compile(r"(?m)^(type|const|var)\s*(\()?")
 GO_NAMES = re.compile(r"\s*(\w+(?:\s*,\s*\w+)*)(\s*(?:\[[^\]]*\]\s*)?=?\s*struct\b)?")
 
@@ -48,14 +28,14 @@ GO_NAMES = re.compile(r"\s*(\w+(?:\s*,\s*\w+)*)(\s*(?:\[[^\]]*\]\s*)?=?\s*struct
 class Text:
     """A file, its blanked text, and where its braces and brackets close."""
 
-    def __init__(self, text: str, language: str):
+    def __init__(self, text: str):
         space = lambda m: re.sub(r"[^\n]", " ", m[0])
-        self.language, self.text = language, text
-        self.clean = LITERALS[language].sub(space, text)
+        self.clean = LITERALS.sub(space, text)
         #: Comments are blank, strings are not.
-        self.code = LITERALS[language].sub(lambda m: space(m) if m[0][:1] == "/" else m[0], text)
+        self.code = LITERALS.sub(lambda m: space(m) if m[0][:1] == "/" else m[0], text)
         self.ends = [m.end() for m in re.finditer("\n", text)]
         self.depth = [0, *accumulate({"{": 1, "}": -1}.get(c, 0) for c in self.clean)]
+        self.opens, self.stops = ([m.start() for m in re.finditer(marks, self.clean)] for marks in (r"\{", r"[;\n]"))
         self.close, stack = {}, []
         for m in re.finditer(r"[{}()]", self.clean):
             if m[0] in "{(":
@@ -68,98 +48,24 @@ class Text:
 
     def body_end(self, at: int) -> int:
         """The last position of what begins at ``at``: its closing brace, or the end of its statement."""
-        start = self.clean.find("{", at)
-        stop = re.compile(r"[;\n]").search(self.clean, at)
-        if start >= 0 and not (stop and stop.start() < start and self.clean[at:start].strip()[:1] not in ("", ":")):
+        i = bisect_left(self.opens, at)
+        start = self.opens[i] if i < len(self.opens) else -1
+        k = bisect_left(self.stops, at)
+        stop = self.stops[k] if k < len(self.stops) else None
+        first = INK.search(self.clean, at, max(start, at))
+        if start >= 0 and not (stop is not None and stop < start and first and first[0] != ":"):
             return self.close.get(start, len(self.clean) - 1)
-        return stop.start() if stop else len(self.clean) - 1
+        return stop if stop is not None else len(self.clean) - 1
 
     def calls(self, start: int, end: int) -> list[str]:
         found = {re.sub(r"\s|\?", "", m[1]) for m in CALL.finditer(self.clean, start, end + 1)}
-        return sorted(c for c in found if c not in NOT_CALLS[self.language])
+        return sorted(c for c in found if c not in NOT_CALLS)
 
     def function(self, name: str, start: int, body: int) -> tuple[str, int, int, list[str]]:
         end = self.body_end(body)
         return name, self.line(start), self.line(end), self.calls(body, end)
 
 
-def listed(clause: str) -> list[str]:
-    """The names of ``a, b as c, d: e``: each one's original."""
-    names = (re.sub(r"^type\s+|\s+as\s.*$|\s*[:=].*$", "", x.strip(), flags=re.S) for x in clause.split(","))
-    return [x for x in names if re.fullmatch(NAME, x)]
-
-
-def script_imports(t: Text) -> Iterator[tuple[str, list[str], bool]]:
-    for pattern in IMPORTS:
-        for m in pattern.finditer(t.code):
-            at = m.start() + len(m[0]) - len(m[0].lstrip())
-            if t.clean[at] == " ":  # inside a string
-                continue
-            clause = m[1] or ""
-            names = re.match(NAME, clause.strip())
-            braces = re.search(r"\{([^}]*)\}", clause)
-            found = {*([names[0]] if names else []), *(["*"] if "*" in clause else []), *(listed(braces[1]) if braces else [])}
-            yield m[3], sorted(found), m[3][:1] in "./"
-
-
-def script_exports(t: Text) -> Iterator[tuple[str, str, int]]:
-    for m in EXPORT.finditer(t.clean):
-        if t.depth[m.start()]:
-            continue
-        line, default = t.line(m.start()), bool(m[1])
-        d = DECLARED.match(t.clean, m.end())
-        if d and d[0] == "{" and not default:
-            for x in t.clean[m.end() + 1 : t.close.get(m.end(), m.end())].split(","):
-                for name in listed(x):
-                    yield name, "default" if re.search(r"\bas\s+default\b", x) else "variable", line
-        elif d and d[6]:
-            stop = re.compile(r";|\n(?=\s*(?:export|import|function|class|const|let|var)\b)|\Z").search(t.clean, d.end())
-            depth = list(accumulate((1 if c in "([{<" else -1 if c in ")]}>" else 0) for c in t.clean[d.end() : stop.start()].replace("=>", "  ")))
-            starts = [0, *[i + 1 for i, c in enumerate(t.clean[d.end() : stop.start()]) if c == "," and depth[i] == 0]]
-            for at in starts:
-                name = re.compile(rf"\s*({NAME})").match(t.clean, d.end() + at)
-                if name:
-                    yield name[1], "variable", line
-        elif d and d[5]:
-            yield d[5], "type", line
-        elif d and d[0] != "{" and (d[2] or d[3]):
-            yield d[2] or d[3], "default" if default else "function" if d[2] else "class", line
-        elif default:
-            yield "default", "default", line
-    for m in MODULE_EXPORTS.finditer(t.clean):
-        if t.depth[m.start()]:
-            continue
-        if not m[1]:
-            yield "default", "default", t.line(m.start(0) + len(m[0]) - len(m[0].lstrip()))
-            continue
-        start, end = m.start(1), t.close.get(m.start(1), len(t.clean))
-        for x in re.finditer(rf"(?:^|,)\s*({NAME})\s*(?=[,:]|$)", t.clean[start + 1 : end]):
-            if t.depth[start + 1 + x.start(1)] == t.depth[start] + 1:
-                yield x[1], "variable", t.line(m.start(0) + len(m[0]) - len(m[0].lstrip()))
-
-
-def script_functions(t: Text) -> Iterator[tuple[str, int, int, list[str]]]:
-    for m in FUNCTION.finditer(t.clean):
-        if not t.depth[m.start()]:
-            yield t.function(m[1], m.start(), t.close.get(m.end() - 1, m.end()))
-    for m in VARIABLE.finditer(t.clean):
-        if not t.depth[m.start()]:
-            yield t.function(m[1], m.start(), m.end())
-    for c in CLASS.finditer(t.clean):
-        if t.depth[c.start()]:
-            continue
-        start, end = c.end() - 1, t.close.get(c.end() - 1, len(t.clean))
-        for pattern in (METHOD, FIELD):
-            for m in pattern.finditer(t.clean, start + 1, end):
-                if t.depth[m.start(1)] == 1 and m[1] not in NOT_CALLS["script"]:
-                    yield t.function(f"{c[1]}.{m[1]}", m.start(1), m.end() - 1 if pattern is METHOD else m.end())
-
-
-def read_script(text: str) -> dict:
-    t = Text(text, "script")
-    return {"imports": list(dict.fromkeys((s, tuple(n), r) for s, n, r in script_imports(t))), "exports": list(dict.fromkeys(script_exports(t))), "functions": sorted(script_functions(t), key=lambda f: (f[1], f[0])), "has_guard": False}
-
-
 def go_imports(t: Text) -> Iterator[tuple[str, tuple[str, ...], bool]]:
     for m in GO_IMPORTS.finditer(t.clean):
         line_end = t.clean.find("\n", m.end())
@@ -184,7 +90,7 @@ def go_exports(t: Text) -> Iterator[tuple[str, str, int]]:
 
 
 def read_go(text: str) -> dict:
-    t = Text(text, "go")
+    t = Text(text)
     functions = []
     for m in GO_FUNCTION.finditer(t.clean):
         functions.append(t.function(f"{m[1]}.{m[2]}" if m[1] else m[2], m.start(), t.close.get(m.end() - 1, m.end())))

@@ -1,6 +1,6 @@
 """Imports, exports and functions of source files, one small helper a file in Arrow batches.
 
-Python files go through the standard parser, scripts and Go through the scanner of ``braces``.  ``LANGUAGES`` says which table
+Python files go through the standard parser, scripts through the tokens of ``script``, Go through the scanner of ``braces``.  ``LANGUAGES`` says which table
 function reads a language; ``register`` adds another with its suffixes.
 """
 
@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from cairnway.sources import tree
-from cairnway.sources.braces import read_go, read_script
+from cairnway.sources.braces import read_go
+from cairnway.sources.script import read_script
 
 SHAPE = (
     "imports array<struct<source:string,specifiers:array<string>,is_relative:boolean>>, exports array<struct<name:string,kind:string,line:int>>, "

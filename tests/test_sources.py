@@ -8,7 +8,7 @@ from cairnway.functions import paths
 from cairnway.functions.paths import glob_regex
 from cairnway.operators import graph, order
 from cairnway.operators.resolve import go_modules, resolve_go, resolve_python, resolve_script
-from cairnway.sources import braces, documents, extract, tree
+from cairnway.sources import braces, documents, extract, tree, script
 from cairnway.streaming import events
 
 
@@ -89,18 +89,66 @@ export { u } from './u'
 
 
 def test_the_scanner_reads_scripts():
-    got = braces.read_script(SCRIPT)
+    got = script.read_script(SCRIPT)
     assert got["imports"] == [("./b", ("b", "d", "e"), True), ("./u", ("u",), True)]
     assert sorted(got["exports"], key=lambda e: (e[2], e[0])) == [
         ("go", "function", 4), ("one", "variable", 10), ("three", "variable", 10), ("two", "variable", 10), ("Foo", "default", 11), ("q", "variable", 19), ("t", "default", 19),
         ("I", "type", 20), ("E", "type", 21), ("go", "variable", 23), ("nested", "variable", 23), ("other", "variable", 23), ("default", "default", 24), ("u", "variable", 25),
     ]
     assert got["functions"] == [
-        ("go", 4, 6, ["b", "z.k"]), ("h", 7, 9, ["go"]), ("Foo.constructor", 12, 12, ["this.q.r"]), ("Foo.run", 13, 15, ["step"]), ("Foo.field", 16, 16, ["other"]),
+        ("go", 4, 6, ["b", "z.k"]), ("h", 7, 9, ["go"]), ("three", 10, 10, []), ("Foo.constructor", 12, 12, ["this.q.r"]), ("Foo.run", 13, 15, ["step"]), ("Foo.field", 16, 16, ["other"]),
         ("Foo.gen", 17, 17, ["k"]), ("g", 22, 22, ["w"]),
     ]
-    assert braces.read_script("module.exports = make()\n")["exports"] == [("default", "default", 1)]
-    assert braces.read_script("{ '" + "x" * 10_000) == {"imports": [], "exports": [], "functions": [], "has_guard": False}
+    assert script.read_script("module.exports = make()\n")["exports"] == [("default", "default", 1)]
+    assert script.read_script("{ '" + "x" * 10_000) == {"imports": [], "exports": [], "functions": [], "has_guard": False}
+
+
+FORMS = """const half = (a) => a / 2 / g(a)
+const quoted = /[/'"`{]+/g, other = 1
+export const typed: Map<string, (x: number) => void> = new Map()
+const f: (a: A, b?: { c: number }) => B =
+  async (a, b) => go(a)
+const text = `one ${two(`in ${deep({ a: "}" })}`)} export const no = 1`
+function over(a: string): string
+function over(a: any): { b: C } { return h(a) }
+export abstract class Box<T extends { a: B }> extends Base<T> implements I<X> {
+  private readonly items: Array<() => void> = []
+  static get size(): number { return this.items.length }
+  handler = async <T,>(e: Event): Promise<void> => { on(e) }
+  protected abstract draw(): void
+  set value(v) { put(v) }
+}
+export type { Q } from './types'
+export * as all from "./all"
+const late = await import('./late'), b = require("./b"); const { c, d: e } = require('./c')
+if (x) { const hidden = () => 1 }
+import json, { a as b, type T } from "./json"; import './side'
+export default (x) => x
+"""
+
+
+def test_the_scanner_knows_what_a_slash_and_a_template_are():
+    got = script.read_script(FORMS)
+    assert got["imports"] == [
+        ("./types", ("Q",), True), ("./all", ("*",), True), ("./late", (), True), ("./b", ("b",), True), ("./c", ("c", "d"), True), ("./json", ("T", "a", "json"), True), ("./side", (), True),
+    ]
+    assert got["exports"] == [("typed", "variable", 3), ("Box", "class", 9), ("default", "default", 21)]
+    assert got["functions"] == [
+        ("half", 1, 1, ["g"]), ("f", 4, 5, ["go"]), ("over", 8, 8, ["h"]), ("Box.size", 11, 11, []), ("Box.handler", 12, 12, ["on"]), ("Box.value", 14, 14, ["put"]),
+    ]
+
+
+def test_the_scanner_takes_time_in_proportion():
+    import time
+
+    def seconds(piece, n):
+        start = time.perf_counter()
+        script.read_script(piece * n)
+        return time.perf_counter() - start
+
+    for piece in ("const a: \n", "class A ", "function f<", "(", "import {", "const f = x => 1\n", "`${", "'", "} = require('a') ", "var a = b,\n", "<", "/"):
+        seconds(piece, 500)
+        assert seconds(piece, 16_000) < 3 * 8 * seconds(piece, 2_000) + 1, piece
 
 
 GO = """package main
