@@ -23,7 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from cairnway.llm.common import small_batches
 #: White space of the tokenizers' pattern (the Unicode property; Python's ``\s`` has four more).
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACES}]*+[^{SPACES}]++|[{SPACES}]++")
-#: Units that a worker remembers; beyond it (or 16 ids a unit) it starts anew.
-KNOWN = 400_000
+#: Units that a worker remembers; beyond it (or 16 ids a unit) it keeps those that it met most often, half as many at most.
+KNOWN = 600_000
 #: Rows between two entries of the row index, and bytes of a stripe.
 ROW_STRIDE, STRIPE_BYTES = 1_000, 16 << 20
 MANIFEST = "_manifest"
@@ -77,6 +77,12 @@ def _plain(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(i) for i in ids], np.int64)
 
 
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The positions of spans, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
 class _Units:
     """Encodes texts as their units; the ids of known units lie one after the other in ``flat``."""
 
@@ -86,19 +92,28 @@ class _Units:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes a token stands for
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.starts, self.uses = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keeps the units met more than once, the most frequent half of them if they are too many and none if they are too long."""
+        counts = np.diff(self.starts)
+        kept = np.flatnonzero(self.uses > 1)
+        kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")][: KNOWN // 2])
+        if counts[kept].sum() > 8 * KNOWN:
+            kept = kept[:0]
+        names = list(self.number)
+        self.flat = self.flat[_spans(self.starts[kept], counts[kept])]
+        self.starts = np.concatenate([[0], np.cumsum(counts[kept])])
+        self.number, self.uses = {names[i]: n for n, i in enumerate(kept.tolist())}, np.ones(len(kept), np.int64)
 
     def learn(self, units: list[str]) -> None:
         joined = [u for u in units if u[0] in " \n" and u[-1] not in " \n"]  # white space in front: encoded in one string as alone
         alone = set(units).difference(joined)
         flat, counts, names = [self.flat], [np.diff(self.starts)], []
-        for i in range(0, len(joined), TOGETHER):
-            part = joined[i : i + TOGETHER]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.int32)
+        parts = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
             ends = np.cumsum(self.width[ids])
             wanted = np.cumsum([len(u.encode()) for u in part])
             at = np.searchsorted(ends, wanted)
@@ -116,15 +131,19 @@ class _Units:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > KNOWN or len(self.flat) > 16 * KNOWN:
-            self.forget()
+            self.shrink()
         split = [UNIT.findall(t) for t in texts]
-        new = [u for u in set(chain.from_iterable(split)) if u not in self.number]
-        if new:
-            self.learn(new)
-        units = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64)
+        every = list(chain.from_iterable(split))
+        units = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(units < 0)
+        if len(missing):
+            unknown = [every[i] for i in missing.tolist()]
+            self.learn(list(set(unknown)))
+            units[missing] = [self.number[u] for u in unknown]
+        self.uses = np.pad(self.uses, (0, len(self.number) - len(self.uses))) + np.bincount(units, minlength=len(self.number))
         counts = np.diff(self.starts)[units]
         ends = np.cumsum(counts)
-        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[units] - ends + counts, counts)]
+        flat = self.flat[_spans(self.starts[units], counts)]
         last = np.cumsum([len(u) for u in split], dtype=np.int64)
         return flat, np.diff(np.concatenate([[0], ends])[last], prepend=0)
 
