@@ -95,12 +95,19 @@ def find_symbol(order: DataFrame) -> DataFrame:
     return named.groupBy("symbol").agg(F.min_by("path", F.struct("index", "path")).alias("path"))
 
 
-def blast_result(symbol: str, order: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row ``symbol, source_file, affected_count``: how many files depend on the symbol's file; no row if nothing exports it."""
+def blast_result(symbol: str, order: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """One row ``symbol, source_file, affected_files, affected_count``: the files that depend on the symbol's file, sorted; no row if nothing exports it.
+
+    More than ``most`` files are counted only (``affected_files`` is null); ``fixpoint.reach`` gives them as rows.
+    """
     home = find_symbol(order.select("index", "path", F.filter("exports", lambda x: x == symbol).alias("exports")))
     home = staged(home, "symbol")  # a row at most
-    affected = reach(home.select("path"), edges).agg(F.count("*").alias("affected_count"))
-    return home.join(F.broadcast(affected), F.lit(True)).select("symbol", F.col("path").alias("source_file"), "affected_count")
+    found = reach(home.select("path"), edges).select("path")
+    total = found.agg(F.count("*").alias("affected_count"))
+    named = found.orderBy("path").limit(most + 1).agg(F.array_sort(F.collect_list("path")).alias("affected_files"))
+    few = F.when(F.col("affected_count") <= most, F.col("affected_files")).alias("affected_files")
+    rows = home.join(F.broadcast(total), F.lit(True)).join(F.broadcast(named), F.lit(True))  # single rows
+    return rows.select("symbol", F.col("path").alias("source_file"), few, "affected_count")
 
 
 def dir_tree(files: DataFrame, group: str = "layer") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairnway.config import Options
 from cairnway.functions.paths import code_lines
 from cairnway.operators import graph, order
-from cairnway.operators.resolve import go_modules, resolve_go, resolve_python, resolve_script
+from cairnway.operators.resolve import go_modules, package_files, resolve_go, resolve_python, resolve_script
 from cairnway.plans import fixpoint
 from cairnway.plans.staging import staged
 from cairnway.sources import extract, tree
@@ -51,8 +51,11 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     return own("imports").withColumnRenamed("path", "src"), own("exports"), own("functions"), facts
 
 
-def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
-    """``src, source, specifiers, dst`` by the rules of each file's language; ``modules(module, dir)`` name Go roots."""
+def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None, go_files: bool = False) -> DataFrame:
+    """``src, source, specifiers, dst`` by the rules of each file's language; ``modules(module, dir)`` name Go roots.
+
+    A Go import leads to a directory; with ``go_files`` to the files in it, so that Go files are linked with each other.
+    """
     tagged = imports.withColumn("language", tree.language(F.col("src")))
     found = resolve_python(tagged.filter("language = 'python'"), files)
     script = tagged.filter("language = 'script'")
@@ -60,7 +63,8 @@ def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = No
     found = found.unionByName(script.select("src", "source", "specifiers").distinct().join(links, ["src", "source"]))
     if modules is not None:
         go = tagged.filter("language = 'go'")
-        found = found.unionByName(go.select("src", "source", "specifiers").distinct().join(resolve_go(go, modules), ["src", "source"]))
+        packages = go.select("src", "source", "specifiers").distinct().join(resolve_go(go, modules), ["src", "source"])
+        found = found.unionByName(package_files(packages, files) if go_files else packages)
     return found
 
 

@@ -471,12 +471,13 @@ def symbol_home(spark, d):
 
 @query()
 def blast_result(spark, d):
-    return graph.blast_result("s3", shipped(spark, d), views.edges_cyc(spark, d))
+    found = graph.blast_result("s3", shipped(spark, d), views.edges_cyc(spark, d))
+    return found.withColumn("affected_files", F.array_join("affected_files", ","))
 
 
 ORACLES["blast_result"] = f"""WITH RECURSIVE {VIEWS}, home AS (SELECT l_partkey AS path FROM lineitem WHERE l_suppkey = 3 ORDER BY l_partkey % 97, l_partkey LIMIT 1),
 hit AS (SELECT src AS path FROM cyc WHERE dst IN (SELECT path FROM home) UNION SELECT e.src FROM hit h JOIN cyc e ON e.dst = h.path)
-SELECT 's3' AS symbol, (SELECT path FROM home) AS source_file, (SELECT count(*) FROM hit) AS affected_count"""
+SELECT 's3' AS symbol, (SELECT path FROM home) AS source_file, (SELECT coalesce(array_to_string(list_sort(list(path)), ','), '') FROM hit) AS affected_files, (SELECT count(*) FROM hit) AS affected_count"""
 
 
 @query()

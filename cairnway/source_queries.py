@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnway.functions import paths as P
-from cairnway.operators import graph, lifecycle, order, progress, reports
+from cairnway.operators import graph, lifecycle, order, progress, reports, resolve
 from cairnway.plans import fixpoint, index, views
 from cairnway.plans.staging import staged
 from cairnway.plans.views import PYTHON_MODULE_SQL, PYTHON_PATH_SQL, table
-from cairnway.queries import ORACLES, READ_SQL, VIEWS, changes, query, state, usage
+from cairnway.queries import ORACLES, READ_SQL, SCC_SQL, VIEWS, changes, query, state, usage
 from cairnway.sources import documents, tree
 from cairnway.streaming import events
 
@@ -343,10 +343,56 @@ def progress_document(spark, d):
     return documents.progress_of(documents.read_progress(spark, path)).files
 
 
-@query("SELECT path, depth, scc FROM (SELECT e.path, d.depth::INT AS depth, NULL::BIGINT AS scc FROM nodes e JOIN dep d USING (path)) WHERE path % 2 = 1")
+@query()
 def indexed_graph(spark, d):
-    """Depth and components of a tree's graph, as the index joins them."""
-    edges = views.edges_dag(spark, d)
+    """Depth and components of a graph with cycles, as the index joins them."""
+    edges = views.edges_cyc(spark, d)
     members = fixpoint.components(edges)
-    rows = fixpoint.depths(views.nodes(spark, d).select("path"), fixpoint.acyclic(edges, members)).join(members, "path", "left")
-    return rows.filter("path % 2 = 1").select("path", "depth", "scc")
+    return fixpoint.depths(views.nodes(spark, d).select("path"), fixpoint.acyclic(edges, members)).join(members, "path", "left").select("path", "depth", "scc")
+
+
+ORACLES["indexed_graph"] = f"""WITH RECURSIVE {VIEWS} {SCC_SQL}, free AS (
+  SELECT c.src, c.dst FROM cyc c LEFT JOIN scc a ON a.path = c.src LEFT JOIN scc b ON b.path = c.dst WHERE c.src <> c.dst AND (a.scc IS NULL OR b.scc IS NULL OR a.scc <> b.scc)
+), way AS (SELECT path, 0 AS depth FROM nodes UNION SELECT f.src, w.depth + 1 FROM way w JOIN free f ON f.dst = w.path)
+SELECT n.path, n.depth::INT AS depth, s.scc FROM (SELECT path, max(depth) AS depth FROM way GROUP BY path) n LEFT JOIN scc s USING (path)"""
+
+
+@query("SELECT upd.path, 'e' || (ts % 3) AS name, strftime(max(t), '%H:%M:%S') AS read_at FROM (SELECT path, epoch_us(ts) AS ts, ts AS t FROM upd) upd JOIN ord USING (path) GROUP BY ALL")
+def progress_exports(spark, d):
+    """Exports that were read, by way of a progress document that is written and read back."""
+    marks = views.updates(spark, d).join(views.order(spark, d).select("path"), "path").select(
+        "path", F.concat(F.lit("e"), F.unix_micros(F.col("seq.ts").cast("timestamp")) % 3).alias("name"), "seq", F.date_format("seq.ts", "HH:mm:ss").alias("at"), F.lit(None).cast("string").alias("summary")
+    )
+    named = marks.withColumn("path", F.col("path").cast("string"))
+    now = begun(spark, d)
+    now = lifecycle.exports_read(now._replace(files=now.files.withColumn("path", F.col("path").cast("string"))), named)
+    with_document = staged(documents.progress_document(now), "document")
+    return lifecycle.exports_of(documents.progress_of(with_document)).select(F.col("path").cast("long").alias("path"), "name", "read_at")
+
+
+@query("SELECT idx % 3 = 0 AS is_current, count(*) AS n FROM ord GROUP BY 1")
+def current_maps(spark, d):
+    """The stale-map check over one progress a user."""
+    every = views.order(spark, d).select(F.when(F.col("index") % 3 == 0, "new").when(F.col("index") % 3 == 1, "old").alias("map_hash"))
+    return lifecycle.is_current(lifecycle.Progress(every, every), "new").groupBy("is_current").agg(F.count("*").alias("n"))
+
+
+@query("SELECT path, status FROM (SELECT coalesce(a.path, b.path) AS path, a.status AS was, b.status FROM (SELECT idx AS path, CASE WHEN idx % 2 = 0 THEN 'unread' ELSE 'skimmed' END AS status FROM ord WHERE idx % 5 <> 0) a FULL JOIN st b ON a.path = b.path) WHERE was IS DISTINCT FROM status")
+def synced_status(spark, d):
+    """What changes in what is shown when a state takes its place."""
+    shown = views.order(spark, d).filter("index % 5 <> 0").select("path", F.when(F.col("index") % 2 == 0, "unread").otherwise("skimmed").alias("status"))
+    return events.synced(shown, state(spark, d))[1]
+
+
+PACKAGES = "SELECT p_partkey AS k, 'pkg' || (p_partkey % 9) || '/m' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN '_test.go' WHEN p_partkey % 7 = 0 THEN '.py' ELSE '.go' END AS path FROM part"
+
+
+@query(f"SELECT a.path AS src, b.path AS dst FROM ({PACKAGES}) a JOIN ({PACKAGES}) b ON starts_with(b.path, 'pkg' || (a.k % 5) || '/') WHERE a.path LIKE '%.go' AND b.path LIKE '%.go' AND b.path NOT LIKE '%_test.go'")
+def go_package_links(spark, d):
+    """Imports of Go packages as links to the files in them."""
+    part = table(spark, d, "part").selectExpr("p_partkey AS k")
+    end = F.when(F.col("k") % 4 == 0, "_test.go").when(F.col("k") % 7 == 0, ".py").otherwise(".go")
+    files = part.select("k", F.concat(F.lit("pkg"), F.col("k") % 9, F.lit("/m"), "k", end).alias("path"))
+    imports = files.filter(F.col("path").endswith(".go")).select(F.col("path").alias("src"), F.concat(F.lit("ex.org/r/pkg"), F.col("k") % 5).alias("source"))
+    modules = spark.createDataFrame([("ex.org/r", "")], "module string, dir string")
+    return resolve.package_files(resolve.resolve_go(imports, modules), files).select("src", "dst")
