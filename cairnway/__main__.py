@@ -11,10 +11,10 @@ from pyspark.sql import SparkSession
 
 from cairnway.config import read_options
 from cairnway.operators import order, reports
-from cairnway.operators.lifecycle import Progress, begun_or_refreshed
+from cairnway.operators.lifecycle import Progress, begun_or_refreshed, exports_of
 from cairnway.operators.progress import hash_diff, utc_now
 from cairnway.plans.index import entries, index
-from cairnway.plans.staging import staged
+from cairnway.plans.staging import clear, held, staged
 from cairnway.sources import git
 from cairnway.sources.documents import hashes_or_none, map_document, map_hash, progress_document, progress_or_none, read_map, write_document, write_table
 
@@ -31,10 +31,11 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     out = Path(args.out) if args.out else root / ".cairnway"
     spark = SparkSession.builder.appName("cairnway").getOrCreate()
+    since = held(spark)
     known = staged(hashes_or_none(spark, str(out / "map.json")), "known")
     before = progress_or_none(spark, str(out / "progress.json"))
     if before is not None:
-        before = Progress(staged(before.meta, "progress-meta"), staged(before.files, "progress-files"))
+        before = Progress(staged(before.meta, "progress-meta"), staged(before.files, "progress-files"), staged(exports_of(before), "progress-exports"))
     found = index(spark, str(root), read_options(out))
     for field in fields(found):
         write_table(getattr(found, field.name), str(out / field.name))
@@ -51,6 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.verbose:
         for row in found.order.groupBy("pass").count().collect():  # three rows at most
             print(f"{row['pass']}: {row['count']}")
+    clear(spark, since)
     return 0
 
 

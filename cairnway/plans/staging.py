@@ -17,6 +17,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: The tables that each application has staged and not deleted.
+_OWNED: dict[str, list[str]] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -65,7 +67,24 @@ def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
-    return _written(df, label)[0]
+    table, path = _written(df, label)
+    _OWNED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return table
+
+
+def held(spark: SparkSession) -> int:
+    """How many tables this application has staged and not deleted."""
+    return len(_OWNED.get(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, since: int = 0) -> int:
+    """Deletes what this application has staged, but for its first ``since`` tables, and says how many; for the end of a run, when its results are written."""
+    owned = _OWNED.get(spark.sparkContext.applicationId, [])
+    paths = owned[since:]
+    del owned[since:]
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
 
 
 @contextmanager

@@ -147,3 +147,16 @@ def test_renames_are_a_removal_and_an_addition(spark):
     rows = [("A", "a", None), ("M", "b", None), ("D", "c", None), ("R100", "d", "e"), ("X", "f", None)]
     got = {tuple(r) for r in progress.git_changes(spark.createDataFrame(rows, "status string, path string, new_path string")).collect()}
     assert got == {("a", "new"), ("b", "modified"), ("c", "removed"), ("d", "removed"), ("e", "new")}
+
+
+@pytest.mark.parametrize(("seed", "links", "task_files"), [(0, 60, 3), (1, 90, 1)])
+def test_large_passes_are_put_in_order_by_phases(spark, seed, links, task_files):
+    """Two repositories whose paths are the same; with cycles, or with all links one way."""
+    rng = random.Random(seed)
+    names = [f"m{i}" for i in range(30)]
+    pairs = {tuple(rng.sample(range(30), 2)) for _ in range(links)}
+    pairs = {(max(p), min(p)) for p in pairs} if seed else pairs | {(0, 1), (1, 0), (2, 2)}
+    files = spark.createDataFrame([(f"r{i % 2}", "p", n, rng.randrange(3), rng.randrange(4)) for i, n in enumerate(names)], "repo_id string, pass string, path string, layer_rank int, fan_in long")
+    edges = spark.createDataFrame([(r, names[a], names[b]) for r in ("r0", "r1") for a, b in pairs], "repo_id string, src string, dst string")
+    whole = {tuple(r) for r in order.topological(files, edges).collect()}
+    assert len(whole) == 30 and {tuple(r) for r in order.topological(files, edges, task_files).collect()} == whole

@@ -188,6 +188,7 @@ def test_the_command_line_writes_tables(spark, root, tmp_path, capsys):
     assert begun["files"]["app/run.py"]["status"] == "unread" and begun["map_hash"] == documents.map_hash(maps).first().hash
     # A second run refreshes: what was read of unchanged files stays.
     begun["files"]["app/run.py"] |= {"status": "confirmed", "read_at": "2026-01-01T00:00:00Z", "summary": "runs"}
+    begun["files"]["app/tools.py"]["exports_read"] = {"a": {"read_at": "2026-01-01T00:00:00Z", "summary": None}}
     begun["next_unread_index"] = 4
     (tmp_path / "out" / "progress.json").write_text(json.dumps(begun))
     (root / "app" / "more.py").write_text("print(2)\n")
@@ -195,6 +196,7 @@ def test_the_command_line_writes_tables(spark, root, tmp_path, capsys):
     later = json.loads((tmp_path / "out" / "progress.json").read_text())
     run = later["files"]["app/run.py"]
     assert (run["status"], run["note"], run["summary"], later["next_unread_index"]) == ("flagged", "stale: depends on app/more.py", "runs", 0) and later["stats"]["flagged"] == 1
+    assert later["files"]["app/tools.py"]["exports_read"]["a"]["read_at"] == "2026-01-01T00:00:00Z" and run["exports_read"] == {}
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(("map.json.", "progress.json."))]
 
 

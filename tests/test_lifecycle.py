@@ -6,6 +6,7 @@ import pytest
 
 from cairnway.sources import documents
 from cairnway.operators import lifecycle, reports
+from cairnway.plans import staging
 
 ORDER = "index int, path string, layer string, reason string, complexity string, line_count int, imports array<string>, imported_by array<string>, exports array<string>"
 UPDATES = "path string, seq long, status string, note string, summary string, at string"
@@ -126,3 +127,11 @@ def test_exports_read_come_through_every_transition(spark, tmp_path):
     now = lifecycle.refreshed(done, changes, none, entries, "h2")
     documents.write_document(documents.progress_document(now), path)
     assert exports(documents.progress_of(documents.read_progress(spark, path))) == {("a.py", "f", "T2", "again"), ("a.py", "k", "T5", None)}
+
+
+def test_what_a_run_has_staged_can_be_deleted(spark):
+    since = staging.held(spark)
+    table, other = staging.staged(spark.range(3), "one"), staging.staged(spark.range(4), "two")
+    assert (table.count(), other.count()) == (3, 4) and staging.clear(spark, since) == 2 and staging.clear(spark, since) == 0
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(table.inputFiles()[0])

@@ -1,12 +1,13 @@
 """Trees, extraction, resolution, JSON documents and the event stream on small fixtures."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from cairnway.functions import paths
 from cairnway.functions.paths import glob_regex
-from cairnway.operators import graph, order
+from cairnway.operators import graph, order, resolve
 from cairnway.operators.resolve import go_modules, resolve_go, resolve_python, resolve_script
 from cairnway.sources import braces, documents, extract, tree, script
 from cairnway.streaming import events
@@ -278,3 +279,21 @@ def test_paths_below_a_root(spark):
     df = spark.createDataFrame([("/repo/a.py",), ("/repo2/a.py",), ("/repo",), ("a.py",)], "path string")
     assert [r[0] for r in df.select(paths.below_root(F.col("path"), "/repo/")).collect()] == ["a.py", None, None, None]
     assert [r[0] for r in df.select(order.is_script_entry(F.concat("path", F.lit("/index.ts")))).collect()] == [True] * 4
+
+
+def test_code_lines_see_all_line_ends_and_blanks(spark):
+    rng = random.Random(1)
+    pieces = list("ab# \t\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　​") + ["\r\n"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(800)] + ["x = 1\r\n\r\n\t# c\r\n\t\r\ny = 2", None]
+    want = [sum(1 for line in (t or "").splitlines() if line.strip() and not line.strip().startswith("#")) for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(paths.code_lines(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == want and want[-2] == 2
+
+
+def test_go_packages_can_stand_for_their_files(spark):
+    files = spark.createDataFrame([("a/x.go",), ("a/y.go",), ("a/y_test.go",), ("b/z.go",)], "path string")
+    links = spark.createDataFrame([("b/z.go", "m/a", "a"), ("b/z.go", "m/none", "none")], "src string, source string, dst string")
+    assert {tuple(r) for r in resolve.package_files(links, files).collect()} == {("b/z.go", "m/a", "a/x.go"), ("b/z.go", "m/a", "a/y.go")}
+    imports = spark.createDataFrame([("a/b/c.ts", "../x")], "src string, source string")
+    tree_ = spark.createDataFrame([("a/x.ts",)], "path string")
+    assert resolve.resolve_script(imports, tree_).count() == 1 and resolve.resolve_script(imports, tree_, compat=True).count() == 0
