@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnway.functions import paths as P
 from cairnway.operators import graph, lifecycle, order, progress, reports, resolve
-from cairnway.plans import fixpoint, index, views
+from cairnway.plans import fixpoint, index, spread, views
 from cairnway.plans.staging import staged
 from cairnway.plans.views import PYTHON_MODULE_SQL, PYTHON_PATH_SQL, table
 from cairnway.queries import ORACLES, READ_SQL, SCC_SQL, VIEWS, changes, query, state, usage
@@ -396,3 +396,15 @@ def go_package_links(spark, d):
     imports = files.filter(F.col("path").endswith(".go")).select(F.col("path").alias("src"), F.concat(F.lit("ex.org/r/pkg"), F.col("k") % 5).alias("source"))
     modules = spark.createDataFrame([("ex.org/r", "")], "module string, dir string")
     return resolve.package_files(resolve.resolve_go(imports, modules), files).select("src", "dst")
+
+
+@query()
+def dependents_of_all(spark, d):
+    """Exact sets of dependents of all files at once; where there are more than 40 with the file itself, that there are."""
+    rows = spread.dependents(views.nodes(spark, d).select("path"), views.edges_cyc(spark, d), most=40)
+    return rows.select("path", "exact", F.when(F.col("exact"), F.col("n_dependents")).alias("n_dependents"), F.array_join("dependents", ",").alias("dependents"))
+
+
+ORACLES["dependents_of_all"] = f"""WITH RECURSIVE {VIEWS}, clo AS (SELECT src, dst FROM cyc UNION SELECT c.src, e.dst FROM clo c JOIN cyc e ON e.src = c.dst),
+met AS (SELECT n.path, count(c.src) AS n, coalesce(string_agg(c.src::VARCHAR, ',' ORDER BY c.src), '') AS who FROM nodes n LEFT JOIN clo c ON c.dst = n.path AND c.src <> n.path GROUP BY n.path)
+SELECT path, n < 40 AS exact, CASE WHEN n < 40 THEN n END AS n_dependents, CASE WHEN n < 40 THEN who END AS dependents FROM met"""

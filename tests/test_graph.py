@@ -6,7 +6,7 @@ import time
 import pytest
 
 from cairnway.operators import graph, order, progress
-from cairnway.plans import fixpoint
+from cairnway.plans import fixpoint, spread
 
 
 def frames(spark, n, edges):
@@ -160,3 +160,25 @@ def test_large_passes_are_put_in_order_by_phases(spark, seed, links, task_files)
     edges = spark.createDataFrame([(r, names[a], names[b]) for r in ("r0", "r1") for a, b in pairs], "repo_id string, src string, dst string")
     whole = {tuple(r) for r in order.topological(files, edges).collect()}
     assert len(whole) == 30 and {tuple(r) for r in order.topological(files, edges, task_files).collect()} == whole
+
+
+def test_dependents_are_exact_where_few_and_estimated_where_many(spark):
+    """A star of chains with a cycle: 600 files depend on the hub, few on the others."""
+    edges = [(i, i // 3 if i % 3 else 0) for i in range(1, 600)] + [(600, 1), (1, 600)]
+    files, table = frames(spark, 602, edges)
+    behind = {}
+    for a, b in edges:
+        behind.setdefault(b, set()).add(a)
+    want = {}
+    for p in range(602):
+        seen, todo = set(), [p]
+        while todo:
+            new = behind.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        want[p] = seen - {p}
+    got = {r.path: r for r in spread.dependents(files, table, most=30).collect()}
+    assert set(got) == set(want) and any(not r.exact for r in got.values())
+    for p, r in got.items():
+        assert r.exact == (len(want[p]) < 30)
+        assert set(r.dependents) == want[p] and r.n_dependents == len(want[p]) if r.exact else abs(r.n_dependents - len(want[p])) <= 0.1 * len(want[p]) + 1
