@@ -37,7 +37,7 @@ from cairnway.llm.common import small_batches
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACES}]*+[^{SPACES}]++|[{SPACES}]++")
 #: Units that a worker remembers; beyond it (or 16 ids a unit) it keeps those that it met most often, half as many at most.
-KNOWN = 600_000
+KNOWN = 800_000
 #: Rows between two entries of the row index, and bytes of a stripe.
 ROW_STRIDE, STRIPE_BYTES = 1_000, 16 << 20
 MANIFEST = "_manifest"
@@ -172,7 +172,7 @@ def write_tokens(
 ) -> None:
     """Encodes every document with its end id and writes the files and their manifest to the new folder ``path``."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 512)
     with open(tokenizer_file, encoding="utf-8") as file:
         definition = spark.sparkContext.broadcast(file.read())  # a vocabulary, a few MB
     rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -212,5 +212,5 @@ def with_checksums(tokens: DataFrame) -> DataFrame:
             sums = [zlib.crc32(ids.values.to_numpy().astype("<u4").tobytes()) for ids in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sums, pa.int64())], schema=schema)
 
-    small_batches(tokens.sparkSession)
+    small_batches(tokens.sparkSession, 512)
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(check, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
