@@ -7,8 +7,9 @@ by id reads the footers and the matching row groups.  ``_manifest`` beside the f
 it, so a reader knows every document's place among all ids without reading any ids.
 
 Encoding: the byte-level tokenizers split a text between what is not white space and white space before any merge, so a text is encoded as
-its units (white space, then what follows up to the next white space), and a unit that was met before is not encoded again.  For every other
-tokenizer file texts are encoded whole.
+its units (white space, then what follows up to the next white space), and a unit that was met before is not encoded again.  They also split a
+text between a letter and a mark or digit behind it, and so do units.  Arrow finds the distinct units of a batch; only these become Python
+strings and are looked up.  For every other tokenizer file texts are encoded whole.
 
 Defined results: a null or empty text holds the end id only; a null id comes first; rows that repeat an id stay rows of their own, in
 the order of a hash of their text (rows equal in both stay in one file); texts are encoded whole, of any length; special tokens written in a text are
@@ -21,9 +22,10 @@ import hashlib
 import json
 import os
 import re
+import string
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,10 @@ from cairnway.llm.common import small_batches
 
 #: White space of the tokenizers' pattern (the Unicode property; Python's ``\s`` has four more).
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNIT = re.compile(f"[{SPACES}]*+[^{SPACES}]++|[{SPACES}]++")
+#: Those that take more than one byte, as numbers of their UTF-8 bytes.
+WIDE_SPACES = np.array([int.from_bytes(chr(c).encode()) for c in range(0x80, 0x3001) if re.match(f"[{SPACES}]", chr(c))])
+#: Kinds of bytes: of other characters, ASCII letters, ASCII white space, marks that end a word, and bytes of longer characters.
+OTHER, LETTER, SPACE, MARK, WIDE = range(5)
 #: Units that a worker remembers; beyond it (or 16 ids a unit) it keeps those that it met most often, half as many at most.
 KNOWN = 800_000
 #: Rows between two entries of the row index, and bytes of a stripe.
@@ -46,19 +51,25 @@ SCHEMA = "doc_id bigint, shard int, offset bigint, n_tokens bigint, ids array<in
 #: Units that are encoded in one string.
 TOGETHER = 2_000
 
-#: Texts to the ids of all of them and the number of ids of each.
-Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: Texts, none of them null, to the ids of all of them and the number of ids of each.
+Encoder = Callable[[list[str] | pa.StringArray], tuple[np.ndarray, np.ndarray]]
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def splits_at_space(definition: dict) -> bool:
-    """Whether the tokenizer never joins what is not white space to white space behind it."""
+    """Whether the tokenizer never joins what is not white space to white space behind it, nor a letter to a mark or digit behind it (added tokens aside)."""
     before, added = definition.get("pre_tokenizer") or {}, definition.get("added_tokens") or []
     plain = definition.get("normalizer") is None and definition.get("truncation") is None and definition.get("padding") is None
     bare = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(f"[{SPACES}]", t["content"]) for t in added)
     return plain and bare and before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space")
 
 
+def marks_outside(definition: dict) -> str:
+    """ASCII marks and digits that no added token contains."""
+    added = {c for t in definition.get("added_tokens") or [] for c in t["content"]}
+    return "".join(c for c in string.punctuation + string.digits if c not in added)
+
+
 def encoder(definition: str, plain_special: bool = False) -> Encoder:
     """The encoder for a tokenizer file's content; one a worker process."""
     key = (hashlib.sha256(definition.encode()).hexdigest(), plain_special)
@@ -68,7 +79,11 @@ def encoder(definition: str, plain_special: bool = False) -> Encoder:
 
         tokenizer = Tokenizer.from_str(definition)
         tokenizer.encode_special_tokens = plain_special
-        _ENCODERS[key] = _Units(tokenizer).encode if splits_at_space(json.loads(definition)) else lambda texts: _plain(tokenizer, texts)
+        read = json.loads(definition)
+        if splits_at_space(read):
+            _ENCODERS[key] = _Units(tokenizer, marks_outside(read)).encode
+        else:
+            _ENCODERS[key] = lambda texts: _plain(tokenizer, texts if isinstance(texts, list) else texts.to_pylist())
     return _ENCODERS[key]
 
 
@@ -80,14 +95,48 @@ def _plain(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The positions of spans, one after the other."""
     ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat((starts - ends + counts).astype(np.int32), counts)
+
+
+def cut_table(marks: str) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of every byte; whether a unit begins at the second of two kinds (5 * first + second): 0 no, 1 yes, 2 as the longer character in front says."""
+    kinds = np.zeros(256, np.uint8)
+    for kind, members in ((LETTER, string.ascii_letters), (SPACE, " \t\n\v\f\r"), (MARK, marks)):
+        kinds[list(members.encode())] = kind
+    kinds[128:] = WIDE
+    cuts = np.zeros(25, np.uint8)
+    cuts[[5 * kind + SPACE for kind in (OTHER, LETTER, MARK)] + [5 * LETTER + MARK]] = 1
+    cuts[[5 * WIDE + SPACE, 5 * WIDE + MARK]] = 2
+    return kinds, cuts
+
+
+def units_of(texts: pa.StringArray, kinds: np.ndarray, cuts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """The units of texts that are not null, as slices of their bytes, and the number of units up to the end of each text."""
+    _, bounds, data = texts.buffers()
+    ends = np.frombuffer(bounds, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kind = kinds[data]
+    cut = np.zeros(len(data) + 1, np.uint8)
+    cut[1:-1] = cuts[5 * kind[:-1] + kind[1:]]
+    unsure = np.flatnonzero(cut == 2)
+    if len(unsure):  # behind a character of two bytes or more, the last of which are these
+        two = data[unsure - 2].astype(np.int64) << 8 | data[unsure - 1]
+        three = data[np.maximum(unsure - 3, 0)].astype(np.int64) << 16 | two
+        latin = (two >= 0xC380) & (two <= 0xC98F) & (two != 0xC397) & (two != 0xC3B7)  # all letters but the signs for times and divided by
+        cut[unsure] = np.where(kind[unsure] == SPACE, ~np.isin(two, WIDE_SPACES) & ~np.isin(three, WIDE_SPACES), latin)
+    cut[ends] = 1
+    at = np.flatnonzero(cut).astype(np.int32)
+    units = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+    return units, np.searchsorted(at, ends[1:])
 
 
 class _Units:
     """Encodes texts as their units; the ids of known units lie one after the other in ``flat``."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, marks: str):
         self.tokenizer = tokenizer
+        self.kinds, self.cuts = cut_table(marks)
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes a token stands for
         for token, i in vocabulary.items():
@@ -107,45 +156,50 @@ class _Units:
         self.starts = np.concatenate([[0], np.cumsum(counts[kept])])
         self.number, self.uses = {names[i]: n for n, i in enumerate(kept.tolist())}, np.ones(len(kept), np.int64)
 
-    def learn(self, units: list[str]) -> None:
-        joined = [u for u in units if u[0] in " \n" and u[-1] not in " \n"]  # white space in front: encoded in one string as alone
-        alone = set(units).difference(joined)
-        flat, counts, names = [self.flat], [np.diff(self.starts)], []
-        parts = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+    def learn(self, units: list[str]) -> np.ndarray:
+        """Encodes distinct units that are not known; their numbers."""
+        bare = np.array([u[0] in " \n" and u[-1] not in " \n" for u in units])  # white space in front: encoded in one string as alone
+        joined, done, alone = np.flatnonzero(bare), [], [np.flatnonzero(~bare)]
+        flat, counts = [self.flat], []
+        parts = [joined[i : i + TOGETHER].tolist() for i in range(0, len(joined), TOGETHER)]
+        texts = [[units[i] for i in part] for part in parts]
+        for part, text, e in zip(parts, texts, self.tokenizer.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int32)
             ends = np.cumsum(self.width[ids])
-            wanted = np.cumsum([len(u.encode()) for u in part])
+            wanted = np.cumsum([len(u.encode()) for u in text])
             at = np.searchsorted(ends, wanted)
             if len(ids) and at[-1] == len(ids) - 1 and (ends[at] == wanted).all():
                 flat.append(ids)
                 counts.append(np.diff(at, prepend=-1))
-                names += part
+                done.append(part)
             else:
-                alone.update(part)
-        rest = list(alone)
-        ids, n = _plain(self.tokenizer, rest)
-        self.number.update(zip(names + rest, range(len(self.number), len(self.number) + len(units)), strict=True))
+                alone.append(part)
+        rest = np.concatenate(alone).astype(np.int64)
+        ids, n = _plain(self.tokenizer, [units[i] for i in rest.tolist()])
+        order = np.concatenate([*done, rest]).astype(np.int64)  # ``number`` is kept in order of its values
+        numbers = np.empty(len(units), np.int64)
+        numbers[order] = new = np.arange(len(self.number), len(self.number) + len(units))
+        self.number.update(zip([units[i] for i in order.tolist()], new.tolist(), strict=True))
         self.flat = np.concatenate([*flat, ids])
-        self.starts = np.concatenate([[0], np.cumsum(np.concatenate([*counts, n]))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([*counts, n]))])
+        self.uses = np.pad(self.uses, (0, len(units)))
+        return numbers
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > KNOWN or len(self.flat) > 16 * KNOWN:
             self.shrink()
-        split = [UNIT.findall(t) for t in texts]
-        every = list(chain.from_iterable(split))
-        units = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(units < 0)
+        units, last = units_of(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, self.kinds, self.cuts)
+        coded = units.dictionary_encode()
+        names, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        numbers = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(numbers < 0)
         if len(missing):
-            unknown = [every[i] for i in missing.tolist()]
-            self.learn(list(set(unknown)))
-            units[missing] = [self.number[u] for u in unknown]
-        self.uses = np.pad(self.uses, (0, len(self.number) - len(self.uses))) + np.bincount(units, minlength=len(self.number))
-        counts = np.diff(self.starts)[units]
-        ends = np.cumsum(counts)
-        flat = self.flat[_spans(self.starts[units], counts)]
-        last = np.cumsum([len(u) for u in split], dtype=np.int64)
-        return flat, np.diff(np.concatenate([[0], ends])[last], prepend=0)
+            numbers[missing] = self.learn([names[i] for i in missing.tolist()])
+        self.uses[numbers] += np.bincount(places, minlength=len(names))
+        starts = self.starts[numbers]
+        counts = (self.starts[numbers + 1] - starts)[places]
+        flat = self.flat[_spans(starts[places], counts)]
+        return flat, np.diff(np.concatenate([[0], np.cumsum(counts)])[last], prepend=0)
 
 
 def _writer(definition, end_id: int, plain_special: bool, schema: pa.Schema):
@@ -155,7 +209,7 @@ def _writer(definition, end_id: int, plain_special: bool, schema: pa.Schema):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, counts = to_ids([t or "" for t in batch.column(1).to_pylist()])
+            ids, counts = to_ids(batch.column(1).cast(pa.string()).fill_null(""))
             ids = np.insert(ids, np.cumsum(counts), end_id)
             counts = counts + 1
             ends = np.cumsum(counts)

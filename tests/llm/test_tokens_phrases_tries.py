@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,38 @@ def test_units_are_encoded_as_whole_texts_are(plain, monkeypatch):
             assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain(t) for t in texts]
 
 
+def test_units_end_at_marks_where_the_tokenizer_does(plain, monkeypatch):
+    encode = token_files.encoder(open(FILE, encoding="utf-8").read())
+    rng = random.Random(6)
+    pieces = list("abZéßñ×÷ƻʰжの١1209.,;:!?'\"$%#&*-_|<> \n\t\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b…–’😀")
+    pieces += ["'s", "'ll", "don't", "é's", "Word.", "é,", "<|endoftext|>", "a<|endoftext|>b", "<|endof.text|>", " \n", "  "]
+    for limit in (token_files.KNOWN, 40):
+        monkeypatch.setattr(token_files, "KNOWN", limit)
+        for n in range(150):
+            texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(40)] if n else ["", ""]
+            given = pa.array(["cut off", *texts])[1:] if n % 2 else texts
+            ids, counts = encode(given)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain(t) for t in texts]
+    assert [len(x) for x in encode([])] == [0, 0]
+
+
+def test_words_are_looked_up_once_a_batch_and_encoded_once_with_any_mark(monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *of):
+            Counted.asked += 1
+            return super().get(*of)
+
+    monkeypatch.setattr(token_files, "_ENCODERS", {})
+    encode = token_files.encoder(open(FILE, encoding="utf-8").read())
+    units = encode.__self__
+    units.number = Counted()
+    words = [f" {a}{b}é" for a in "abcdefghij" for b in "klmnopqrst"]
+    encode(["".join(w + m for w in words) for m in ("", *".,;:!?", "$$$", "123")] * 30)
+    assert len(units.number) == len(words) + 8 and Counted.asked == len(words) + 8
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     definition = open(path, encoding="utf-8").read()
