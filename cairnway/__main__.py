@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from dataclasses import fields
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -37,8 +36,8 @@ def main(argv: list[str] | None = None) -> int:
     if before is not None:
         before = Progress(staged(before.meta, "progress-meta"), staged(before.files, "progress-files"), staged(exports_of(before), "progress-exports"))
     found = index(spark, str(root), read_options(out))
-    for field in fields(found):
-        write_table(getattr(found, field.name), str(out / field.name))
+    for table, rows in found.tables.items():
+        write_table(rows, str(out / table))
     listed = staged(entries(found), "entries")
     write_table(listed, str(out / "entries"))
     write_document(map_document(listed, found.files, str(root), utc_now()), str(out / "map.json"))

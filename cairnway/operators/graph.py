@@ -11,8 +11,12 @@ from cairnway.plans.staging import staged
 
 def build_edges(imports: DataFrame, resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct edges whose target is a known file."""
-    hits = imports.select("src", "source").join(resolved, ["src", "source"])
-    return hits.join(files.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    return known_edges(imports.select("src", "source").join(resolved, ["src", "source"]), files)
+
+
+def known_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
+    """As ``build_edges``, where ``resolved`` holds nothing but the imports in question."""
+    return resolved.select("src", "dst").distinct().join(files.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 def external_uses(imports: DataFrame, resolved: DataFrame, files: DataFrame) -> DataFrame:
@@ -33,9 +37,9 @@ def external_counts(imports: DataFrame, resolved: DataFrame, files: DataFrame) -
 
 def node_metrics(files: DataFrame, edges: DataFrame) -> DataFrame:
     """``path, fan_in, fan_out, is_leaf, is_root``; counts are pre-aggregated, so a hub costs one row a task."""
-    out = edges.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("fan_out"))
-    into = edges.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("fan_in"))
-    joined = files.join(into, "path", "left").join(out, "path", "left").na.fill(0, ["fan_in", "fan_out"])
+    end = lambda name, n_in, n_out: F.struct(F.col(name).alias("path"), F.lit(n_in).alias("i"), F.lit(n_out).alias("o"))
+    degrees = edges.select(F.explode(F.array(end("src", 0, 1), end("dst", 1, 0))).alias("e")).groupBy("e.path").agg(F.sum("e.i").alias("fan_in"), F.sum("e.o").alias("fan_out"))
+    joined = files.join(degrees, "path", "left").na.fill(0, ["fan_in", "fan_out"])
     return joined.withColumns({"is_leaf": F.col("fan_in") == 0, "is_root": F.col("fan_out") == 0})
 
 

@@ -222,23 +222,41 @@ def _in_phases(nodes: DataFrame, edges: DataFrame, task_files: int) -> DataFrame
     return numbered(every, GROUP, [F.col(c) for c in ("late", "place", "_pos", "key")], "pos").select(*GROUP, "path", "pos")
 
 
+def plain_and_tests(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return files.filter(~is_test(F.col("path"))), files.filter(is_test(F.col("path")))
+
+
+def _behind(plain: DataFrame, own: DataFrame, home: DataFrame, tests: str) -> DataFrame:
+    """``own`` tests with the first implementation file of their stem among ``plain`` and what ``home(repo_id, path, pass, ...)`` says of that; ``pass`` is never null."""
+    tested = own.select("repo_id", "path").withColumn("_s", F.when(basename(F.col("path")) != "conftest.py", tested_stem(F.col("path"))))
+    stems = plain.groupBy("repo_id", stem(F.col("path")).alias("_s")).agg(F.min("path").alias("impl"))
+    default = tests if tests in PASSES else "utility"
+    found = tested.join(stems, ["repo_id", "_s"], "left").join(home.withColumnRenamed("path", "impl"), ["repo_id", "impl"], "left")
+    more = [c for c in home.columns if c not in ("repo_id", "path", "pass")]
+    return found.select("repo_id", "path", F.coalesce("pass", F.lit(default)).alias("pass"), *more, F.col("impl").alias("paired_with"))
+
+
+def companions(files: DataFrame, tests: str = "utility") -> DataFrame:
+    """``files`` with ``pass`` and ``paired_with`` as ``reading_order`` has them; nothing has to be put in order for that."""
+    plain, own = plain_and_tests(files)
+    rows = plain.withColumn("paired_with", F.lit(None).cast("string"))
+    if tests == "skip" or own.isEmpty():
+        return rows
+    behind = _behind(plain, own, plain.select("repo_id", "path", "pass"), tests)
+    return rows.unionByName(own.drop("pass").join(behind, ["repo_id", "path"]))
+
+
 def reading_order(files: DataFrame, edges: DataFrame, tests: str = "utility") -> DataFrame:
     """``repo_id, index, path, pass, paired_with``: passes one after the other, paired tests right behind what they test, other tests last.
 
     ``files`` as for ``topological``.  ``tests``: the pass that tests without a pair are counted to, ``separate``
     (all tests come last, in greedy order) or ``skip`` (none come).
     """
-    is_a_test = is_test(F.col("path"))
-    plain = files.filter(~is_a_test)
+    plain, own = plain_and_tests(files)
     placed = topological(plain, edges)
     rows = placed.select("repo_id", "path", "pass", "pos", F.lit(0).alias("_t"), F.lit(False).alias("_last"), F.lit(None).cast("string").alias("paired_with"))
     if tests != "skip":
-        own = files.filter(is_a_test)
-        stems = plain.groupBy("repo_id", stem(F.col("path")).alias("_s")).agg(F.min("path").alias("impl"))
-        paired = own.select("repo_id", "path").withColumn("_s", F.when(basename(F.col("path")) != "conftest.py", tested_stem(F.col("path")))).join(stems, ["repo_id", "_s"], "left")
-        home = placed.select("repo_id", F.col("path").alias("impl"), "pass", "pos")
-        default = tests if tests in PASSES else "utility"
-        behind = paired.join(home, ["repo_id", "impl"], "left").select("repo_id", "path", F.coalesce("pass", F.lit(default)).alias("pass"), "pos", F.col("impl").alias("paired_with"))
+        behind = _behind(plain, own, placed.select("repo_id", "path", "pass", "pos"), tests)
         last = F.col("pos").isNull()
         if tests == "separate":
             sorted_ = topological(own.withColumn("pass", F.lit("tests")), edges).select("repo_id", "path", "pos")

@@ -10,13 +10,13 @@ found is folded into one table every ``FOLD`` rounds, so that neither plans nor
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cairnway.plans.staging import scratch, staged
 
@@ -24,6 +24,8 @@ from cairnway.plans.staging import scratch, staged
 ONE_TASK_EDGES = 200_000
 #: Hops of a round, and rounds between foldings.
 HOPS, FOLD = 2, 8
+#: The least share of the edges that a round of peeling has to take for another one to follow.
+PEELED_SHARE = 0.05
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
@@ -62,38 +64,97 @@ def walk(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """``path, depth``: the longest way to a file without imports; ``edges`` hold no cycle (see ``acyclic``), else ``ValueError``."""
-    with scratch(files.sparkSession) as stage:
-        edges = stage(edges.select("src", "dst").distinct(), "edges")
-        degrees = edges.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n"), F.any_value("dst").alias("to"))
-        jumps, whole = jumped(degrees.filter("n = 1"), stage)
-        if not whole:
-            raise ValueError("the edges hold a cycle")
-        links = stage(contracted(edges, jumps), "contracted")
-        most = links.count()
-        frontier = links.select(F.col("dst").alias("path")).join(links.select(F.col("src").alias("path")), "path", "left_anti").distinct().withColumn("depth", F.lit(0).cast("long"))
-        best, recent, n = None, [], 0
+def peeled(edges: DataFrame, stage: Stage, least: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """``edges(src, dst)`` in layers, then what is left, and how many edges that is.
 
-        def step(now: DataFrame) -> DataFrame:
-            reached = links.join(now.select(F.col("path").alias("dst"), "depth"), "dst")
-            return reached.groupBy(F.col("src").alias("path")).agg(F.max(F.col("depth") + F.col("hops")).alias("depth"))
-
-        longest = lambda parts: reduce(DataFrame.union, parts).groupBy("path").agg(F.max("depth").alias("depth"))
-        while most:
-            hops = stage(walk(frontier, step), "depth")
-            recent.append(hops.select("path", "depth"))
-            frontier, n = hops.filter(F.col("_hop") == HOPS - 1).select("path", "depth"), n + HOPS
-            if frontier.isEmpty():
-                break
-            if n > most:
+    A layer holds all edges of the files that nothing in the layers behind it or in the rest imports.  It ends with ``least`` edges left, or with a
+    round that took few of them, as in long chains; cycles and what they import are always left.
+    """
+    layers, rest = [], stage(edges.select("src", "dst").distinct(), "edges")
+    n, took = rest.count(), 1.0
+    while n > least and took >= PEELED_SHARE:
+        used = rest.select(F.col("dst").alias("src")).distinct().withColumn("_used", F.lit(True))
+        tagged = stage(rest.join(used, "src", "left").select("src", "dst", F.col("_used").isNull().alias("top")), "peeled")
+        layers.append(tagged.filter("top").select("src", "dst"))
+        rest = tagged.filter("not top").select("src", "dst")
+        left = rest.count()
+        n, took = left, 1 - left / n
+    return layers, rest, n
+
+
+def longest_ways(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``path, depth`` of the nodes of ``(src, dst)`` rows; no depth on or in front of a cycle."""
+    behind, pending, depth = defaultdict(list), defaultdict(int), {}
+    for frame in frames:
+        for a, b in zip(frame["src"], frame["dst"], strict=True):
+            behind[b].append(a)
+            pending[a] += 1
+            depth[a] = depth[b] = 0
+    ready = [x for x in depth if x not in pending]
+    for at in ready:  # grows while it is walked
+        for x in behind.get(at, ()):
+            depth[x] = max(depth[x], depth[at] + 1)
+            pending[x] -= 1
+            if not pending[x]:
+                ready.append(x)
+    yield pd.DataFrame({"path": list(depth), "depth": pd.array([None if pending.get(x) else d for x, d in depth.items()], "Int64")})
+
+
+def depths(files: DataFrame, edges: DataFrame, above: Sequence[DataFrame] = (), one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+    """``path, depth``: the longest way to a file without imports; ``edges`` hold no cycle (see ``acyclic``), else ``ValueError``.
+
+    Files that nothing imports are peeled off, layer after layer, until no more than ``one_task_edges`` edges are left for one task, or until that takes
+    too many rounds and the loop over frontiers finds the rest.  Then each layer adds one hop to what it imports.  ``above``: layers peeled off before.
+    """
+    with scratch(files.sparkSession) as stage:
+        layers, rest, n = peeled(edges, stage, one_task_edges)
+        if n <= one_task_edges:
+            kind = edges.schema["src"].dataType
+            known = stage(rest.coalesce(1).mapInPandas(longest_ways, StructType([StructField("path", kind), StructField("depth", LongType())])), "depths")
+            if not known.filter("depth is null").isEmpty():
                 raise ValueError("the edges hold a cycle")
-            if len(recent) == FOLD:
-                best, recent = stage(longest([*recent, best] if best else recent), "depths"), []
-        best = longest([*recent, best] if best else recent) if recent or best else frontier
-        behind = jumps.join(best.select(F.col("path").alias("to"), "depth"), "to", "left").select("path", (F.col("hops") + F.coalesce("depth", F.lit(0))).alias("_behind"))
-        rows = files.select("path").join(best, "path", "left").join(behind, "path", "left")
-        return staged(rows.select("path", F.coalesce("depth", "_behind", F.lit(0)).cast("int").alias("depth")), "depths")
+        else:
+            known = _depths_by_frontiers(rest, stage)
+        recent = [known]
+        for layer in reversed([*above, *layers]):
+            found = reduce(DataFrame.union, recent).select(F.col("path").alias("dst"), "depth")
+            hop = layer.join(found, "dst", "left").groupBy(F.col("src").alias("path")).agg((F.max(F.coalesce("depth", F.lit(0))) + 1).alias("depth"))
+            recent.append(stage(hop, "depth"))
+            if len(recent) > FOLD:
+                recent = [stage(reduce(DataFrame.union, recent), "depths")]
+        rows = files.select("path").join(reduce(DataFrame.union, recent), "path", "left")
+        return staged(rows.select("path", F.coalesce("depth", F.lit(0)).cast("int").alias("depth")), "depths")
+
+
+def _depths_by_frontiers(edges: DataFrame, stage: Stage) -> DataFrame:
+    """``path, depth`` of the nodes of ``edges``, which are staged and distinct; 0 may be left out."""
+    degrees = edges.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n"), F.any_value("dst").alias("to"))
+    jumps, whole = jumped(degrees.filter("n = 1"), stage)
+    if not whole:
+        raise ValueError("the edges hold a cycle")
+    links = stage(contracted(edges, jumps), "contracted")
+    most = links.count()
+    frontier = links.select(F.col("dst").alias("path")).join(links.select(F.col("src").alias("path")), "path", "left_anti").distinct().withColumn("depth", F.lit(0).cast("long"))
+    best, recent, n = None, [], 0
+
+    def step(now: DataFrame) -> DataFrame:
+        reached = links.join(now.select(F.col("path").alias("dst"), "depth"), "dst")
+        return reached.groupBy(F.col("src").alias("path")).agg(F.max(F.col("depth") + F.col("hops")).alias("depth"))
+
+    longest = lambda parts: reduce(DataFrame.union, parts).groupBy("path").agg(F.max("depth").alias("depth"))
+    while most:
+        hops = stage(walk(frontier, step), "depth")
+        recent.append(hops.select("path", "depth"))
+        frontier, n = hops.filter(F.col("_hop") == HOPS - 1).select("path", "depth"), n + HOPS
+        if frontier.isEmpty():
+            break
+        if n > most:
+            raise ValueError("the edges hold a cycle")
+        if len(recent) == FOLD:
+            best, recent = stage(longest([*recent, best] if best else recent), "depths"), []
+    best = stage(longest([*recent, best] if best else recent) if recent or best else frontier, "depths")
+    behind = jumps.join(best.select(F.col("path").alias("to"), "depth"), "to", "left").select("path", (F.col("hops") + F.coalesce("depth", F.lit(0))).alias("depth"))
+    return best.join(jumps.select("path"), "path", "left_anti").select("path", "depth").union(behind)
 
 
 def acyclic(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -201,13 +262,14 @@ def strong_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """``path, scc``: members of strongly connected components of two or more, or with a self-loop; ``scc`` is the largest member.
 
-    Trim, colour forwards by the largest node that reaches each, then walk back from each colour's
+    Peel and trim, colour forwards by the largest node that reaches each, then walk back from each colour's
     root inside its colour: what both reach is a component.  Repeat on what is left; as soon as that has no more
     than ``one_task_edges`` edges, one task finishes it.
     """
     loops = edges.filter("src = dst").select(F.col("src").alias("path"), F.col("src").alias("scc")).distinct()
-    left, out = staged(edges.filter("src <> dst").select("src", "dst").distinct(), "core"), []
-    if left.count() > one_task_edges:
+    out = []
+    left, n = peeled(edges.filter("src <> dst"), staged, one_task_edges)[1:]
+    if n > one_task_edges:
         left = cores(left)
     while (n := left.count()) > 0:
         if n <= one_task_edges:
@@ -240,3 +302,11 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFr
         left = cores(left.join(gone.withColumnRenamed("path", "src"), "src", "left_anti").join(gone.withColumnRenamed("path", "dst"), "dst", "left_anti"))
     found = reduce(DataFrame.union, out) if out else loops.limit(0)
     return found.union(loops.join(found.select("path"), "path", "left_anti").select("path", "scc"))
+
+
+def components_and_depths(files: DataFrame, edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> tuple[DataFrame, DataFrame]:
+    """``components(edges)`` and ``depths(files, acyclic(edges, components))`` of edges that are peeled once: what is peeled off is in no cycle."""
+    with scratch(files.sparkSession) as stage:
+        above, rest, _ = peeled(edges.filter("src <> dst"), stage, one_task_edges)
+        members = staged(components(rest.union(edges.filter("src = dst").select("src", "dst")), one_task_edges), "cycles")
+        return members, depths(files, acyclic(rest, members), above, one_task_edges)
