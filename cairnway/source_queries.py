@@ -118,7 +118,7 @@ ORACLES["indexed_files"] = f"WITH RECURSIVE {FILES_SQL} SELECT path, fan_in, fan
 @query()
 def indexed_entries(spark, d):
     """The rows of a map document but for their index, which is held by brute force elsewhere."""
-    rows = index.entries(indexed(spark, d))
+    rows = index.described_entries(indexed(spark, d))
     return rows.select("path", "layer", "reason", "complexity", "line_count", listed("imports"), listed("imported_by"), listed("exports"))
 
 
