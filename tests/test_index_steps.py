@@ -121,3 +121,16 @@ def test_names_of_exports_come_by_their_first_line(spark):
     read = read.withColumns({"imports": F.array(), "functions": F.array(), "nesting": F.lit(1), "has_guard": F.lit(True), "has_side_effects": F.lit(False)})
     got = {r.path: (r.export_names, r.type_share, r.n_exports, r.has_guard, r.nesting) for r in index.outlines(read).collect()}
     assert got == {"a": (["b", "a", "z"], 0.5, 4, True, 1), "b": ([], 0.0, 0, False, 0)}
+
+
+def test_the_links_of_one_package_are_made_in_many_tasks(spark):
+    """12,000 imports of a package of 300 files, some by the same file: bounded pieces, whole results."""
+    files = spark.range(300).select(F.concat(F.lit("p/m"), "id", F.when(F.col("id") % 10 == 0, "_test.go").otherwise(".go")).alias("path"))
+    links = spark.range(12_000).select(F.concat(F.lit("q/m"), F.col("id") % 11_000, F.lit(".go")).alias("src"), F.lit("ex.org/p").alias("source"), F.lit("p").alias("dst"))
+    found = resolve.package_files(links, files)
+    assert found.columns == links.columns
+    counts = found.groupBy("dst").agg(F.count("*").alias("n"), F.count_distinct("src").alias("srcs")).collect()
+    assert {r.dst for r in counts} == {f"p/m{i}.go" for i in range(300) if i % 10} and {(r.n, r.srcs) for r in counts} == {(12_000, 11_000)}
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.7 * sum(sizes)
+    assert resolve.package_files(links.limit(0), files).count() == 0 and resolve.package_files(links, files.limit(0)).count() == 0
